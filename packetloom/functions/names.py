@@ -40,7 +40,7 @@ def relative_directory(path: Column, root: str) -> Column:
     """The directory of a file below ``root``, "." for the root itself."""
     directory = F.regexp_replace(path, "/[^/]*$", "")
     inside = F.substring(directory, len(root) + 1, 1_000_000)
-    return F.when(directory == root, ".").otherwise(F.regexp_replace(inside, "^/", ""))
+    return F.when(directory == root, ".").otherwise(F.regexp_replace(inside, "^/+", ""))
 
 
 def class_name(file_name: Column) -> Column:

@@ -72,7 +72,7 @@ class Members:
 
     @classmethod
     def _scan(
-        cls, spark: SparkSession, root: str, pattern: str, threshold: int, kind: str, schema: T.StructType | None, **options: str
+        cls, spark: SparkSession, root: str, pattern: str, threshold: int, kind: str, schema: T.StructType | str | None, **options: str
     ) -> Members:
         """One scan of all files below ``root``; where a row came from names its member."""
         reader = spark.read.format(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
@@ -89,7 +89,7 @@ class Members:
 
     @classmethod
     def from_csv(
-        cls, spark: SparkSession, root: str, schema: T.StructType, pattern: str = "*.csv", threshold: int = 0
+        cls, spark: SparkSession, root: str, schema: T.StructType | str, pattern: str = "*.csv", threshold: int = 0
     ) -> Members:
         """CSV files with a header; malformed lines are skipped, files of at most ``threshold`` bytes too.
 
@@ -99,7 +99,7 @@ class Members:
 
     @classmethod
     def from_json(
-        cls, spark: SparkSession, root: str, schema: T.StructType, pattern: str = "*.json*", threshold: int = 0
+        cls, spark: SparkSession, root: str, schema: T.StructType | str, pattern: str = "*.json*", threshold: int = 0
     ) -> Members:
         return cls._scan(spark, root, pattern, threshold, "json", schema)
 
@@ -108,7 +108,7 @@ class Members:
         cls,
         spark: SparkSession,
         root: str,
-        schema: T.StructType | None = None,
+        schema: T.StructType | str | None = None,
         columns: list[str] | None = None,
         pattern: str = "*.parquet",
         threshold: int = 0,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.names import clean_stem, directory_label, file_stem, folded_order, relative_directory
+from packetloom.operators.stored import attach, stored
 
 
 def group_files(listing: DataFrame, root: str, threshold: int = 0) -> DataFrame:
@@ -20,8 +21,11 @@ def group_files(listing: DataFrame, root: str, threshold: int = 0) -> DataFrame:
         "path",
         "length",
     )
-    same = Window.partitionBy("split", "dataset")
-    return named.withColumn("duplicate", F.count(F.lit(1)).over(same) > 1)
+    names = ["split", "dataset"]
+    same = named.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return attach(named, stored(same, "same-names"), names, "left").select(
+        *named.columns, F.col("_n").isNotNull().alias("duplicate")
+    )
 
 
 def list_files(spark: SparkSession, root: str, pattern: str, threshold: int = 0) -> DataFrame:

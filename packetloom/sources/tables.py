@@ -8,24 +8,24 @@ from pyspark.sql import types as T
 
 from packetloom.functions.octets import byte_length, from_hex
 
-FEATURE_SCHEMA = T.StructType.fromDDL("x binary, feature_len long, labels string")
-OLD_FEATURE_SCHEMA = T.StructType.fromDDL("label long, feature array<double>, feature_len long")
-PACKET_ROW_SCHEMA = T.StructType.fromDDL("label_id long, file_path string, packet binary, length long")
-TEMPLATE_SCHEMA = T.StructType.fromDDL("label long, text_a string")
-BURST_SCHEMA = T.StructType.fromDDL("burst binary, len int, label int")
+FEATURE_SCHEMA = "x binary, feature_len long, labels string"
+OLD_FEATURE_SCHEMA = "label long, feature array<double>, feature_len long"
+PACKET_ROW_SCHEMA = "label_id long, file_path string, packet binary, length long"
+TEMPLATE_SCHEMA = "label long, text_a string"
+BURST_SCHEMA = "burst binary, len int, label int"
 
 
-def field_extract_schema(protocol: str = "tcp") -> T.StructType:
+def field_extract_schema(protocol: str = "tcp") -> str:
     """Columns of a field-extract file, as it names them."""
     p = protocol
-    return T.StructType.fromDDL(
+    return (
         "`frame.number` long, `frame.time_relative` double, "
         f"`{p}.stream` long, `ip.src` string, `{p}.srcport` int, `ip.dst` string, `{p}.dstport` int, "
         f"`frame.len` long, `ip.len` long, `{p}.payload` string"
     )
 
 
-WIDE_EXTRACT_SCHEMA = T.StructType.fromDDL(
+WIDE_EXTRACT_SCHEMA = (
     "`frame.number` long, `frame.time_relative` double, `frame.protocols` string, `ip.src` string, "
     "`ip.dst` string, `ip.proto` int, `tcp.srcport` int, `tcp.dstport` int, `frame.len` long, "
     "`_ws.col.Info` string, `tcp.payload` string"
@@ -37,14 +37,14 @@ def plain_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.replace(".", "_").lstrip("_") for c in df.columns])
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType, file_column: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType | str, file_column: str | None = None) -> DataFrame:
     """CSV with a header; blank and malformed lines are skipped. Optionally adds the file path."""
     reader = spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED")
     df = plain_names(reader.csv(paths))
     return df.withColumn(file_column, F.input_file_name()) if file_column else df
 
 
-def read_tsv(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
+def read_tsv(spark: SparkSession, paths: str | list[str], schema: T.StructType | str) -> DataFrame:
     return plain_names(spark.read.schema(schema).option("header", True).option("sep", "\t").csv(paths))
 
 
@@ -61,14 +61,14 @@ def burst_rows(templates: DataFrame) -> DataFrame:
     )
 
 
-def read_json(spark: SparkSession, paths: str | list[str], schema: T.StructType, partitions: int | None = None) -> DataFrame:
+def read_json(spark: SparkSession, paths: str | list[str], schema: T.StructType | str, partitions: int | None = None) -> DataFrame:
     """JSON lines, also gzipped. Gzip cannot be split, so few large files need ``partitions``."""
     df = spark.read.schema(schema).json(paths)
     return df.repartition(partitions) if partitions else df
 
 
 def read_parquet(
-    spark: SparkSession, paths: str | list[str], schema: T.StructType | None = None, columns: list[str] | None = None
+    spark: SparkSession, paths: str | list[str], schema: T.StructType | str | None = None, columns: list[str] | None = None
 ) -> DataFrame:
     """Parquet by path or glob; only the wanted columns are read."""
     paths = [paths] if isinstance(paths, str) else paths
@@ -90,7 +90,7 @@ def write_parts(df: DataFrame, path: str, by: str = "part") -> None:
     write_parquet(df, path, by=[by])
 
 
-def read_part(spark: SparkSession, path: str, part: str, schema: T.StructType | None = None) -> DataFrame:
+def read_part(spark: SparkSession, path: str, part: str, schema: T.StructType | str | None = None) -> DataFrame:
     """One side of a split; the other is pruned."""
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.parquet(path).where(F.col("part") == part).drop("part")
