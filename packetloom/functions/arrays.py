@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,19 +11,31 @@ from packetloom.functions.hashing import bernoulli, hash_key
 from packetloom.functions.octets import FEATURE_BYTES, byte_values, crop_and_pad
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row.
+
+    Spark evaluates what a lambda captures anew for every element, so an expression that a lambda
+    refers to has to be a lambda variable itself.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
 
 
 def mean(a: Column) -> Column:
-    return total(a) / F.size(a)
+    return bind(a, lambda v: total(v) / F.size(v))
 
 
 def sample_variance(a: Column) -> Column:
     """Unbiased variance; null for fewer than two values."""
-    m = mean(a)
-    squares = F.aggregate(a, F.lit(0.0), lambda acc, v: acc + (v - m) * (v - m))
-    return F.when(F.size(a) > 1, squares / (F.size(a) - 1))
+
+    def spread(v: Column, m: Column) -> Column:
+        squares = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m))
+        return F.when(F.size(v) > 1, squares / (F.size(v) - 1))
+
+    return bind(a, lambda v: bind(total(v) / F.size(v), lambda m: spread(v, m)))
 
 
 def unit_floats(b: Column, width: int = FEATURE_BYTES) -> Column:
@@ -56,7 +70,8 @@ def normalised(b: Column, width: int, mean: float, std: float, pad: str = "befor
 
 def patchify(a: Column, patch: int, count: int) -> Column:
     """``count`` consecutive slices of ``patch`` values."""
-    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda p: F.slice(a, p * patch + 1, F.lit(patch)))
+    places = F.sequence(F.lit(0), F.lit(count - 1))
+    return bind(a, lambda v: F.transform(places, lambda p: F.slice(v, p * patch + 1, F.lit(patch))))
 
 
 def unpatchify(patches: Column) -> Column:
@@ -87,7 +102,7 @@ def masking(seed: int | str, ids: list[str], count: int, ratio: float) -> tuple[
     positions = F.sequence(F.lit(0), F.lit(count - 1))
     noise = F.transform(positions, lambda p: F.struct(hash_key(seed, *ids, p).alias("h"), p.alias("p")))
     shuffle = F.transform(F.array_sort(noise), lambda s: s["p"])
-    restore = F.transform(positions, lambda p: (F.array_position(shuffle, p) - 1).cast("int"))
+    restore = bind(shuffle, lambda s: F.transform(positions, lambda p: (F.array_position(s, p) - 1).cast("int")))
     mask = F.transform(restore, lambda r: F.when(r < keep, 0).otherwise(1))
     return shuffle, restore, mask
 
@@ -96,8 +111,8 @@ def patch_targets(patches: Column, eps: float = 1e-6) -> Column:
     """Every patch brought to mean 0 and unit (unbiased) variance."""
 
     def scaled(patch: Column) -> Column:
-        m, var = mean(patch), sample_variance(patch)
-        return F.transform(patch, lambda v: (v - m) / F.sqrt(var + F.lit(eps)))
+        moments = F.struct(mean(patch).alias("m"), F.sqrt(sample_variance(patch) + F.lit(eps)).alias("s"))
+        return bind(moments, lambda z: F.transform(patch, lambda v: (v - z["m"]) / z["s"]))
 
     return F.transform(patches, scaled)
 
@@ -114,27 +129,28 @@ def patch_errors(pred: Column, target: Column) -> Column:
 def mask_tokens(tokens: Column, special: Column, seed: int | str, ids: list[str], ratio: float, mask: str) -> Column:
     """Tokens with a fraction replaced by ``mask``; positions flagged in ``special`` are exempt."""
 
-    def one(token: Column, i: Column) -> Column:
-        chosen = bernoulli(hash_key(seed, *ids, i), ratio) & ~F.element_at(special, i + 1)
-        return F.when(chosen, F.lit(mask)).otherwise(token)
+    def one(pair: Column, i: Column) -> Column:
+        chosen = bernoulli(hash_key(seed, *ids, i), ratio) & ~pair["special"]
+        return F.when(chosen, F.lit(mask)).otherwise(pair["token"])
 
-    return F.transform(tokens, one)
+    return F.transform(F.arrays_zip(tokens.alias("token"), special.alias("special")), one)
 
 
 def softmax(scores: Column, bias: Column | None = None) -> Column:
     """Softmax of a score row after adding a bias row (large negatives switch a position off)."""
     if bias is not None:
         scores = F.zip_with(scores, bias, lambda s, b: s + b)
-    top = F.array_max(scores)
-    powers = F.transform(scores, lambda s: F.exp(s - top))
-    return F.transform(powers, lambda e: e / total(powers))
+    powers = bind(scores, lambda v: bind(F.array_max(v), lambda top: F.transform(v, lambda s: F.exp(s - top))))
+    return bind(powers, lambda v: bind(total(v), lambda t: F.transform(v, lambda e: e / t)))
 
 
 def cross_entropy(scores: Column, label: Column) -> Column:
     """Negative log probability of the class id under the softmax of the scores."""
-    top = F.array_max(scores)
-    log_sum = F.log(total(F.transform(scores, lambda s: F.exp(s - top)))) + top
-    return log_sum - F.element_at(scores, (label + 1).cast("int"))
+
+    def loss(v: Column, top: Column) -> Column:
+        return F.log(total(F.transform(v, lambda s: F.exp(s - top)))) + top - F.element_at(v, (label + 1).cast("int"))
+
+    return bind(scores, lambda v: bind(F.array_max(v), lambda top: loss(v, top)))
 
 
 def argmax(scores: Column) -> Column:

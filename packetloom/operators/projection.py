@@ -11,6 +11,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.functions.arrays import mean, sample_variance
 from packetloom.operators.stored import attach, stored
 
 
@@ -81,3 +82,21 @@ def score(model: PipelineModel | CrossValidatorModel, df: DataFrame, vector: str
         vector_to_array("probability").alias("scores"),
         F.col(vector).alias("latent"),
     )
+
+
+def mean_and_deviation(df: DataFrame, values: str, first: int | None = None, order: str | None = None) -> DataFrame:
+    """One row ``mean, std, pooled_std`` of an array column.
+
+    The first two average the rows' own means and sample deviations; the last is the sample
+    deviation of all values together. ``first`` limits to the leading rows by ``order``.
+    """
+    df = df.select(*([order] if order else []), values)
+    if first is not None:
+        df = df.orderBy(order).limit(first)
+    v = F.col(values)
+    rows = df.select(F.size(v).cast("double").alias("n"), mean(v).alias("m"), sample_variance(v).alias("var"))
+    n, m = F.col("n"), F.col("m")
+    squares = F.sum(F.col("var") * (n - 1)) + F.sum(n * m * m) - F.sum(n * m) * F.sum(n * m) / F.sum(n)
+    return rows.agg(
+        F.avg(m).alias("mean"), F.avg(F.sqrt("var")).alias("std"), F.sqrt(squares / (F.sum(n) - 1)).alias("pooled_std")
+    )

@@ -350,9 +350,9 @@ def a2(spark, sf_dir):
 
 @query(
     "a3_grouped_files",
-    "WITH p AS (SELECT 'http://' AS root, url AS path, octet_length(encode(html))::BIGINT AS length FROM pages "
+    "WITH p AS (SELECT regexp_replace(url, '^https?:/', '') AS path, octet_length(encode(html))::BIGINT AS length FROM pages "
     "WHERE octet_length(encode(html)) > 1000), "
-    "q AS (SELECT path, length, regexp_replace(regexp_replace(path, '/[^/]*$', ''), '^http:/+', '') AS split, "
+    "q AS (SELECT path, length, regexp_replace(regexp_replace(path, '/[^/]*$', ''), '^/+', '') AS split, "
     "regexp_replace(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1'), '[^.\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+', '_', 'g') "
     "AS dataset FROM p) "
     "SELECT split, dataset, path, length, count(*) OVER (PARTITION BY split, dataset) > 1 AS duplicate FROM q",
@@ -361,8 +361,9 @@ def a3(spark, sf_dir):
     from packetloom.sources.files import group_files
 
     pages = table(spark, sf_dir, "pages")
-    listing = pages.select(F.col("url").alias("path"), F.octet_length(F.encode("html", "utf-8")).cast("long").alias("length"))
-    return group_files(listing, "http:/", 1000)
+    path = F.regexp_replace("url", "^https?:/", "")
+    listing = pages.select(path.alias("path"), F.octet_length(F.encode("html", "utf-8")).cast("long").alias("length"))
+    return group_files(listing, "/", 1000)
 
 
 @query(
