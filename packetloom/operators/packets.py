@@ -10,81 +10,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.functions.octets import FEATURE_BYTES, crop_and_pad, cropped_length, head, hex_text, overwrite_zero, uint
-
-# Link and network types, protocol numbers, flag bits and ports.
-LINK_ETHERNET = 1
-ETHER_HEADER = 14
-TYPE_IPV4 = 0x0800
-TYPE_ARP = 0x0806
-TYPE_VLAN = 0x8100
-TYPE_IPV6 = 0x86DD
-PROTO_TCP = 6
-PROTO_UDP = 17
+from packetloom.functions.headers import PROTO_TCP, PROTO_UDP, TYPE_ARP, UDP_HEADER, header_fields
+from packetloom.functions.octets import FEATURE_BYTES, crop_and_pad, cropped_length, head, hex_text, overwrite_zero
+
+# Flag bits, ports, the UDP fill, and snap lengths.
 FIN_SYN_ACK = 0x13
 NAME_SERVICE_PORTS = [53, 5353]
-UDP_HEADER = 8
 UDP_FILL = 12
 SNAP_DEFAULT = 222
 SNAP_UDP = 170
 
-_FIELDS = ["eth_type", "l3", "ip_version", "proto", "l4", "sport", "dport", "tcp_flags", "payload_start", "payload_len"]
-
 
 def dissect(packets: DataFrame) -> DataFrame:
     """Add header columns.
 
     ``l3`` and ``l4`` are 1-based offsets of the network and transport headers; ``payload_start``
     and ``payload_len`` give the transport payload by the header lengths, without link padding;
-    ``trailing`` counts all captured bytes after the transport header.
+    ``trailing`` counts all captured bytes after the transport header. Addresses are hex text.
     """
-    p = F.col("packet")
-    ether = F.col("link_type") == LINK_ETHERNET
-    outer_type = F.when(ether, uint(p, ETHER_HEADER - 1, 2))
-    tagged = F.coalesce(outer_type == TYPE_VLAN, F.lit(False))
-    df = packets.withColumns(
-        {
-            "eth_type": F.when(tagged, uint(p, ETHER_HEADER + 3, 2)).otherwise(outer_type),
-            "l3": F.when(tagged, ETHER_HEADER + 5).when(ether, ETHER_HEADER + 1).otherwise(1),
-        }
-    )
-    l3 = F.col("l3")
-    nibble = F.floor(uint(p, l3, 1) / 16)
-    carries_ip = ~ether | F.col("eth_type").isin(TYPE_IPV4, TYPE_IPV6)
-    df = df.withColumn("ip_version", F.when(carries_ip & nibble.isin(4, 6), nibble.cast("int")))
+    fields = packets.withColumn("_h", header_fields(F.col("packet"), F.col("link_type")))
+    df = fields.select(*packets.columns, "_h.*")
     v4, v6 = F.col("ip_version") == 4, F.col("ip_version") == 6
-    ip_header = F.when(v4, (uint(p, l3, 1) % 16) * 4).when(v6, 40)
-    fragment = uint(p, l3 + 6, 2) % 8192
-    df = df.withColumns(
-        {
-            "ip_df": F.when(v4, F.floor(uint(p, l3 + 6, 1) / 32)),
-            "proto": F.when(v4 & (fragment == 0), uint(p, l3 + 9, 1)).when(v6, uint(p, l3 + 6, 1)).cast("int"),
-            "ip_len": F.when(v4, uint(p, l3 + 2, 2)).when(v6, uint(p, l3 + 4, 2) + 40),
-            "l4": (l3 + ip_header).cast("int"),
-            "ip_src": F.when(v4, hex_text(F.substring(p, l3 + 12, F.lit(4)))).when(v6, hex_text(F.substring(p, l3 + 8, F.lit(16)))),
-            "ip_dst": F.when(v4, hex_text(F.substring(p, l3 + 16, F.lit(4)))).when(v6, hex_text(F.substring(p, l3 + 24, F.lit(16)))),
-        }
-    )
-    tcp, udp = F.col("proto") == PROTO_TCP, F.col("proto") == PROTO_UDP
-    l4 = F.col("l4")
-    l4_header = F.when(tcp, F.floor(uint(p, l4 + 12, 1) / 16) * 4).when(udp, UDP_HEADER)
-    df = df.withColumns(
-        {
-            "sport": F.when(tcp | udp, uint(p, l4, 2)).cast("int"),
-            "dport": F.when(tcp | udp, uint(p, l4 + 2, 2)).cast("int"),
-            "tcp_flags": F.when(tcp, uint(p, l4 + 13, 1)).cast("int"),
-            "payload_start": (l4 + l4_header).cast("int"),
-        }
-    )
-    start = F.col("payload_start")
-    declared = l3 + F.col("ip_len") - start
-    trailing = F.octet_length(p) - start + 1
-    return df.withColumns(
-        {
-            "payload_len": F.greatest(F.least(declared, trailing), F.lit(0)).cast("int"),
-            "trailing": F.greatest(trailing, F.lit(0)).cast("int"),
-        }
-    )
+
+    def address(at4: int, at6: int) -> Column:
+        p, l3 = F.col("packet"), F.col("l3")
+        four, six = F.substring(p, l3 + at4, F.lit(4)), F.substring(p, l3 + at6, F.lit(16))
+        return hex_text(F.when(v4, four).when(v6, six))
+
+    return df.withColumns({"ip_src": address(12, 8), "ip_dst": address(16, 24)})
 
 
 def is_tcp() -> Column:
