@@ -37,7 +37,7 @@ def a1(spark, sf_dir):
     "f AS (SELECT label, conv, min(event_id) AS first FROM c GROUP BY 1, 2), "
     "g AS (SELECT label, conv, row_number() OVER (PARTITION BY label ORDER BY first) - 1 AS stream FROM f) "
     "SELECT event_id + 1 AS frame_no, c.protocol, c.ip_src, ('0x' || c.sport)::INT AS sport, c.ip_dst, ('0x' || c.dport)::INT AS dport, "
-    "(length(l3) // 2 + 14)::BIGINT AS frame_len, ((CASE WHEN s = 9 THEN 40 ELSE 20 END) + length(inn) // 2)::BIGINT AS ip_len, "
+    "(length(l3) // 2 + 14)::BIGINT AS frame_len, ((CASE WHEN s = 9 THEN 40 ELSE 20 END) + length(inn) // 2)::INT AS ip_len, "
     "body AS payload, g.stream FROM c JOIN g ON g.label = c.label AND g.conv = c.conv",
 )
 def a4(spark, sf_dir):

@@ -11,6 +11,10 @@ import time
 import duckdb
 
 
+# SQL type names and Spark's.
+EQUAL_TYPES = {"VARCHAR": "string", "INTEGER": "int"}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
@@ -33,10 +37,6 @@ def rows(columns: list[str], data) -> list[tuple]:
     return sorted((tuple(_plain(r[i]) for i in order) for r in data), key=repr)
 
 
-def kinds(data: list[tuple]) -> list[set]:
-    return [{type(v).__name__ for v in column if v is not None} for column in zip(*data)]
-
-
 def difference(name: str, spark_df, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
     mine = rows(spark_df.columns, spark_df.collect())
     cursor = con.execute(sql)
@@ -44,14 +44,16 @@ def difference(name: str, spark_df, con: duckdb.DuckDBPyConnection, sql: str) ->
     theirs = rows(columns, cursor.fetchall())
     if sorted(columns) != sorted(spark_df.columns):
         return f"columns {sorted(spark_df.columns)} / {sorted(columns)}"
+    types = dict(spark_df.dtypes)
+    for column, kind in [r[:2] for r in con.execute("DESCRIBE " + sql).fetchall()]:
+        if EQUAL_TYPES.get(kind, kind.lower()) != types[column]:
+            return f"type of {column}: {types[column]} / {kind}"
     if len(mine) != len(theirs):
         return f"rows {len(mine)} / {len(theirs)}"
-    if kinds(mine) != kinds(theirs):
-        return f"types {kinds(mine)} / {kinds(theirs)}"
     wrong = [(a, b) for a, b in zip(mine, theirs) if a != b]
     if wrong:
         return f"{len(wrong)} of {len(mine)} rows differ, first {str(wrong[0])[:600]}"
-    return None if mine else "no rows at all"
+    return None if mine else "(no rows)"
 
 
 def main() -> None:
@@ -72,7 +74,7 @@ def main() -> None:
             problem = difference(name, df, con, sqls[name]) if name in sqls else f"(no SQL) {df.count()} rows"
         except Exception as error:  # noqa: BLE001
             problem = f"{type(error).__name__}: {str(error)[:700]}"
-        flag = "ok  " if problem is None or problem.startswith("(no SQL)") else "BAD "
+        flag = "ok  " if problem is None or problem.startswith("(no ") else "BAD "
         bad += flag == "BAD "
         print(f"{flag}{name} {time.time() - start:.1f}s {problem or ''}", flush=True)
     print("bad:", bad)
