@@ -36,6 +36,12 @@ def directory_label(path: Column) -> Column:
     return F.regexp_extract(path, "([^/]+)/[^/]+$", 1)
 
 
+def local_path(uri: Column) -> Column:
+    """The path of a file URI, as Spark reports it, without its scheme and encoding."""
+    plain = F.url_decode(F.regexp_replace(uri, r"\+", "%2B"))
+    return F.regexp_replace(plain, "^[a-z0-9]+:/+", "/")
+
+
 def relative_directory(path: Column, root: str) -> Column:
     """The directory of a file below ``root``, "." for the root itself."""
     directory = F.regexp_replace(path, "/[^/]*$", "")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.functions.hashing import hash_key
-from packetloom.functions.names import clean_stem, file_stem, relative_directory
+from packetloom.functions.names import clean_stem, file_stem, local_path, relative_directory
 from packetloom.operators import labels, sampling
 
 # The manifest, and how deep structs are flattened.
@@ -78,7 +78,7 @@ class Members:
         reader = spark.read.format(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
         reader = reader.options(**options)
         df = (reader.schema(schema) if schema else reader).load(root)
-        path = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9]+:/+", "/")
+        path = local_path(F.col("_metadata.file_path"))
         home = "/" + root.split("://")[-1].strip("/")
         named = df.where(F.col("_metadata.file_size") > threshold).select(
             *[F.col(f"`{c}`").alias(c.replace(".", "_").lstrip("_")) for c in df.columns],
