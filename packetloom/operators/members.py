@@ -261,9 +261,10 @@ class Members:
         """Apply a function to pandas batches.
 
         It gets the input columns (all by default), with ``rank`` the partition number, and returns
-        a frame of new or replaced columns named in ``schema``, or any number of rows if all other
-        columns are removed. ``batch_size`` re-cuts Arrow's batches inside a partition, where
-        ``drop_last_batch`` leaves out a short one.
+        a frame of new or replaced columns named in ``schema``. If all other columns are removed it
+        may return any number of rows, and then gets the rows of one member at a time.
+        ``batch_size`` re-cuts Arrow's batches inside a partition, where ``drop_last_batch`` leaves
+        out a short one.
         """
         new = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         source = self.df.withColumn("rank", F.spark_partition_id()) if with_rank else self.df
@@ -271,6 +272,7 @@ class Members:
         removed = set(remove_columns or []) | set(new.names)
         names = [self.split, self.dataset]
         carried = [f for f in self.df.schema.fields if f.name not in removed]
+        free = {f.name for f in carried} == set(names)
         out = T.StructType([*carried, *new.fields])
 
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,16 +288,21 @@ class Members:
             if rest is not None and len(rest) and not drop_last_batch:
                 yield rest
 
+        def tagged(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            for key, rows in batch.groupby(names, sort=False, dropna=False):
+                made = function(rows[given].reset_index(drop=True), **kwargs).reset_index(drop=True)
+                yield made.assign(**dict(zip(names, key)))[out.names]
+
         def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in cut(batches):
+                if free:
+                    yield from tagged(batch)
+                    continue
                 made = function(batch[given], **kwargs).reset_index(drop=True)
-                if len(made) == len(batch):
-                    kept = batch[[f.name for f in carried]].reset_index(drop=True)
-                    yield pd.concat([kept, made[new.names]], axis=1)
-                elif {f.name for f in carried} <= set(names):
-                    raise ValueError("a batch that changes its number of rows must use map_members")
-                else:
+                if len(made) != len(batch):
                     raise ValueError("the function changed the number of rows while columns are kept")
+                kept = batch[[f.name for f in carried]].reset_index(drop=True)
+                yield pd.concat([kept, made[new.names]], axis=1)
 
         return self._with(source.mapInPandas(apply, out))
 
