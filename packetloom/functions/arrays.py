@@ -60,11 +60,14 @@ def normalised(b: Column, width: int, mean: float, std: float, pad: str = "befor
     With ``pad="before"`` the fill is normalised too and ends as ``-mean/std``; with ``"after"``
     it stays 0.
     """
+
+    def scaled(octets: Column) -> Column:
+        return F.transform(byte_values(octets), lambda v: (v / F.lit(255.0) - F.lit(mean)) / F.lit(std))
+
     if pad == "before":
-        return affine(unit_floats(b, width), mean, std)
+        return scaled(crop_and_pad(b, width))
     if pad == "after":
-        values = F.transform(byte_values(F.substring(b, 1, width)), lambda v: v / F.lit(255.0))
-        return pad_values(affine(values, mean, std), width)
+        return pad_values(scaled(F.substring(b, 1, width)), width)
     raise ValueError(f"pad must be 'before' or 'after', not {pad!r}")
 
 

@@ -93,7 +93,7 @@ def numbered_frames(
 
 def with_streams(packets: DataFrame, file: list[str], conversation: list[str], frame: str = "frame_no") -> DataFrame:
     """Add ``stream``: conversations of a file numbered from 0 in the order of their first packet."""
-    first = packets.groupBy(*file, *conversation).agg(F.min(frame).alias("_first"))
+    first = stored(packets.groupBy(*file, *conversation).agg(F.min(frame).alias("_first")), "conversations")
     ranked = bucketed_rank(first, file, [F.col("_first")], F.floor(F.col("_first") / 100_000), "_n")
     numbers = stored(ranked.select(*file, *conversation, (F.col("_n") - 1).alias("stream")), "streams")
     return attach(packets, numbers, [*file, *conversation])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from packetloom.operators import flows, packets
 from packetloom.operators.members import Members
 from packetloom.operators.sampling import sample_flows
+from packetloom.operators.stored import attach, stored
 from packetloom.sources.captures import BATCH_PACKETS, BATCHES_PER_FILE, read_captures
 from packetloom.sources.tables import field_extract_schema, write_parquet
 
@@ -25,14 +26,17 @@ def captures_to_features(
     write_parquet(rows, target, mode="append")
 
 
-def captures_to_fields(spark: SparkSession, root: str) -> DataFrame:
-    """Field-extract rows of all captures, with stream number and relative time."""
-    dissected = packets.dissect(read_captures(spark, root))
-    fields = packets.extracted_fields(dissected)
+def packets_to_fields(frames: DataFrame) -> DataFrame:
+    """Field-extract rows of packets, with stream number and relative time.
+
+    The packets are read once for the stream numbers, once for the start of every file and once for
+    the rows themselves: pass a packet table, or a scan of captures if parsing is cheap.
+    """
+    fields = packets.extracted_fields(packets.dissect(frames))
     ends = flows.session_key("ip_src", "sport", "ip_dst", "dport")
-    first = fields.groupBy("file_path").agg(F.min("ts").alias("_first"))
+    first = stored(frames.groupBy("file_path").agg(F.min("ts").alias("_first")), "first-packet")
     relative = (F.unix_micros("ts") - F.unix_micros("_first")) / F.lit(1_000_000.0)
-    timed = fields.join(first, "file_path").withColumn("time_relative", relative).drop("_first")
+    timed = attach(fields, first, ["file_path"]).withColumn("time_relative", relative).drop("_first")
     keyed = timed.select("*", *ends)
     names = ["protocol", "host_a", "port_a", "host_b", "port_b"]
     return flows.with_streams(keyed, ["file_path"], names).drop(*names[1:])

@@ -33,14 +33,16 @@ def _cut(pieces: list, width: int) -> list:
 def _merge(sessions: list, new: list, gap: int, width: int) -> list:
     """Sessions ``[first, last, packets, pieces]`` with new ones folded in."""
     merged: list = []
-    for first, last, packets, pieces in sorted(sessions + new):
+    for first, last, packets, pieces in sorted(sessions + new, key=lambda s: s[0]):
         if merged and first - merged[-1][1] <= gap:
             held = merged[-1]
             held[1] = max(held[1], last)
             held[2] += packets
-            held[3] = _cut(held[3] + pieces, width)
+            held[3].extend(pieces)
         else:
-            merged.append([first, last, packets, _cut(pieces, width)])
+            merged.append([first, last, packets, list(pieces)])
+    for session in merged:
+        session[3] = _cut(session[3], width)
     return merged
 
 

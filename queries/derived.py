@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.functions.arrays import bind
 from queries.registry import table
 
 MTU = 1400
@@ -107,21 +108,25 @@ def document_captures(docs: DataFrame) -> DataFrame:
         h = _hex(value.cast("long"), 8)
         return F.when(little, F.concat(h.substr(7, 2), h.substr(5, 2), h.substr(3, 2), h.substr(1, 2))).otherwise(h)
 
-    def record(i: Column) -> Column:
-        chunk = F.lower(F.hex(F.substring(x, i * MTU + 1, F.lit(MTU))))
+    def record(i: Column, chunk: Column) -> Column:
         size = F.length(chunk) / 2
+        length = u32(size + 54)
         part = F.when(little, i).otherwise(i * 1000)
         return F.concat(
-            u32(F.lit(1700000000) + F.col("doc_id")), u32(part), u32(size + 54), u32(size + 54),
+            u32(F.lit(1700000000) + F.col("doc_id")), u32(part), length, length,
             F.lit("aabbccddee01aabbccddee020800" + "4500"), _hex((size + 40).cast("long"), 4), _hex(i.cast("long"), 4),
             F.lit("0000" + "4006beef" + "0a00"), _hex(F.col("doc_id") % 65536, 4), F.lit("c0a80001"), F.lit("c00001bb"),
             _hex((i * MTU).cast("long"), 8), F.lit("00000000" + "5018ffffdead0000"), chunk,
         )
 
+    def all_records(text: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, i * 2 * MTU + 1, F.lit(2 * MTU)))
+        return F.array_join(F.transform(pieces, lambda chunk, i: record(i, chunk)), "")
+
     header = F.when(little, "d4c3b2a10200040000000000000000000000040001000000").otherwise(
         "a1b23c4d00020004000000000000000000040000" + "00000001"
     )
-    records = F.array_join(F.transform(F.sequence(F.lit(0), count - 1), record), "")
+    records = bind(F.lower(F.hex(x)), all_records)
     path = F.concat(F.lit("/captures/"), "lang", F.lit("/"), "doc_id", F.lit(".pcap"))
     return docs.select(path.alias("path"), F.unhex(F.concat(header, records)).alias("content"))
 

@@ -156,9 +156,9 @@ def b13(spark, sf_dir):
     return members(spark, sf_dir).remove_columns("n_chars").cast_column("doc_id", "string").rename_column("doc_id", "id").df
 
 
-@query("b14_row_filter", MEMBERS_SQL + " WHERE n_chars > 1000 AND doc_id % 3 = 0")
+@query("b14_row_filter", MEMBERS_SQL + " WHERE n_chars > 1000 AND source > 'm'")
 def b14(spark, sf_dir):
-    return members(spark, sf_dir).filter(F.col("n_chars") > 1000).filter(lambda batch: batch["doc_id"] % 3 == 0).df
+    return members(spark, sf_dir).filter(F.col("n_chars") > 1000).filter(lambda batch: batch["dataset"] > "m").df
 
 
 @query("b17_restricted_columns", "SELECT lang AS split, source AS dataset, n_chars FROM documents")

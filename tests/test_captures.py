@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.octets import hex_text
 from packetloom.operators import packets
-from packetloom.plans.capture_features import captures_to_features, captures_to_fields, extracts_to_flows
+from packetloom.plans.capture_features import captures_to_features, packets_to_fields, extracts_to_flows
 from packetloom.sources.captures import capture_files, parse_captures, read_captures, scan_large
 from packetloom.sources.files import directory_ids, list_files
 from packetloom.streaming.ingest import ingest_captures
@@ -156,7 +156,7 @@ def test_fields(spark, folder):
     back = ipv4(tcp(0x18, b"cd", 80, 1000), 6, src=bytes([192, 168, 7, 9]), dst=bytes([10, 1, 2, 3]))
     other = ipv4(udp(b"ef", 1000, 80), 17)
     write(folder, "x/c.pcap", capture([ether(p) for p in (there, other, back, there)]))
-    rows = captures_to_fields(spark, folder).orderBy("frame_no").collect()
+    rows = packets_to_fields(read_captures(spark, folder)).orderBy("frame_no").collect()
     assert [r["stream"] for r in rows] == [0, 1, 0, 0]
     assert [r["payload"] for r in rows] == ["6162", "6566", "6364", "6162"]
     assert [round(r["time_relative"], 6) for r in rows] == [0, 1.000001, 2.000002, 3.000003]
