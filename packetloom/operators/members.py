@@ -140,8 +140,10 @@ class Members:
             raise FileNotFoundError(f"no manifest at {path}/{MANIFEST}: not a saved two-level dataset") from error
         if not rows or rows[0]["kind"] != KIND:
             raise FileNotFoundError(f"{path}/{MANIFEST} does not describe a two-level dataset")
-        df = spark.read.parquet(f"{path}/data")
-        return cls(df.withColumns({"split": F.col("split").cast("string"), "dataset": F.col("dataset").cast("string")}))
+        found = spark.read.parquet(f"{path}/data").schema
+        names = [T.StructField(n, T.StringType()) for n in ("split", "dataset")]
+        schema = T.StructType([f for f in found.fields if f.name not in ("split", "dataset")] + names)
+        return cls(spark.read.schema(schema).parquet(f"{path}/data"))
 
     # selection
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Predictor
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,24 +51,25 @@ def train_classifier(
     df: DataFrame,
     vector: str,
     label: str,
-    grid: list[float] | None = None,
+    estimator: Predictor | None = None,
+    grid: list[dict] | list[float] | None = None,
     folds: int = 2,
     seed: int = 42,
-    max_iter: int = 20,
 ) -> PipelineModel | CrossValidatorModel:
-    """Multinomial logistic regression on an array column.
+    """A classifier on an array column; multinomial logistic regression unless another is given.
 
-    The number of classes comes from the data. With a grid of regularisation strengths the best
-    model by F1 under cross-validation is returned. The classifier does its own scaling.
+    The number of classes comes from the data. With a grid - regularisation strengths, or settings
+    as ``{param: value}`` - the best model by F1 under cross-validation is returned.
     """
-    if vector != "features":
-        df = df.withColumn("features", array_to_vector(F.col(vector)))
-    lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=max_iter, family="multinomial")
+    df = df.withColumn("features", array_to_vector(F.col(vector)))
+    classifier = estimator or LogisticRegression(maxIter=20, family="multinomial")
+    classifier = classifier.copy().setFeaturesCol("features").setLabelCol(label)
     if not grid:
-        return Pipeline(stages=[lr]).fit(df)
-    params = ParamGridBuilder().addGrid(lr.regParam, grid).build()
+        return Pipeline(stages=[classifier]).fit(df)
+    settings = [g if isinstance(g, dict) else {"regParam": g} for g in grid]
+    params = [{classifier.getParam(name): value for name, value in g.items()} for g in settings]
     best_f1 = MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
-    search = CrossValidator(estimator=lr, estimatorParamMaps=params, evaluator=best_f1, numFolds=folds, seed=seed)
+    search = CrossValidator(estimator=classifier, estimatorParamMaps=params, evaluator=best_f1, numFolds=folds, seed=seed)
     return search.fit(df)
 
 

@@ -200,7 +200,7 @@ def read_captures(
     spark: SparkSession,
     root: str,
     pattern: str = "*.pcap",
-    large: int = 512 << 20,
+    large: int = 128 << 20,
     batch: int = BATCH_PACKETS,
     max_batches: int | None = None,
 ) -> DataFrame:

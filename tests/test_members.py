@@ -96,6 +96,13 @@ def test_save_and_load(spark, members, folder):
         Members.load(spark, folder + "/o")
 
 
+def test_names_that_look_like_numbers(spark, folder):
+    df = spark.createDataFrame([(1, "001", "2024-01-01"), (2, "1", "x y")], "id int, split string, dataset string")
+    Members(df).save(folder + "/n")
+    again = Members.load(spark, folder + "/n")
+    assert sorted((r["id"], r["split"], r["dataset"]) for r in again.df.collect()) == [(1, "001", "2024-01-01"), (2, "1", "x y")]
+
+
 def test_collapse(members):
     assert {r["path"] for r in members.as_paths().collect()} == {"train/a", "train/b", "test/a"}
     assert set(members.as_splits().columns) == {"id", "text", "label", "split"}

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from packetloom.operators import labels, metrics, projection
@@ -114,6 +115,8 @@ def test_classifier(spark):
     df = spark.createDataFrame(rows, "id int, label int, v array<double>")
     scored = projection.score(projection.train_classifier(df, "v", "label", grid=[0.01, 10.0]), df, "v", "label", ["id"])
     assert metrics.summary(metrics.confusion_counts(scored)).first()["f1"] > 0.98
+    forest = projection.train_classifier(df, "v", "label", RandomForestClassifier(seed=1), grid=[{"numTrees": 5}, {"maxDepth": 2}])
+    assert metrics.summary(metrics.confusion_counts(projection.score(forest, df, "v", "label", ["id"]))).first()["f1"] > 0.95
     row = scored.first()
     assert len(row["scores"]) == 3 and sum(row["scores"]) == pytest.approx(1)
 
