@@ -16,6 +16,9 @@ SLICE_SECONDS = 3600
 MIN_BYTES = 200
 MIN_PACKETS = 4
 
+# Seconds per ranking bucket when frames are numbered: what one task sorts of one file.
+RANK_SECONDS = 1
+
 # Rows one assembly step brings together at most.
 _FAN_IN = 1024
 
@@ -77,11 +80,12 @@ def with_slices(packets: DataFrame, keys: list[str], ts: str = "ts", seconds: in
 
 
 def numbered_frames(
-    packets: DataFrame, file: list[str], ts: str, tie: list[str], bucket_seconds: int = SLICE_SECONDS
+    packets: DataFrame, file: list[str], ts: str, tie: list[str], bucket_seconds: int = RANK_SECONDS
 ) -> DataFrame:
     """Add ``frame_no`` (from 1) and ``time_relative`` seconds within the file.
 
-    Frames are ranked inside time buckets, so that one file may hold most packets.
+    Frames are ranked inside time buckets, so that one file may hold most packets. Where the bucket
+    counts are too many to broadcast, rows are shuffled by file and bucket once, for join and rank.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     bucket = F.floor(micros / F.lit(bucket_seconds * 1_000_000))

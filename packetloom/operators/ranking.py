@@ -3,8 +3,8 @@
 Classes are few and one of them may hold most rows, so ``row_number`` over a class would put it
 into one task. Here the hash space is cut into 65 536 buckets: counts per (key, bucket) are
 partially aggregated before the shuffle, and their running sum, over the small count table, says
-which single bucket of each key holds the n-th row. Only the rows of that bucket are sorted, and
-only their keys and hashes move. What remains for the wide rows is a comparison with one
+which single bucket of each key holds the n-th row. Of that bucket the hashes are counted, again
+with partial aggregation, and the counts put in order. What remains for the wide rows is a comparison with one
 threshold per key: no payload is shuffled.
 """
 
@@ -19,6 +19,9 @@ from packetloom.operators.stored import attach, stored
 
 BUCKET_DIGITS = 4
 
+# Copies written out by one piece.
+PIECE = 10_000
+
 
 def _bucket() -> Column:
     return F.substring(F.col("_h"), 1, BUCKET_DIGITS)
@@ -38,12 +41,12 @@ def hash_cuts(
     allocate: Callable[[DataFrame], DataFrame],
     names: list[str],
 ) -> DataFrame:
-    """Hash thresholds per key: ``keys`` and one column per name.
+    """Where each named cut falls in the hash order of every key.
 
     ``allocate`` receives ``(keys, n_rows)`` and returns ``(keys, cut, n)``: how many rows of the
-    key each named cut takes. The rows of a key with ``h <=`` its threshold are exactly the n
-    first in hash order; a cut of no rows has a null threshold. Hashes must identify rows: copies
-    of one id fall on the same side of a cut.
+    key each cut takes. The result has ``keys`` and per name a struct ``(h, r, c)``: the hash of
+    the n-th row, how many of the rows with that hash are inside, and how many there are. It is
+    null for a cut of no rows.
     """
     slim = df.select(*keys, h.alias("_h"))
     sizes = stored(bucket_sizes(slim, keys, _bucket()), "bucket-sizes")
@@ -52,17 +55,50 @@ def hash_cuts(
     marks = (
         attach(sizes, cuts, keys)
         .where((F.col("_before") < F.col("n")) & (F.col("n") <= F.col("_before") + F.col("_c")))
-        .select(*keys, "_b", "cut", (F.col("n") - F.col("_before")).alias("_r"))
+        .select(*keys, "_b", "cut", (F.col("n") - F.col("_before")).alias("_n"))
     )
     marks = stored(marks, "cut-buckets")
-    in_bucket = Window.partitionBy(*keys, "cut").orderBy("_h")
-    found = (
-        attach(slim.withColumn("_b", _bucket()), marks, [*keys, "_b"])
-        .withColumn("_n", F.row_number().over(in_bucket))
-        .where(F.col("_n") == F.col("_r"))
-    )
-    at = [F.max(F.when(F.col("cut") == name, F.col("_h"))).alias(name) for name in names]
-    return stored(found.groupBy(*keys).agg(*at), "cuts")
+    copies = attach(slim.withColumn("_b", _bucket()), marks, [*keys, "_b"]).groupBy(*keys, "cut", "_n", "_h")
+    copies = copies.agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "cut").orderBy("_h"))
+    copies = copies.withColumn("_r", F.col("_n") - upto + F.col("_c"))
+    found = copies.where((F.col("_r") > 0) & (F.col("_r") <= F.col("_c")))
+    at = F.struct(F.col("_h").alias("h"), F.col("_r").alias("r"), F.col("_c").alias("c"))
+    return stored(found.groupBy(*keys).agg(*[F.max(F.when(F.col("cut") == n, at)).alias(n) for n in names]), "cuts")
+
+
+def with_cuts(df: DataFrame, keys: list[str], h: Column, cuts: DataFrame, names: list[str]) -> DataFrame:
+    """Rows with one boolean per cut of :func:`hash_cuts`, true inside it.
+
+    Rows with equal hashes, that is with equal ids, are copies. A cut through a group of copies
+    takes as many of them as are due: such groups, and no other rows, are counted by content and
+    written out again in bounded pieces, however many copies there are.
+    """
+    joined = attach(df.withColumn("_h", h), cuts, keys, "left")
+    inside = {
+        name: F.coalesce((F.col("_h") < F.col(name)["h"]) | ((F.col("_h") == F.col(name)["h"]) & (F.col(name)["r"] == F.col(name)["c"])), F.lit(False))
+        for name in names
+    }
+    through = F.lit(False)
+    for name in names:
+        through = through | F.coalesce(F.col(name)["r"] < F.col(name)["c"], F.lit(False))
+    if cuts.where(through).isEmpty():
+        return joined.select(*df.columns, *[c.alias(name) for name, c in inside.items()])
+
+    at_cut = F.lit(False)
+    for name in names:
+        at_cut = at_cut | F.coalesce((F.col("_h") == F.col(name)["h"]) & (F.col(name)["r"] < F.col(name)["c"]), F.lit(False))
+    whole = joined.where(~at_cut).select(*df.columns, *[c.alias(name) for name, c in inside.items()])
+    groups = joined.where(at_cut).groupBy(*df.columns, "_h", *names).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*keys, "_h").orderBy(*[c for c in df.columns if c not in keys])
+    groups = groups.withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
+    pieces = groups.withColumn("_p", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / PIECE)))).repartition("_h", "_p")
+    places = F.sequence(F.lit(1), F.least(F.lit(PIECE), F.col("_n") - F.col("_p") * PIECE).cast("int"))
+    rows = pieces.withColumn("_i", F.explode(places)).withColumn("_i", F.col("_before") + F.col("_p") * PIECE + F.col("_i"))
+    parts = {
+        name: F.when(F.col("_h") == F.col(name)["h"], F.col("_i") <= F.col(name)["r"]).otherwise(inside[name]) for name in names
+    }
+    return whole.union(rows.select(*df.columns, *[c.alias(name) for name, c in parts.items()]))
 
 
 def take(n: Column | int, cut: str = "keep") -> Callable[[DataFrame], DataFrame]:
@@ -79,14 +115,15 @@ def takes(**cuts: Column) -> Callable[[DataFrame], DataFrame]:
 
 def hash_cut(df: DataFrame, keys: list[str], h: Column, n: Column | int) -> DataFrame:
     """The first ``n`` rows of every key in hash order."""
-    cuts = hash_cuts(df, keys, h, take(n), ["keep"])
-    return attach(df.withColumn("_h", h), cuts, keys).where(F.col("_h") <= F.col("keep")).select(*df.columns)
+    cuts = hash_cuts(df, keys, h, take(n, "_keep"), ["_keep"])
+    return with_cuts(df, keys, h, cuts, ["_keep"]).where("_keep").select(*df.columns)
 
 
 def bucketed_rank(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str = "rank") -> DataFrame:
     """``row_number`` over ``keys`` in the given order, sorted bucket by bucket.
 
-    ``bucket`` must never decrease along the order. The work of one key spreads over its buckets.
+    ``bucket`` must never decrease along the order, and be fine enough that one task can sort a
+    bucket of one key. The work of one key spreads over its buckets.
     """
     tagged = df.withColumn("_b", bucket)
     sizes = stored(bucket_sizes(tagged, keys, F.col("_b")), "bucket-sizes").drop("_c")

@@ -1,4 +1,8 @@
-"""Sampling and splitting. Rows are identified by ``ids``; labels may be arbitrarily skewed."""
+"""Sampling and splitting; labels may be arbitrarily skewed.
+
+Rows are identified by ``ids``. Rows that share an id count one by one all the same: sizes are exact
+whatever the number of copies.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.hashing import bernoulli, hash_key, hash_number
-from packetloom.operators.ranking import hash_cut, hash_cuts, hash_rank, take, takes
+from packetloom.operators.ranking import hash_cut, hash_cuts, hash_rank, take, takes, with_cuts
 from packetloom.operators.stored import attach, stored
 
 # The sampling seed, and the class size below which classes are not cut.
@@ -21,9 +25,8 @@ def label_sizes(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def _part(h: Column | str, test_at: str) -> Column:
-    h = F.col(h) if isinstance(h, str) else h
-    return F.when(h <= F.col(test_at), "test").otherwise("train")
+def _part(test: str = "_test") -> Column:
+    return F.when(F.col(test), "test").otherwise("train")
 
 
 def under_sample(df: DataFrame, ids: list[str], n: int, label: str = "labels", seed: int = SAMPLE_SEED) -> DataFrame:
@@ -38,9 +41,8 @@ def split_exact(df: DataFrame, ids: list[str], test_size: float, label: str = "l
     """
     df = df.where(F.col(label).isNotNull())
     h = hash_key(seed, *ids)
-    cuts = hash_cuts(df, [label], h, take(F.floor(F.col("n_rows") * F.lit(float(test_size))), "test_at"), ["test_at"])
-    joined = attach(df.withColumn("_h", h), cuts, [label], "left")
-    return joined.select(*df.columns, _part("_h", "test_at").alias("part"))
+    cuts = hash_cuts(df, [label], h, take(F.floor(F.col("n_rows") * F.lit(float(test_size))), "_test"), ["_test"])
+    return with_cuts(df, [label], h, cuts, ["_test"]).select(*df.columns, _part().alias("part"))
 
 
 def sample_and_split(
@@ -51,9 +53,9 @@ def sample_and_split(
     h = hash_key(seed, *ids)
     sample = F.least(F.col("n_rows"), F.lit(n))
     test = F.floor(sample * F.lit(float(test_size)))
-    cuts = hash_cuts(df, [label], h, takes(keep=sample, test_at=test), ["keep", "test_at"])
-    joined = attach(df.withColumn("_h", h), cuts, [label]).where(F.col("_h") <= F.col("keep"))
-    return joined.select(*df.columns, _part("_h", "test_at").alias("part"))
+    names = ["_keep", "_test"]
+    cuts = hash_cuts(df, [label], h, takes(_keep=sample, _test=test), names)
+    return with_cuts(df, [label], h, cuts, names).where("_keep").select(*df.columns, _part().alias("part"))
 
 
 def balance_and_split(
@@ -76,12 +78,11 @@ def balance_and_split(
         def smallest(totals: DataFrame) -> DataFrame:
             least_rows = totals.agg(F.greatest(F.min("n_rows"), F.lit(floor)).alias("cap"))
             capped = totals.withColumn("k", F.lit(0)).join(least_rows.withColumn("k", F.lit(0)), "k")
-            return capped.withColumn("cut", F.lit("keep")).withColumn("n", F.least("n_rows", "cap"))
+            return capped.withColumn("cut", F.lit("_keep")).withColumn("n", F.least("n_rows", "cap"))
 
         h = hash_key(seed, *ids)
-        cuts = hash_cuts(df, [label], h, smallest, ["keep"])
-        columns = df.columns
-        df = attach(df.withColumn("_h", h), cuts, [label]).where(F.col("_h") <= F.col("keep")).select(*columns)
+        cuts = hash_cuts(df, [label], h, smallest, ["_keep"])
+        df = with_cuts(df, [label], h, cuts, ["_keep"]).where("_keep").drop("_keep")
     test = bernoulli(hash_key(split_seed, *ids), test_size)
     return df.withColumn("part", F.when(test, "test").otherwise("train"))
 
@@ -109,9 +110,8 @@ def sample_flows(
     """
     h = hash_key(seed, file, stream)
     flows = packets.select(file, stream).distinct()
-    cuts = hash_cuts(flows, [file], h, take(F.floor(F.col("n_rows") / share)), ["keep"])
-    chosen = attach(packets.withColumn("_h", h), cuts, [file]).where(F.col("_h") <= F.col("keep"))
-    return chosen.select(*packets.columns)
+    cuts = hash_cuts(flows, [file], h, take(F.floor(F.col("n_rows") / share), "_keep"), ["_keep"])
+    return with_cuts(packets, [file], h, cuts, ["_keep"]).where("_keep").select(*packets.columns)
 
 
 def sample_with_replacement(
@@ -120,7 +120,7 @@ def sample_with_replacement(
     """``n`` draws from every label, each row as often as it is drawn; ``draw`` numbers them.
 
     A draw is a hash reduced modulo the class size; rows are numbered in hash order, of which only
-    label, id and number move, and the wide rows are fetched by id.
+    label, id and number move, and the wide rows are fetched by id, which must be unique.
     """
     df = df.where(F.col(label).isNotNull())
     ranked = hash_rank(df.select(label, *ids), [label], hash_key(seed, *ids))
@@ -155,12 +155,11 @@ def split_proportional(
         place = F.row_number().over(everything.orderBy(F.col("rest").desc(), F.col(label)))
         left = F.col("want") - F.sum("base").over(everything)
         extra = F.when(place <= left, 1).otherwise(0)
-        return shares.withColumn("n", F.col("base") + extra).withColumn("cut", F.lit("test_at"))
+        return shares.withColumn("n", F.col("base") + extra).withColumn("cut", F.lit("_test"))
 
     h = hash_key(seed, *ids)
-    cuts = hash_cuts(df, [label], h, largest_remainder, ["test_at"])
-    joined = attach(df.withColumn("_h", h), cuts, [label], "left")
-    return joined.select(*df.columns, _part("_h", "test_at").alias("part"))
+    cuts = hash_cuts(df, [label], h, largest_remainder, ["_test"])
+    return with_cuts(df, [label], h, cuts, ["_test"]).select(*df.columns, _part().alias("part"))
 
 
 def missing_classes(parts: DataFrame, label: str = "label") -> DataFrame:
@@ -192,12 +191,13 @@ def split_ratios(
     df = df.where(F.col(label).isNotNull())
     h = hash_key(seed, *ids)
     sample = F.least(F.col("n_rows"), F.lit(n))
-    tests = {f"t{i}": F.floor(sample * F.lit(float(r))) for i, r in enumerate(ratios)}
-    cuts = hash_cuts(df, [label], h, takes(keep=sample, **tests), ["keep", *tests])
-    kept = attach(df.withColumn("_h", h), cuts, [label]).where(F.col("_h") <= F.col("keep"))
+    tests = {f"_t{i}": F.floor(sample * F.lit(float(r))) for i, r in enumerate(ratios)}
+    names = ["_keep", *tests]
+    cuts = hash_cuts(df, [label], h, takes(_keep=sample, **tests), names)
+    kept = with_cuts(df, [label], h, cuts, names).where("_keep")
     options = F.array(
         *[
-            F.struct(F.lit(float(r)).alias("ratio"), _part("_h", f"t{i}").alias("part"))
+            F.struct(F.lit(float(r)).alias("ratio"), _part(f"_t{i}").alias("part"))
             for i, r in enumerate(ratios)
         ]
     )

@@ -50,7 +50,7 @@ def run(
 ) -> DataFrame:
     """From feature files to ``target``; returns the labels that the length filter lost.
 
-    Feature rows have no id of their own, so their content is it: equal rows stay on one side.
+    Feature rows have no id of their own, so their content is it.
     """
     df = spark.read.schema(FEATURE_SCHEMA).parquet(f"{source}/{FEATURE_GLOB}")
     df = df.withColumn("row_id", F.sha2("x", 256))

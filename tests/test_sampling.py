@@ -51,6 +51,31 @@ def test_cut_does_not_move_rows_or_sort_a_class(spark, skewed):
     assert "BroadcastHashJoin" in plan and "Window" not in plan and "Exchange hashpartitioning(labels" not in plan
 
 
+@pytest.mark.parametrize("n", [1, 500, 2999, 3000, 3001, 5000, 100_000])
+def test_cut_through_copies(spark, n):
+    """A third of all rows are copies of one."""
+    rows = [("same", "hot", b"x")] * 3000 + [(f"{i}", "hot", b"y") for i in range(3000)] + [("same", "cold", b"z")] * 40 + [("two", "two", b"1")] * 5 + [("two", "two", b"2")] * 4
+    df = spark.createDataFrame([(a, b, bytearray(c)) for a, b, c in rows], "id string, labels string, x binary").repartition(6)
+    kept = Counter(r["labels"] for r in sampling.under_sample(df, ["id"], n).collect())
+    assert kept == {label: min(n, size) for label, size in Counter(r[1] for r in rows).items()}
+    parts = sampling.sample_and_split(df, ["id"], n, 0.3).collect()
+    assert Counter((r["labels"], r["part"]) for r in parts) == Counter(
+        {(label, part): k for label, size in Counter(r[1] for r in rows).items() for m in [min(n, size)]
+         for part, k in (("test", int(m * 0.3)), ("train", m - int(m * 0.3))) if k}
+    )
+    whole = sampling.split_exact(df, ["id"], 0.3)
+    assert whole.drop("part").exceptAll(df).isEmpty() and whole.count() == len(rows)
+    test = whole.where("part = 'test'").groupBy("labels").count().collect()
+    assert {r["labels"]: r["count"] for r in test} == {"hot": 1800, "cold": 12, "two": 2}
+
+
+def test_copies_are_written_out_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "PIECE", 7)
+    df = spark.createDataFrame([("a", "l")] * 100, "id string, labels string")
+    assert sampling.under_sample(df, ["id"], 33).count() == 33
+    assert Counter(r["part"] for r in sampling.split_exact(df, ["id"], 0.5).collect()) == {"test": 50, "train": 50}
+
+
 def test_null_labels_are_a_class_of_their_own(spark):
     df = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(100)], "id long, labels string")
     counts = Counter(r["labels"] for r in sampling.under_sample(df, ["id"], 7).collect())
