@@ -109,7 +109,7 @@ def sample_flows(
     threshold per file on a hash of the flow key, which every packet carries.
     """
     h = hash_key(seed, file, stream)
-    flows = packets.select(file, stream).distinct()
+    flows = stored(packets.select(file, stream).distinct(), "flows")
     cuts = hash_cuts(flows, [file], h, take(F.floor(F.col("n_rows") / share), "_keep"), ["_keep"])
     return with_cuts(packets, [file], h, cuts, ["_keep"]).where("_keep").select(*packets.columns)
 

@@ -47,15 +47,18 @@ def run(
     min_feature_len: int | None = None,
     sample_per_label: int | None = None,
     test_ratio: float | None = None,
+    id_schema: str | None = None,
 ) -> DataFrame:
     """From feature files to ``target``; returns the labels that the length filter lost.
 
-    Feature rows have no id of their own, so their content is it.
+    ``id_schema`` declares id columns that the files carry besides the feature columns. Without
+    them a row's content is its id, which means reading it for every cut.
     """
-    df = spark.read.schema(FEATURE_SCHEMA).parquet(f"{source}/{FEATURE_GLOB}")
-    df = df.withColumn("row_id", F.sha2("x", 256))
-    made = prepare(df, ["row_id"], min_feature_len, sample_per_label, test_ratio)
-    made = made.drop("row_id")
+    df = spark.read.schema(", ".join(filter(None, [FEATURE_SCHEMA, id_schema]))).parquet(f"{source}/{FEATURE_GLOB}")
+    ids = [c for c in df.columns if c not in ("x", "feature_len", "labels")]
+    if not ids:
+        df, ids = df.withColumn("row_id", F.sha2("x", 256)), ["row_id"]
+    made = prepare(df, ids, min_feature_len, sample_per_label, test_ratio).drop("row_id")
     if test_ratio:
         write_parts(made, target)
     else:

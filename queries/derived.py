@@ -25,7 +25,7 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("event_id") % 10
     full = s.isin(0, 5, 7, 9)
     body = F.when(full, F.lower(F.hex(F.encode(F.coalesce("props", F.lit("")), "utf-8")))).otherwise("")
-    size = F.length(body) / 2
+    size = F.when(full, F.octet_length(F.encode(F.coalesce("props", F.lit("")), "utf-8"))).otherwise(0)
     sport, dport = _hex(1024 + F.col("user_id") % 60000, 4), F.when(s == 7, "0035").otherwise("01bb")
     src = F.concat(F.lit("0a00"), _hex(F.col("user_id") % 65536, 4))
     dst = F.concat(F.lit("c0a8"), _hex(F.col("event_id") % 250, 4))
@@ -37,9 +37,10 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     udp = F.concat(sport, dport, _hex((size + 8).cast("long"), 4), F.lit("cafe"), body)
     is_udp = s.isin(5, 6, 7)
     inner = F.when(is_udp, udp).otherwise(tcp)
+    inner_size = size + F.when(is_udp, 8).otherwise(20)
     v4 = F.concat(
         F.lit("4500"),
-        _hex((F.length(inner) / 2 + 20).cast("long"), 4),
+        _hex((inner_size + 20).cast("long"), 4),
         _hex(F.col("event_id") % 65536, 4),
         fragment,
         F.lit("40"),
@@ -51,7 +52,7 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(s == 4, "000000000000").otherwise(""),
     )
     v6 = F.concat(
-        F.lit("60000000"), _hex((F.length(inner) / 2).cast("long"), 4), F.lit("0640" + "20010db8" + "00" * 8), src,
+        F.lit("60000000"), _hex(inner_size.cast("long"), 4), F.lit("0640" + "20010db8" + "00" * 8), src,
         F.lit("20010db8" + "00" * 8), dst, inner,
     )
     arp = F.concat(F.lit("0001080006040001"), F.lit("aabbccddee01"), src, F.lit("000000000000"), dst)
@@ -59,15 +60,16 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("aabbccddee01aabbccddee02"),
         F.when(s == 8, F.concat(F.lit("0806"), arp)).when(s == 9, F.concat(F.lit("86dd"), v6)).otherwise(F.concat(F.lit("0800"), v4)),
     )
-    return e.select(
+    built = e.withColumn("packet", F.unhex(frame))
+    return built.select(
         "event_id",
         F.col("event_type").alias("label"),
         F.concat(F.lit("/captures/"), "event_type", F.lit("/day.pcap")).alias("file_path"),
         (F.col("event_id") + 1).alias("frame_no"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.lit(1).alias("link_type"),
-        F.unhex(frame).alias("packet"),
-        F.octet_length(F.unhex(frame)).cast("long").alias("wire_len"),
+        "packet",
+        F.octet_length("packet").cast("long").alias("wire_len"),
     )
 
 

@@ -185,6 +185,10 @@ def test_job_writes_both_sides(spark, folder):
     assert lost.count() == 0
     counts = {(r["labels"], r["part"]): r["count"] for r in spark.read.parquet(f"{folder}/out").groupBy("labels", "part").count().collect()}
     assert counts == {("a", "test"): 30, ("a", "train"): 120, ("b", "test"): 30, ("b", "train"): 120}
+    df.withColumn("n", F.monotonically_increasing_id()).write.parquet(f"{folder}/ids/one.transformed.parquet")
+    train_test.run(spark, f"{folder}/ids", f"{folder}/out2", None, 100, None, id_schema="n long")
+    kept = spark.read.parquet(f"{folder}/out2")
+    assert kept.columns == ["x", "feature_len", "labels", "n"] and kept.count() == 200
     train_test.few_shot(df.withColumn("id", F.sha2("x", 256)), ["id"], f"{folder}/sweep", [0.1, 0.5], 100)
     sweep = spark.read.parquet(f"{folder}/sweep").groupBy("ratio", "part", "labels").count().collect()
     assert {(r["ratio"], r["part"]): r["count"] for r in sweep if r["labels"] == "a"} == {
