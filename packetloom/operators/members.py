@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from packetloom.functions.hashing import hash_key
 from packetloom.functions.names import clean_stem, file_stem, local_path, relative_directory
 from packetloom.operators import labels, sampling
+from packetloom.sources.tables import CSV_OPTIONS
 
 # The manifest, and how deep structs are flattened.
 MANIFEST = "manifest"
@@ -95,7 +96,7 @@ class Members:
 
         The split is the directory below ``root``, the dataset the cleaned file stem.
         """
-        return cls._scan(spark, root, pattern, threshold, "csv", schema, header="true", mode="DROPMALFORMED")
+        return cls._scan(spark, root, pattern, threshold, "csv", schema, **CSV_OPTIONS)
 
     @classmethod
     def from_json(

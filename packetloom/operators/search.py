@@ -26,7 +26,13 @@ def contains_hex(packet: Column, needle: str, byte_aligned: bool = False) -> Col
 
 
 def matches(
-    texts: DataFrame, text_id: list[str], text: str, templates: DataFrame, template_id: list[str], template: str
+    texts: DataFrame,
+    text_id: list[str],
+    text: str,
+    templates: DataFrame,
+    template_id: list[str],
+    template: str,
+    byte_aligned: bool = False,
 ) -> DataFrame:
     """Pairs of ids where the text contains the template, literally: ``text_id, template_id``.
 
@@ -35,7 +41,7 @@ def matches(
     the blocks with the k possible seeds finds every text that may match; those are then checked
     with ``contains``. Blocks of a text add up to its own size, and only their hashes and the ids
     are joined. Ids of the two sides must have different names. Null and empty templates are left
-    out.
+    out. With ``byte_aligned`` both sides are lower-case hex, and a match starts at a whole byte.
     """
     known = templates.where(F.length(template) > 0).select(*template_id, F.col(template).alias("_t"))
     found = None
@@ -63,5 +69,8 @@ def matches(
         return texts.select(*text_id).join(known.select(*template_id), F.lit(False))
     candidates = attach(stored(found, "match-candidates"), known, template_id, null_keys=False)
     whole = texts.select(*text_id, F.col(text).alias("_x"))
-    checked = whole.join(stored(candidates, "match-candidates"), text_id).where(F.col("_x").contains(F.col("_t")))
+    found_in = F.col("_x").contains(F.col("_t"))
+    if byte_aligned:
+        found_in = found_in & F.rlike("_x", F.concat(F.lit("^(?:[0-9a-f]{2})*?"), "_t"))
+    checked = whole.join(stored(candidates, "match-candidates"), text_id).where(found_in)
     return checked.select(*text_id, *template_id)

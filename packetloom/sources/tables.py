@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from packetloom.functions.names import local_path
 from packetloom.functions.octets import byte_length, from_hex
 
 FEATURE_SCHEMA = "x binary, feature_len long, labels string"
 OLD_FEATURE_SCHEMA = "label long, feature array<double>, feature_len long"
 PACKET_ROW_SCHEMA = "label_id long, file_path string, packet binary, length long"
 TEMPLATE_SCHEMA = "label long, text_a string"
+CSV_OPTIONS = {"header": "true", "mode": "DROPMALFORMED", "columnPruning": "false"}
 BURST_SCHEMA = "burst binary, len int, label int"
 
 
@@ -38,10 +40,13 @@ def plain_names(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType | str, file_column: str | None = None) -> DataFrame:
-    """CSV with a header; blank and malformed lines are skipped. Optionally adds the file path."""
-    reader = spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED")
-    df = plain_names(reader.csv(paths))
-    return df.withColumn(file_column, F.input_file_name()) if file_column else df
+    """CSV with a header; blank and malformed lines are skipped. Optionally adds the file path.
+
+    Lines are split into all their fields whatever columns are used, so a line of the wrong width is
+    skipped always; one with a value of the wrong type is skipped by queries that use that column.
+    """
+    df = plain_names(spark.read.schema(schema).options(**CSV_OPTIONS).csv(paths))
+    return df.withColumn(file_column, local_path(F.input_file_name())) if file_column else df
 
 
 def read_tsv(spark: SparkSession, paths: str | list[str], schema: T.StructType | str) -> DataFrame:

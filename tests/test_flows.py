@@ -161,6 +161,15 @@ def test_template_search_against_brute_force(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_byte_aligned_search(spark):
+    rng = random.Random(3)
+    texts, templates = [rng.randbytes(30).hex() for _ in range(40)], [f"{i:x}" for i in range(16)] + [rng.randbytes(1).hex() for _ in range(40)]
+    left = spark.createDataFrame(list(enumerate(texts)), "id int, h string")
+    right = spark.createDataFrame(list(enumerate(templates)), "tid int, t string")
+    got = sorted(map(tuple, search.matches(left, ["id"], "h", right, ["tid"], "t", byte_aligned=True).collect()))
+    assert got == sorted((i, j) for i, h in enumerate(texts) for j, t in enumerate(templates) if any(h.startswith(t, k) for k in range(0, 60, 2)))
+
+
 def test_no_templates(spark):
     left = spark.createDataFrame([(1, "text")], "id int, text string")
     right = spark.createDataFrame([(1, "")], "tid int, template string")

@@ -149,8 +149,15 @@ def test_malformed_lines(spark, folder):
 
     os.makedirs(folder + "/c")
     with open(folder + "/c/x.csv", "w") as f:
-        f.write("a,b\n1,x\n\nbad,y\n2,z\n")
-    assert sorted(r["a"] for r in tables.read_csv(spark, folder + "/c", "a int, b string").collect()) == [1, 2]
+        f.write("a,b\n1,x\n\n7,too,many\n8\n2,z\n")
+    read = tables.read_csv(spark, folder + "/c", "a int, b string", file_column="file")
+    assert sorted(r["a"] for r in read.collect()) == [1, 2] and read.count() == 2
+    assert [r["b"] for r in read.select("b").orderBy("b").collect()] == ["x", "z"]
+    assert {r["file"] for r in read.collect()} == {folder + "/c/x.csv"}
+    os.makedirs(folder + "/d")
+    with open(folder + "/d/x.csv", "w") as f:
+        f.write("a,b\nbad,x\n3,y\n")
+    assert [r["a"] for r in tables.read_csv(spark, folder + "/d", "a int, b string").collect()] == [3]
     with open(folder + "/c/t.tsv", "w") as f:
         f.write("label\ttext_a\n3\t00ff\n")
     row = tables.burst_rows(tables.read_templates(spark, folder + "/c/t.tsv")).first()
