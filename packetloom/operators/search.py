@@ -9,7 +9,7 @@ from packetloom.functions.octets import hex_text
 from packetloom.operators.stored import attach, stored
 
 # Block lengths of the seed join; a template needs twice the length less one to use a block.
-BLOCKS = [16, 4, 1]
+BLOCKS = [16, 8, 4, 3, 2, 1]
 
 
 def contains_hex(packet: Column, needle: str, byte_aligned: bool = False) -> Column:
@@ -40,34 +40,31 @@ def matches(
     characters that occurs anywhere covers a whole block, at one of k offsets, so an equi-join of
     the blocks with the k possible seeds finds every text that may match; those are then checked
     with ``contains``. Blocks of a text add up to its own size, and only their hashes and the ids
-    are joined. Ids of the two sides must have different names. Null and empty templates are left
-    out. With ``byte_aligned`` both sides are lower-case hex, and a match starts at a whole byte.
+    are joined. Shorter templates use shorter blocks, which select less. Only the block lengths
+    that the templates at hand need are cut, in one pass over the texts.
+
+    Ids of the two sides must have different names. Null and empty templates are left out. With
+    ``byte_aligned`` both sides are lower-case hex, and a match starts at a whole byte.
     """
     known = templates.where(F.length(template) > 0).select(*template_id, F.col(template).alias("_t"))
-    found = None
-    upper = None
-    for k in BLOCKS:
-        usable = F.length("_t") >= 2 * k - 1
-        if upper is not None:
-            usable = usable & (F.length("_t") < upper)
-        upper = 2 * k - 1
-        seeds = stored(
-            known.where(usable)
-            .select(*template_id, F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_o"), "_t")
-            .select(*template_id, F.xxhash64(F.substring("_t", F.col("_o"), F.lit(k))).alias("_k"))
-            .distinct(),
-            "template-seeds",
-        )
-        if seeds.isEmpty():
-            continue
-        pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{{k}}}"), F.lit(0))
-        blocks = F.transform(pieces, lambda piece: F.xxhash64(piece))
-        hashed = texts.where(F.length(text) >= k).select(*text_id, F.explode(F.array_distinct(blocks)).alias("_k"))
-        pairs = hashed.join(seeds, "_k").select(*text_id, *template_id).distinct()
-        found = pairs if found is None else found.union(pairs)
-    if found is None:
+    size = F.length("_t")
+    blocks = [F.when(size >= 2 * k - 1, F.lit(k)) for k in BLOCKS]
+    known = known.withColumn("_kind", F.coalesce(*blocks))
+    kinds = sorted(r[0] for r in known.select("_kind").distinct().collect())  # a subset of BLOCKS
+    if not kinds:
         return texts.select(*text_id).join(known.select(*template_id), F.lit(False))
-    candidates = attach(stored(found, "match-candidates"), known, template_id, null_keys=False)
+
+    seed = F.xxhash64("_kind", F.substring("_t", F.col("_o"), F.col("_kind")))
+    seeds = known.withColumn("_o", F.explode(F.sequence(F.lit(1), F.col("_kind")))).select(*template_id, seed.alias("_k")).distinct()
+
+    def hashes(k: int) -> Column:
+        blocks = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{{k}}}"), F.lit(0))
+        return F.transform(blocks, lambda piece: F.xxhash64(F.lit(k), piece))
+
+    pieces = F.array_distinct(F.concat(*[hashes(k) for k in kinds]))
+    hashed = texts.where(F.length(text) > 0).select(*text_id, F.explode(pieces).alias("_k"))
+    found = hashed.join(stored(seeds, "template-seeds"), "_k").select(*text_id, *template_id).distinct()
+    candidates = attach(stored(found, "match-candidates"), known.drop("_kind"), template_id, null_keys=False)
     whole = texts.select(*text_id, F.col(text).alias("_x"))
     found_in = F.col("_x").contains(F.col("_t"))
     if byte_aligned:
