@@ -20,3 +20,28 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, tokenizer("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query(
+    "op9_kd_search",
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings),
+    s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+    ),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+)
+def op9_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packetloom.llm.kd_search import top_products
+
+    return top_products(table(spark, sf_dir, "embeddings"), queries_every=50, k=5)
+
+
+@query("op6_warc_round_trip")
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packetloom.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"), least=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
