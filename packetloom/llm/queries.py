@@ -45,3 +45,10 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from packetloom.llm.warc import round_trip
 
     return round_trip(table(spark, sf_dir, "pages"), least=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op1_simhash_groups")
+def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packetloom.llm.simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
