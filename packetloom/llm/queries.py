@@ -52,3 +52,11 @@ def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from packetloom.llm.simhash import simhash_groups
 
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op8_chunk_bpe")
+def op8_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packetloom.llm.chunk_bpe import encode
+
+    coded = encode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), with_ids=False)
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
