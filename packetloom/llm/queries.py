@@ -60,3 +60,11 @@ def op8_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     coded = encode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), with_ids=False)
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packetloom.llm.suffix_dedup import remove_repeats
+
+    cut = remove_repeats(table(spark, sf_dir, "documents"), width=100)
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
