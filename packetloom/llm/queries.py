@@ -68,3 +68,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cut = remove_repeats(table(spark, sf_dir, "documents"), width=100)
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packetloom.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
