@@ -177,7 +177,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     model = Model(shared + _joined(ends, TOXIC_BYTES), shared + _joined([w for w, _ in marking], TOXIC_BYTES))
     rest = [(t, y) for i, (t, y) in enumerate(kept) if few or i % 2]
     if not rest or len({y for _, y in rest}) < 2:
-        model.weights = [math.log((sum(labels) + 0.5) / (len(labels) - sum(labels) + 0.5))] + [0.0] * (2 + len(CLEAR))
+        model.weights = [math.log((sum(labels) + 0.5) / (len(labels) - sum(labels) + 1))] + [0.0] * (2 + len(CLEAR))
         return model
     x = np.c_[np.ones(len(rest)), model.features([t for t, _ in rest])]
     y = np.array([y for _, y in rest], float)
