@@ -76,3 +76,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op4_templates")
+def op4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packetloom.llm.templates import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
