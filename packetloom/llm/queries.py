@@ -83,3 +83,12 @@ def op4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from packetloom.llm.templates import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_surrogates")
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packetloom.llm.surrogates import replace_private
+
+    docs = replace_private(table(spark, sf_dir, "documents").select("doc_id", "text"), key="a key of the deployment")
+    kinds = F.array_sort(F.array_distinct(F.transform("entities", lambda e: e.kind)))
+    return docs.select("doc_id", F.size("entities").alias("n_entities"), kinds.alias("kinds"), "text", "entities")
