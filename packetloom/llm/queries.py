@@ -92,3 +92,10 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = replace_private(table(spark, sf_dir, "documents").select("doc_id", "text"), key="a key of the deployment")
     kinds = F.array_sort(F.array_distinct(F.transform("entities", lambda e: e.kind)))
     return docs.select("doc_id", F.size("entities").alias("n_entities"), kinds.alias("kinds"), "text", "entities")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

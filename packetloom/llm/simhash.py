@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import kept
+from packetloom.llm.common import kept, text_key
 from packetloom.llm.graph import components
 
 SEED = 42
@@ -215,3 +215,133 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labelled = kept(rooted.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("code"), "component_id"), "components")
     out = prints.join(labelled, F.col("fp") == F.col("code"), "left")
     return out.select("doc_id", "fp", F.format_string("%016x", F.col("fp")).alias("fingerprint"), "component_id")
+
+
+PRINTS = 4
+NEAR_WIDTH = 5
+NEAR_DISTANCE = 8
+MIX = tuple(int(x) for x in np.random.default_rng(1).integers(1, 1 << 62, PRINTS) * 2 + 1)
+
+
+def fingerprints(text: bytes, width: int) -> list[int]:
+    """``PRINTS`` independent fingerprints from one hash of each shingle."""
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, width)), np.uint64)
+    out = []
+    for factor in MIX:
+        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(factor)
+        mixed ^= mixed >> np.uint64(29)
+        sums = np.zeros(BITS, np.int64)
+        for begin in range(0, len(mixed), 4096):
+            sums += np.unpackbits(mixed[begin : begin + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(sums * 2 > len(mixed), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def _many(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").cast(pa.large_binary())
+        found = [fingerprints(t.as_py() or b"", width) for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.list_(pa.int64()))], names=["row", "prints"])
+
+
+def nearest(codes: np.ndarray, group: np.ndarray, limit: int) -> np.ndarray:
+    """For each code, sorted by group and Gray rank, the place of the nearest earlier one within ``limit``, or -1."""
+    best, at = np.full(len(codes), limit + 1), np.full(len(codes), -1)
+    size = np.bincount(group) if len(group) else np.zeros(0, np.int64)
+    few = np.flatnonzero(size[group] <= LEAF) if len(group) else np.zeros(0, np.int64)
+    c, g = codes[few], group[few]
+    for step in range(1, LEAF):
+        i = np.flatnonzero(g[step:] == g[:-step]) if len(g) > step else np.zeros(0, np.int64)
+        if not len(i):
+            break
+        d, j = np.bitwise_count(c[i] ^ c[i + step]), few[i + step]
+        better = d < best[j]
+        best[j[better]], at[j[better]] = d[better], few[i[better]]
+    ends = np.cumsum(size)
+    for n in np.flatnonzero(size > LEAF):
+        begin, end = int(ends[n] - size[n]), int(ends[n])
+        own, index = codes[begin:end], Index(codes[begin:end])
+        step = max(LEAF, FRONTIER // max(LEAF, len(own)))
+        for first in range(0, len(own), step):
+            i, j = index.near(first, min(first + step, len(own)), limit)
+            d = np.bitwise_count(own[i] ^ own[j])
+            order = np.lexsort((i, d, j))
+            i, j, d = i[order], j[order], d[order]
+            lead = np.concatenate([[True], j[1:] != j[:-1]]) if len(j) else np.zeros(0, bool)
+            i, j, d = i[lead] + begin, j[lead] + begin, d[lead]
+            better = d < best[j]
+            best[j[better]], at[j[better]] = d[better], i[better]
+    return at
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Each text's nearest earlier one in each of its nodes, from rows sorted by node."""
+
+    def found(rows: np.ndarray, codes: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        group = np.cumsum(np.concatenate([[0], (node[1:] != node[:-1]).astype(np.int64)]))
+        order = np.lexsort((rows, gray_rank(codes), group))
+        rows, at = rows[order], nearest(codes[order], group, limit)
+        linked = at >= 0
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(rows[linked], rows[at[linked]])), pa.array(np.minimum(rows[linked], rows[at[linked]]))], names=["u", "v"])
+
+    held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+    for batch in batches:
+        new = (batch.column("row").to_numpy(), batch.column("code").to_numpy().view(np.uint64), batch.column("node").to_numpy())
+        held = [np.concatenate(x) for x in zip(held, new)]
+        whole = int(np.flatnonzero(held[2] == held[2][-1])[0]) if len(held[2]) else 0
+        if whole:
+            yield found(*[x[:whole] for x in held])
+            held = [x[whole:] for x in held]
+    if len(held[0]):
+        yield found(*held)
+
+
+def _verified(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch.column("a"), batch.column("b")):
+            s, t = (set(shingles((x.as_py() or "").encode(), width)) for x in (a, b))
+            keep.append(not (s or t) or len(s & t) >= similarity * len(s | t))
+        links = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"])
+        yield links.filter(pa.array(keep, pa.bool_()))
+
+
+def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = NEAR_WIDTH, similarity: float = 0.8, distance: int = NEAR_DISTANCE) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that with the smallest id (null ids last).
+
+    Near copies share ``similarity`` of their distinct shingles of ``width`` words, or are linked
+    through others that do. Equal texts collapse first. Candidates come from four fingerprints within
+    ``distance`` bits: the patterns of ``masks`` are the upper nodes of a Gray-order index for each,
+    where each text meets its nearest earlier one; candidates are compared by their shingles. Four
+    fingerprints find 99 % of pairs of similarity 0.9 and five in six of 0.8. Texts that are null or
+    have no word are near copies of each other. Columns stay as they are, whatever their names.
+    """
+    spark, columns = docs.sparkSession, docs.columns
+    first = [F.col(doc_id).isNull().alias("c0"), F.col(doc_id).alias("c1"), *[F.col(c).alias(f"c{n + 2}") for n, c in enumerate(columns)]]
+    grouped = docs.groupBy(text_key(text).alias("key")).agg(F.min(F.struct(*first)).alias("r"))
+    back = [F.col(f"r.c{n + 2}").alias(c) for n, c in enumerate(columns)]
+    texts = kept(grouped.select(F.monotonically_increasing_id().alias("__row"), F.struct(*back).alias("__doc")), "texts")
+    own = texts.select(F.col("__row").alias("row"), F.col("__doc").getField(doc_id).alias("id"), F.col("__doc").getField(text).alias("text"))
+    prints = kept(own.select("row", "text").mapInArrow(lambda it: _many(it, width), "row long, prints array<long>"), "prints")
+    codes = prints.select("row", F.posexplode("prints").alias("n", "code"))
+    shared = F.array(*[F.struct(F.lit(k).alias("mask"), F.col("code").bitwiseAND(F.lit(m - (1 << BITS) if m >> 63 else m)).alias("bits")) for k, m in enumerate(masks(distance))])
+    rows = codes.select("row", "n", "code", F.explode(shared).alias("s")).select("row", "code", F.xxhash64("n", "s.mask", "s.bits").alias("node"))
+    size = rows.groupBy("node").count()
+    hot = kept(size.where(F.col("count") > HOT).select(F.col("node").alias("hot"), F.ceil(F.col("count") / HOT).cast("int").alias("parts")), "hot_nodes")
+    if not hot.isEmpty():
+        rows = rows.join(hot, F.col("node") == F.col("hot"), "left")
+        part = F.pmod(F.xxhash64("row", F.lit(1)), F.col("parts")).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.xxhash64("node", F.least(part, other), F.greatest(part, other)))
+        rows = rows.select("row", "code", F.explode(F.when(F.col("parts").isNull(), F.array("node")).otherwise(pairs)).alias("node"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = rows.repartition(n, "node").sortWithinPartitions("node").mapInArrow(lambda it: _candidates(it, distance), "u long, v long")
+    near = kept(near.distinct(), "candidates")
+    with_a = near.join(own.select(F.col("row").alias("u"), F.col("text").alias("a")), "u")
+    with_b = with_a.join(own.select(F.col("row").alias("v"), F.col("text").alias("b")), "v")
+    links = kept(with_b.select("u", "v", "a", "b").mapInArrow(lambda it: _verified(it, width, similarity), "u long, v long"), "near")
+    roots = components(links)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    member = own.select("id", "row").join(roots, F.col("row") == F.col("node"))
+    best = member.groupBy("root").agg(F.min(order).alias("best"))
+    losers = kept(member.join(best, "root").where(F.col("row") != F.col("best.row")).select(F.col("row").alias("lost")), "losers")
+    return texts.join(losers, F.col("__row") == F.col("lost"), "left_anti").select("__doc.*")
