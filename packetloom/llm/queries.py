@@ -99,3 +99,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op3_passages")
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packetloom.llm.passages import shared_passages
+
+    return shared_passages(table(spark, sf_dir, "documents"))
