@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,11 +94,12 @@ class Block:
                 found.append(names(text, cover.tuple_bytes)[at])
         return np.concatenate(places), np.concatenate(found)
 
-    def suffixes(self, cover: Cover, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def suffixes(self, cover: Cover, replies: list[tuple[int, bytes]], n: int) -> tuple[np.ndarray, np.ndarray]:
         """Places whose ``width`` bytes hold a sample with a repeated name, and names of those bytes."""
         at, found = self.samples(cover)
+        unique, place = np.unique(found, return_inverse=True)
         hit = np.zeros(len(self.data) + 1, np.int64)
-        marked = at[np.isin(short(found), repeated)]
+        marked = at[Deal(unique, sample_bucket(unique, n), n).told(replies)[place]]
         np.add.at(hit, np.maximum(marked - cover.period + 1, 0), 1)
         np.add.at(hit, marked + 1, -1)
         near = np.cumsum(hit[:-1]) > 0
@@ -111,6 +112,33 @@ class Block:
         return np.concatenate(places), np.concatenate(codes)
 
 
+class Deal:
+    """Distinct sorted names of a block, dealt out to buckets; a bucket answers with a bit for each."""
+
+    def __init__(self, values: np.ndarray, bucket: np.ndarray, n: int):
+        self.values, self.order = values, np.argsort(bucket, kind="stable")
+        self.at = np.searchsorted(bucket[self.order], np.arange(n + 1))
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray]]:
+        for b in np.flatnonzero(np.diff(self.at)).tolist():
+            yield b, self.order[self.at[b] : self.at[b + 1]]
+
+    def told(self, replies: list[tuple[int, bytes]]) -> np.ndarray:
+        flags = np.zeros(len(self.values), bool)
+        for b, bits in replies:
+            mine = self.order[self.at[b] : self.at[b + 1]]
+            flags[mine] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(mine)).view(bool)
+        return flags
+
+
+def sample_bucket(names_: np.ndarray, n: int) -> np.ndarray:
+    return (names_ & np.uint64(0xFFFFFF)).astype(np.int64) % n
+
+
+def suffix_bucket(names_: np.ndarray, n: int) -> np.ndarray:
+    return (names_ >> np.uint64(8)).astype(np.int64) % n
+
+
 def short(found: np.ndarray) -> np.ndarray:
     """Names of samples cut to 40 bits: they only find candidates."""
     return found >> np.uint64(24)
@@ -126,15 +154,10 @@ def _as_numbers(data: bytes, width: int) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _dealt(block: int, values: np.ndarray, bucket: np.ndarray, n: int, width: int) -> list[tuple]:
-    """Rows (bucket, block, values) of sorted distinct values."""
-    order = np.argsort(bucket, kind="stable")
-    at = np.searchsorted(bucket[order], np.arange(n + 1))
-    return [(b, block, _as_bytes(values[order[at[b] : at[b + 1]]], width)) for b in np.flatnonzero(np.diff(at)).tolist()]
-
-
-_DEALT = "bucket int, block long, codes binary"
-_TYPES = (pa.int32(), pa.int64(), pa.binary())
+_DEALT = "bucket int, block long, codes binary, again binary"
+_TYPES = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+_NAMES = ["bucket", "block", "codes", "again"]
+_REPLY = "block long, bucket int, bits binary"
 
 
 def _table(rows: list[tuple], types: tuple, names_: list[str]) -> pa.RecordBatch:
@@ -154,94 +177,87 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch], cover: Cover, n: int) -> Iterator[pa.RecordBatch]:
-    """Names of a block's sampled tuples by bucket; those that repeat in the block come to a second row."""
+    """Names of a block's sampled tuples by bucket, and which of them repeat in the block."""
     for batch in batches:
         for block, starts, data in zip(*[batch.column(c) for c in ("block", "starts", "data")]):
-            found = Block(starts.as_py(), data.as_py()).samples(cover)[1]
-            unique, times = np.unique(found, return_counts=True)
-            bucket = (unique & np.uint64(0xFFFFFF)).astype(np.int64) % n
-            again = times > 1
-            rows = _dealt(block.as_py(), short(unique), bucket, n, 5) + _dealt(block.as_py(), short(unique[again]), bucket[again], n, 5)
+            unique, times = np.unique(Block(starts.as_py(), data.as_py()).samples(cover)[1], return_counts=True)
+            deal = Deal(unique, sample_bucket(unique, n), n)
+            rows = [(b, block.as_py(), _as_bytes(short(unique[pick]), 5), np.packbits(times[pick] > 1).tobytes()) for b, pick in deal.parts()]
             if rows:
-                yield _table(rows, _TYPES, ["bucket", "block", "codes"])
+                yield _table(rows, _TYPES, _NAMES)
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Blocks and codes of each bucket of rows sorted by bucket."""
-    now, owners, codes = None, [], []
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (bucket, block, codes, again) of each bucket, from rows sorted by bucket."""
+    rows: list[tuple] = []
     for batch in batches:
-        for bucket, block, data in zip(*[c.to_pylist() for c in batch.columns]):
-            if bucket != now and now is not None:
-                yield np.array(owners), codes
-                owners, codes = [], []
-            now = bucket
-            owners.append(block)
-            codes.append(data)
-    if now is not None:
-        yield np.array(owners), codes
-
-
-def _replies(owners: np.ndarray, codes: np.ndarray, wanted: np.ndarray, width: int) -> pa.RecordBatch:
-    order = np.lexsort((codes[wanted], owners[wanted]))
-    block, code = owners[wanted][order], codes[wanted][order]
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]) if len(block) else np.zeros(1, np.int64)
-    rows = [(int(block[a]), _as_bytes(np.unique(code[a:b]), width)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-    return _table(rows, (pa.int64(), pa.binary()), ["block", "codes"])
-
-
-def _repeated(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if rows and row[0] != rows[0][0]:
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _replies(rows: list[tuple], wanted: np.ndarray, width: int) -> pa.RecordBatch:
+    edges = np.cumsum([0] + [len(r[2]) // width for r in rows]).tolist()
+    out = [(r[1], r[0], np.packbits(wanted[a:b]).tobytes()) for r, a, b in zip(rows, edges, edges[1:]) if wanted[a:b].any()]
+    return _table(out, (pa.int64(), pa.int32(), pa.binary()), ["block", "bucket", "bits"])
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted names with an equal neighbour, told to the blocks that hold them."""
-    for owners, data in _by_bucket(batches):
-        owner = np.repeat(owners, [len(d) // width for d in data])
-        code = _as_numbers(b"".join(data), width)
+    for rows in _by_bucket(batches):
+        code = _as_numbers(b"".join(r[2] for r in rows), 5)
+        wanted = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8), count=len(r[2]) // 5) for r in rows]).view(bool)
         order = np.argsort(code, kind="stable")
         same = code[order][1:] == code[order][:-1]
-        wanted = np.zeros(len(code), bool)
         wanted[order[1:]] |= same
         wanted[order[:-1]] |= same
-        if wanted.any():
-            yield _replies(owner, code, wanted, width)
+        yield _replies(rows, wanted, 5)
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Names equal to their neighbour in order of (name, block): they start in an earlier block too."""
-    for owners, data in _by_bucket(batches):
-        owner = np.repeat(owners, [len(d) // 8 for d in data])
-        code = np.frombuffer(b"".join(data), "<u8")
+    for rows in _by_bucket(batches):
+        code = np.frombuffer(b"".join(r[2] for r in rows), "<u8")
+        owner = np.repeat([r[1] for r in rows], [len(r[2]) // 8 for r in rows])
         order = np.lexsort((owner, code))
         wanted = np.zeros(len(code), bool)
         wanted[order[1:]] = code[order][1:] == code[order][:-1]
-        if wanted.any():
-            yield _replies(owner, code, wanted, 8)
+        yield _replies(rows, wanted, 8)
 
 
-def _codes(table: pa.Table, width: int) -> np.ndarray:
-    return _as_numbers(b"".join(table.column("codes").to_pylist()), width)
+def _pairs(table: pa.Table) -> list[tuple[int, bytes]]:
+    return list(zip(table.column("bucket").to_pylist(), table.column("bits").to_pylist()))
 
 
-def _merged(left: pa.Table, right: pa.Table, cover: Cover, n: int) -> pa.Table:
-    """Names of a block's candidate suffixes, cut to ``width`` bytes, by bucket."""
+def _merged(left: pa.Table, right: pa.Table, cover: Cover, n: int, m: int, turn: int, turns: int) -> pa.Table:
+    """Names of a block's candidate suffixes, cut to ``width`` bytes, for the buckets of this turn."""
     rows = []
     for block, starts, data in zip(*[left.column(c) for c in ("block", "starts", "data")]):
-        codes = np.unique(Block(starts.as_py(), data.as_py()).suffixes(cover, _codes(right, 5))[1])
-        rows += _dealt(block.as_py(), codes, (codes >> np.uint64(8)).astype(np.int64) % n, n, 8)
-    return pa.Table.from_batches([_table(rows, _TYPES, ["bucket", "block", "codes"])])
+        unique = np.unique(Block(starts.as_py(), data.as_py()).suffixes(cover, _pairs(right), n)[1])
+        deal = Deal(unique, suffix_bucket(unique, m), m)
+        rows += [(b, block.as_py(), _as_bytes(unique[pick], 8), None) for b, pick in deal.parts() if b % turns == turn]
+    return pa.Table.from_batches([_table(rows, _TYPES, _NAMES)])
 
 
 _OUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary"
 _OUT_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.binary())
 
 
-def _removed(left: pa.Table, first: pa.Table, cover: Cover) -> pa.Table:
+def _removed(left: pa.Table, first: pa.Table, cover: Cover, n: int, m: int) -> pa.Table:
     """Each text of a block without the bytes that repeated strings cover."""
     rows = []
     early = first.filter(pa.compute.equal(first.column("kind"), 0))
     late = first.filter(pa.compute.equal(first.column("kind"), 1))
     for ids, starts, data in zip(*[left.column(c) for c in ("ids", "starts", "data")]):
         block = Block(starts.as_py(), data.as_py())
-        places, codes = block.suffixes(cover, _codes(early, 5))
-        again = np.isin(codes, _codes(late, 8))
-        again |= ~np.isin(np.arange(len(codes)), np.unique(codes, return_index=True)[1])
+        places, codes = block.suffixes(cover, _pairs(early), n)
+        unique, first_at, place = np.unique(codes, return_index=True, return_inverse=True)
+        again = Deal(unique, suffix_bucket(unique, m), m).told(_pairs(late))[place]
+        again |= first_at[place] != np.arange(len(codes))
         edge = np.zeros(len(block.data) + 1, np.int64)
         np.add.at(edge, places[again], 1)
         np.add.at(edge, places[again] + cover.width, -1)
@@ -295,7 +311,7 @@ def _once(docs: DataFrame, doc_id: str, text: str, width: int) -> tuple[DataFram
     return distinct, copies.where("times > 0").select("doc_id", "n_bytes", "short", F.col("times").cast("int").alias("times"))
 
 
-def remove_repeats(docs: DataFrame, width: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 100, doc_id: str = "doc_id", text: str = "text", turns: int = 2) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept``: texts without bytes covered by an earlier string of ``width`` bytes.
 
     Earlier means in a text of a smaller id, or before in the same text; strings are judged on the
@@ -307,7 +323,8 @@ def remove_repeats(docs: DataFrame, width: int = 100, doc_id: str = "doc_id", te
     suffix needs no deeper recursion: the tuple after its sample and the bytes before it make up all
     of it. Suffixes near a repeated sample are named, merged by bucket in order of (name, block), and
     those equal to their neighbour are repeats. A block sends each name once, so a passage in
-    a third of all texts costs one name a block.
+    a third of all texts costs one name a block, and gets a bit for each back. The names of suffixes
+    are shuffled in ``turns``, each a part of the buckets, to hold fewer on disk at once.
 
     Null texts count as empty. Rows with one id are ordered by their text's hash, null ids come last;
     repeated rows are copies of the first. Names have 64 bits. Other columns are not read.
@@ -315,18 +332,24 @@ def remove_repeats(docs: DataFrame, width: int = 100, doc_id: str = "doc_id", te
     spark, cover = docs.sparkSession, Cover(width)
     distinct, copies = _once(docs, doc_id, text, width)
     n_bytes = docs.agg(F.sum(F.octet_length(text_of(text)))).first()[0] or 0
-    n = parts_for(spark, n_bytes, SAMPLE_BUCKET)
+    n, m = parts_for(spark, n_bytes, SAMPLE_BUCKET), parts_for(spark, n_bytes, SUFFIX_BUCKET)
     order = [F.col("doc_id").asc_nulls_last()]
     placed = distinct.repartitionByRange(n, *order).sortWithinPartitions(*order, F.xxhash64("text"))
     stored = kept(placed.mapInArrow(_blocked, "block long, ids array<long>, starts binary, data binary"), "blocks")
-    dealt = stored.select("block", "starts", "data").mapInArrow(lambda it: _sampled(it, cover, n), _DEALT)
-    early = kept(dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _repeated(it, 5), "block long, codes binary"), "samples")
-    texts = stored.select("block", "starts", "data").groupBy("block")
-    m = parts_for(spark, n_bytes, SUFFIX_BUCKET)
-    suffixes = texts.cogroup(early.groupBy("block")).applyInArrow(lambda a, b: _merged(a, b, cover, m), _DEALT)
-    late = kept(suffixes.repartition(m, "bucket").sortWithinPartitions("bucket").mapInArrow(_later, "block long, codes binary"), "repeats")
-    replies = early.withColumn("kind", F.lit(0)).unionByName(late.withColumn("kind", F.lit(1)))
-    own = stored.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _removed(a, b, cover), _OUT)
+    texts = stored.select("block", "starts", "data")
+    dealt = texts.mapInArrow(lambda it: _sampled(it, cover, n), _DEALT)
+    early = kept(dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, _REPLY), "samples")
+    replies = early.withColumn("kind", F.lit(0))
+
+    def suffixes_of(turn: int) -> DataFrame:
+        merged = lambda a, b: _merged(a, b, cover, n, m, turn, turns)
+        return texts.groupBy("block").cogroup(early.groupBy("block")).applyInArrow(merged, _DEALT)
+
+    for turn in range(turns):
+        suffixes = suffixes_of(turn)
+        late = kept(suffixes.repartition(m, "bucket").sortWithinPartitions("bucket").mapInArrow(_later, _REPLY), "repeats")
+        replies = replies.unionByName(late.withColumn("kind", F.lit(1)))
+    own = stored.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _removed(a, b, cover, n, m), _OUT)
     again = copies.select("doc_id", "n_bytes", "short", F.explode(F.array_repeat(F.lit(1), F.col("times"))))
     whole = F.col("short").isNull()
     spans = F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end")))).otherwise(F.array())
