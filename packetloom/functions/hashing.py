@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 
 def hash_key(seed: int | str | Column, *ids: str | Column) -> Column:
-    """md5 of ``seed:id:id...`` as 32 lower-case hex digits."""
+    """md5 of ``seed:id:id...`` as 32 lower-case hex digits; a null id leaves its place empty."""
     seed = seed if isinstance(seed, Column) else F.lit(seed)
     parts = [seed, *[F.col(i) if isinstance(i, str) else i for i in ids]]
-    return F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    return F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
 
 
 def bernoulli(h: Column, fraction: float) -> Column:
@@ -29,5 +29,5 @@ def bernoulli(h: Column, fraction: float) -> Column:
 
 
 def hash_number(h: Column) -> Column:
-    """The first eight digits of a hash as an integer in [0, 2**32)."""
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
+    """The first 15 digits of a hash as an integer in [0, 2**60)."""
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("long")

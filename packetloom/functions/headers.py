@@ -38,8 +38,8 @@ class _Heads:
     """Unsigned integers at per-row offsets of a binary array; absent ones are flagged invalid."""
 
     def __init__(self, column: pa.Array):
-        column = column.fill_null(b"")
-        starts = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        column = column.cast(pa.large_binary()).fill_null(b"")  # offsets of 64 bits, whatever the session's types
+        starts = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         data = column.buffers()[2]
         self.data = np.append(np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), np.uint8(0))
         self.starts, self.sizes = starts[:-1].astype(np.int64), np.diff(starts)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # What a label and a file stem may consist of, and the capture suffix.
 NOT_LABEL = "[^0-9a-zA-Z]+"
-NOT_STEM = r"(?U)[^.\w]+"
+NOT_STEM = r"[^._\p{L}\p{N}]+"
 CAPTURE_NAME = r"^(.*)\.pcap"
 
 
@@ -17,7 +17,7 @@ def clean_label(label: Column) -> Column:
 
 
 def clean_stem(stem: Column) -> Column:
-    """Runs of anything but word characters (of any script) and dots become one underscore."""
+    """Runs of anything but letters and numbers of any script, underscores and dots become one underscore."""
     return F.regexp_replace(stem, NOT_STEM, "_")
 
 
@@ -45,7 +45,7 @@ def local_path(uri: Column) -> Column:
 def relative_directory(path: Column, root: str) -> Column:
     """The directory of a file below ``root``, "." for the root itself."""
     directory = F.regexp_replace(path, "/[^/]*$", "")
-    inside = F.substring(directory, len(root) + 1, 1_000_000)
+    inside = F.substr(directory, F.lit(len(root) + 1))
     return F.when(directory == root, ".").otherwise(F.regexp_replace(inside, "^/+", ""))
 
 

@@ -20,8 +20,9 @@ def unit_floats_arrow(b: Column, width: int = FEATURE_BYTES) -> Column:
 
     @F.arrow_udf("array<double>")
     def convert(column: pa.Array) -> pa.Array:
-        starts = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        column = column.cast(pa.large_binary())  # offsets of 64 bits, whatever the session's types
+        starts = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         octets = np.frombuffer(column.buffers()[2], np.uint8)[starts[0] : starts[-1]]
-        return pa.ListArray.from_arrays(pa.array(starts - starts[0]), pa.array(octets / 255.0))
+        return pa.ListArray.from_arrays(pa.array((starts - starts[0]).astype(np.int32)), pa.array(octets / 255.0))
 
     return convert(F.coalesce(crop_and_pad(b, width), F.lit(bytes(width))))

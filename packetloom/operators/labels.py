@@ -64,8 +64,9 @@ def with_label_id(df: DataFrame, mapping: DataFrame, label: str = "labels") -> D
     """Add ``label_id`` by the cleaned form of the label; null for a label that is not mapped."""
     text = dict(mapping.dtypes)["label"] == "string"
     key = clean_label(F.col(label)) if text else F.col(label)
-    joined = attach(df.withColumn("label", key) if label != "label" or text else df, mapping, ["label"], "left")
-    return joined.select(*df.columns, "label_id") if label != "label" else joined
+    table = mapping.select(F.col("label").alias("_label"), "label_id")
+    joined = attach(df.drop("label_id").withColumn("_label", key), table, ["_label"], "left")
+    return joined.select(*[c for c in df.columns if c != "label_id"], "label_id")
 
 
 def dense_labels(df: DataFrame, label: str = "labels") -> DataFrame:

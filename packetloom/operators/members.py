@@ -363,10 +363,14 @@ class Members:
         return self.df.drop(self.dataset)
 
     def with_validation(self, ids: list[str], test_size: float, label: str, source: str = "train", name: str = "test") -> Members:
-        """Split off ``name`` from ``source`` only if there is none yet."""
-        if name in self.splits():
+        """Split off ``name`` from ``source`` only if there is none yet.
+
+        Rows of ``source`` without a label stay there; rows of no split stay as they are.
+        """
+        if not self.df.where(F.col(self.split) == name).isEmpty():
             return self
-        rest = self.df.where(F.col(self.split) != source)
-        parts = sampling.split_exact(self.df.where(F.col(self.split) == source), ids, test_size, label)
+        divided = F.col(self.split).eqNullSafe(source) & F.col(label).isNotNull()
+        rest = self.df.where(~divided)
+        parts = sampling.split_exact(self.df.where(divided), ids, test_size, label)
         cut = parts.withColumn(self.split, F.when(F.col("part") == "test", name).otherwise(F.col(self.split)))
         return self._with(cut.drop("part").unionByName(rest))

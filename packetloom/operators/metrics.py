@@ -118,7 +118,7 @@ def entity_spans(tags: DataFrame, keys: list[str], pos: str, tag: str) -> DataFr
 
     A span starts at B-x, or at an I-x that does not continue an x.
     """
-    kind = F.when(F.col(tag) != "O", F.substring(tag, 3, 1000))
+    kind = F.when(F.col(tag) != "O", F.expr(f"substring({tag}, 3)"))
     order = Window.partitionBy(*keys).orderBy(pos)
     df = tags.select(*keys, pos, F.col(tag).alias("_tag"), kind.alias("kind"))
     before = F.lag("kind").over(order)

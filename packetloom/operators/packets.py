@@ -146,16 +146,25 @@ def snapped_by_protocol(df: DataFrame, data: str = "packet", protocol: str = "pr
     return df.where(F.col(protocol).isin("TCP", "UDP")).withColumn(data, cut)
 
 
+def dotted(address: str) -> Column:
+    """The dotted form of an IPv4 address given as eight hex digits; others stay."""
+    octets = [F.conv(F.substring(address, i, 2), 16, 10) for i in (1, 3, 5, 7)]
+    return F.when(F.length(address) == 8, F.concat_ws(".", *octets)).otherwise(F.col(address))
+
+
 def extracted_fields(dissected: DataFrame) -> DataFrame:
-    """The field-extract columns of every TCP or UDP packet, without stream number and relative time."""
+    """The field-extract columns of every TCP or UDP packet, without stream number and relative time.
+
+    IPv4 addresses are dotted, others hexadecimal.
+    """
     return dissected.where(is_tcp() | is_udp()).select(
         "file_path",
         "frame_no",
         "ts",
         F.when(is_tcp(), "tcp").otherwise("udp").alias("protocol"),
-        "ip_src",
+        dotted("ip_src").alias("ip_src"),
         "sport",
-        "ip_dst",
+        dotted("ip_dst").alias("ip_dst"),
         "dport",
         F.col("wire_len").alias("frame_len"),
         "ip_len",

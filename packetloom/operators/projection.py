@@ -25,6 +25,20 @@ def centroids(df: DataFrame, vector: str, label: str) -> DataFrame:
     return components(df, vector, label).groupBy(label, "pos").agg(F.avg("value").alias("center"))
 
 
+def nearest_centroid(df: DataFrame, vector: str, label: str, ids: list[str]) -> DataFrame:
+    """``ids, label, pred``: the class whose centroid is nearest, ties within 1e-9 to the smaller class.
+
+    Vectors meet the centroids by dimension; there are as many rows as values times classes, summed
+    before the shuffle where a vector's dimensions are together.
+    """
+    own = components(df, vector, *ids, label)
+    centers = stored(centroids(df, vector, label), "centroids").withColumnRenamed(label, "_class")
+    step = F.col("value") - F.col("center")
+    distance = F.round(F.sum(step * step), 9)
+    far = own.join(centers, "pos").groupBy(*ids, label, "_class").agg(distance.alias("_d"))
+    return far.groupBy(*ids, label).agg(F.min_by("_class", F.struct("_d", "_class")).alias("pred"))
+
+
 def min_max_scaled(df: DataFrame, vector: str, ids: list[str]) -> DataFrame:
     """Every dimension scaled to [0, 1] over the table, a constant one to 0: ``ids, pos, scaled``."""
     long = components(df, vector, *ids)

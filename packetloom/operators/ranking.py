@@ -92,7 +92,9 @@ def with_cuts(df: DataFrame, keys: list[str], h: Column, cuts: DataFrame, names:
     groups = joined.where(at_cut).groupBy(*df.columns, "_h", *names).agg(F.count(F.lit(1)).alias("_n"))
     order = Window.partitionBy(*keys, "_h").orderBy(*[c for c in df.columns if c not in keys])
     groups = groups.withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
-    pieces = groups.withColumn("_p", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / PIECE)))).repartition("_h", "_p")
+    pieces = groups.withColumn("_p", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / PIECE))))
+    # A counted repartition is not merged by adaptive execution: pieces are small rows that grow when written out.
+    pieces = pieces.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_h", "_p")
     places = F.sequence(F.lit(1), F.least(F.lit(PIECE), F.col("_n") - F.col("_p") * PIECE).cast("int"))
     rows = pieces.withColumn("_i", F.explode(places)).withColumn("_i", F.col("_before") + F.col("_p") * PIECE + F.col("_i"))
     parts = {

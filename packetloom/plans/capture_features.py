@@ -9,7 +9,7 @@ from packetloom.operators import flows, packets
 from packetloom.operators.members import Members
 from packetloom.operators.sampling import sample_flows
 from packetloom.operators.stored import attach, stored
-from packetloom.sources.captures import BATCH_PACKETS, BATCHES_PER_FILE, read_captures
+from packetloom.sources.captures import BATCH_PACKETS, read_captures
 from packetloom.sources.tables import field_extract_schema, write_parquet
 
 
@@ -18,16 +18,18 @@ def captures_to_features(
     root: str,
     target: str,
     batch: int = BATCH_PACKETS,
-    max_batches: int | None = BATCHES_PER_FILE,
+    max_batches: int | None = None,
     **features: object,
 ) -> None:
-    """Parse, clean, mask and cut the packets below ``root``; one stage from scan to write."""
+    """Parse, clean, mask and cut all packets below ``root``, or the first ``max_batches`` batches of every file."""
     rows = packets.feature_rows(read_captures(spark, root, batch=batch, max_batches=max_batches), **features)
     write_parquet(rows, target, mode="append")
 
 
 def packets_to_fields(frames: DataFrame) -> DataFrame:
-    """Field-extract rows of packets, with stream number and relative time.
+    """Field-extract rows of IPv4 packets with payload, with stream number and relative time.
+
+    Streams are numbered over all packets of a file, TCP and UDP apart, each from 0.
 
     The packets are read once for the stream numbers, once for the start of every file and once for
     the rows themselves: pass a packet table, or a scan of captures if parsing is cheap.
@@ -38,14 +40,22 @@ def packets_to_fields(frames: DataFrame) -> DataFrame:
     relative = (F.unix_micros("ts") - F.unix_micros("_first")) / F.lit(1_000_000.0)
     timed = attach(fields, first, ["file_path"]).withColumn("time_relative", relative).drop("_first")
     keyed = timed.select("*", *ends)
-    names = ["protocol", "host_a", "port_a", "host_b", "port_b"]
-    return flows.with_streams(keyed, ["file_path"], names).drop(*names[1:])
+    return numbered_fields(keyed).drop("host_a", "port_a", "host_b", "port_b")
+
+
+def numbered_fields(keyed: DataFrame) -> DataFrame:
+    """Fields with session keys: ``stream`` numbered per file and protocol, then IPv4 packets with payload kept."""
+    numbered = flows.with_streams(keyed, ["file_path", "protocol"], ["host_a", "port_a", "host_b", "port_b"])
+    return numbered.where(F.col("ip_src").contains(".") & (F.length("payload") > 0))
 
 
 def extracts_to_flows(
-    spark: SparkSession, root: str, target: str, protocol: str = "tcp", share: int | None = 32, threshold: int = 100
+    spark: SparkSession, root: str, target: str, protocol: str = "tcp", share: int | None = None, threshold: int = 0
 ) -> Members:
-    """Field-extract CSV files below ``root`` to a saved two-level dataset of flow payloads."""
+    """Field-extract CSV files below ``root`` to a saved two-level dataset of flow payloads.
+
+    ``share`` keeps one in so many flows of a file, ``threshold`` skips files of so many bytes or fewer.
+    """
     rows = Members.from_csv(
         spark, root, field_extract_schema(protocol), pattern=f"*{protocol.upper()}.csv", threshold=threshold
     )

@@ -10,7 +10,10 @@ from __future__ import annotations
 import struct
 import sys
 from collections.abc import Iterator
+from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -79,27 +82,44 @@ def _file_header(head: bytes, path: str) -> tuple[str, int, int]:
     return order, per_second, struct.unpack_from(order + "I", head, 20)[0] & 0xFFFF
 
 
-def _records(data: bytes, start: int, order: str, per_second: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """``(microseconds, captured, on the wire, bytes)`` up to the end or to a cut-off record."""
-    header = struct.Struct(order + "IIII")
-    end = len(data)
-    while start + RECORD_HEADER <= end:
-        sec, part, captured, wire = header.unpack_from(data, start)
-        start += RECORD_HEADER
-        yield sec * 1_000_000 + part * 1_000_000 // per_second, captured, wire, data[start : start + captured]
-        start += captured
+def _starts(data: bytes, start: int, order: str, limit: int) -> tuple[np.ndarray, int]:
+    """Where up to ``limit`` whole record headers begin, and where the next record begins."""
+    length = struct.Struct(order + "8xI4x")
+    found, end = [], len(data) - RECORD_HEADER
+    while start <= end and len(found) < limit:
+        found.append(start)
+        start += RECORD_HEADER + length.unpack_from(data, start)[0]
+    return np.array(found, np.int64), start
 
 
-def _batches(rows: Iterator[tuple], size: int, max_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
-    held, held_bytes = [], 0
-    for row in rows:
-        held.append(row)
-        held_bytes += len(row[-1])
-        if len(held) >= size or held_bytes >= max_bytes:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ARROW)], schema=_ARROW)
-            held, held_bytes = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ARROW)], schema=_ARROW)
+def _packets(data: bytes, start: int, order: str, per_second: int, size: int) -> Iterator[tuple]:
+    """``(microseconds, captured, on the wire, packets)`` as arrays, ``size`` records at a time.
+
+    Only lengths are walked one by one; the other header fields are read for all records at once. A
+    cut-off record has fewer bytes than captured.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    while True:
+        at, start = _starts(data, start, order, size)
+        if not len(at):
+            return
+        heads = raw[at[:, None] + np.arange(RECORD_HEADER)].copy().view(f"{order}u4").astype(np.int64)
+        micros = heads[:, 0] * 1_000_000 + heads[:, 1] * 1_000_000 // per_second
+        begin = at + RECORD_HEADER
+        stop = np.minimum(begin + heads[:, 2], len(data))
+        yield micros, heads[:, 2], heads[:, 3], [data[b:e] for b, e in zip(begin.tolist(), stop.tolist())]
+
+
+def _batch(label: str | None, path: str, first: int, link: int, part: tuple) -> pa.RecordBatch:
+    micros, captured, wire, packets = part
+    n = len(packets)
+    sizes = np.fromiter(map(len, packets), np.int64, n)
+    columns = [
+        pa.repeat(pa.scalar(label, pa.string()), n), pa.repeat(pa.scalar(path), n), pa.array(np.arange(first, first + n)),
+        pa.array(micros).cast(pa.timestamp("us", tz="UTC")), pa.array(captured), pa.array(wire),
+        pa.repeat(pa.scalar(link, pa.int32()), n), pa.array(sizes < captured), pa.array(packets, pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
 
 def parse_captures(files: DataFrame, label: str | None = None, batch: int = BATCH_PACKETS) -> DataFrame:
@@ -112,15 +132,13 @@ def parse_captures(files: DataFrame, label: str | None = None, batch: int = BATC
     files = files.select(named.cast("string").alias("label"), "path", "content")
 
     def packets(values: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for part in values:
-                for name, path, content in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    order, per_second, link = _file_header(content[:FILE_HEADER], path)
-                    records = _records(content, FILE_HEADER, order, per_second)
-                    for number, (ts, captured, wire, data) in enumerate(records, 1):
-                        yield name, path, number, ts, captured, wire, link, len(data) < captured, data
-
-        yield from _batches(rows(), batch)
+        for part in values:
+            for name, path, content in zip(*(part.column(i) for i in range(3))):
+                data, path, first = content.as_py(), path.as_py(), 1
+                order, per_second, link = _file_header(data[:FILE_HEADER], path)
+                for found in _packets(data, FILE_HEADER, order, per_second, batch):
+                    yield _batch(name.as_py(), path, first, link, found)
+                    first += len(found[3])
 
     return files.mapInArrow(packets, PACKET_SCHEMA)
 
@@ -139,9 +157,15 @@ def capture_files(
 
 
 def _open(path: str):
+    """A file by the path that Spark shows, in which nothing is escaped."""
     from pyarrow import fs
 
-    system, name = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem().open_input_file(path)
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    system, name = fs.FileSystem.from_uri(quote(path.replace("s3a:", "s3:", 1), safe=":/@"))
     return system.open_input_file(name)
 
 
@@ -166,10 +190,13 @@ def _ranges(path: str, target: int) -> Iterator[tuple]:
             yield path, order, per_second, link, first, begin, min(at, size) - begin
 
 
-def scan_large(files: DataFrame, target: int = 64 << 20, batch: int = BATCH_PACKETS) -> DataFrame:
-    """Packets of large files, given their ``path``; any file system Arrow can open."""
-    import pandas as pd
+def scan_ranges(files: DataFrame, target: int = 64 << 20, batch: int = BATCH_PACKETS, tasks: int | None = None) -> DataFrame:
+    """Packets of files of any size, given ``path, length``; any file system Arrow can open.
 
+    Each file's record headers are walked in one task, which gives ranges of about ``target`` bytes;
+    these are dealt to ``tasks`` tasks, a number that adaptive execution leaves as it is. By default it
+    follows the files' total size, for a stream the session's partitions.
+    """
     names = ["path", "byte_order", "per_second", "link", "first", "at", "size"]
     types = "path string, byte_order string, per_second long, link int, first long, at long, size long"
 
@@ -178,20 +205,23 @@ def scan_large(files: DataFrame, target: int = 64 << 20, batch: int = BATCH_PACK
             for path in part["path"]:
                 yield pd.DataFrame(list(_ranges(path, target)), columns=names)
 
-    ranges = files.select("path").repartition("path").mapInPandas(walk, types)
-    ranges = ranges.repartition("path", "at").withColumn("label", directory_label(F.col("path")))
+    usual = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    walkers = usual
+    if tasks is None and not files.isStreaming:
+        n_files, n_bytes = files.agg(F.count("path"), F.sum("length")).first()
+        walkers, tasks = max(1, n_files), max(1, n_files, -(-(n_bytes or 0) // target))
+    ranges = files.select("path").repartition(walkers, "path").mapInPandas(walk, types)
+    ranges = ranges.repartition(tasks or usual, "path", "at").withColumn("label", directory_label(F.col("path")))
     ranges = ranges.select("label", *names)
 
     def packets(values: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for part in values:
-                for label, path, order, per_second, link, first, at, size in zip(*(c.to_pylist() for c in part.columns)):
-                    with _open(path) as f:
-                        data = f.read_at(size, at)
-                    for number, (ts, captured, wire, raw) in enumerate(_records(data, 0, order, per_second), first):
-                        yield label, path, number, ts, captured, wire, link, len(raw) < captured, raw
-
-        yield from _batches(rows(), batch)
+        for part in values:
+            for label, path, order, per_second, link, first, at, size in zip(*(c.to_pylist() for c in part.columns)):
+                with _open(path) as f:
+                    data = f.read_at(size, at)
+                for found in _packets(data, 0, order, per_second, batch):
+                    yield _batch(label, path, first, link, found)
+                    first += len(found[3])
 
     return ranges.mapInArrow(packets, PACKET_SCHEMA)
 
@@ -203,13 +233,15 @@ def read_captures(
     large: int = 128 << 20,
     batch: int = BATCH_PACKETS,
     max_batches: int | None = None,
+    stream: bool = False,
+    **options: str,
 ) -> DataFrame:
-    """Packets of all capture files below ``root``.
+    """Packets of all capture files below ``root``, as a stream of new files with ``stream``.
 
-    Files above ``large`` bytes are parsed by ranges. ``max_batches`` keeps the first
-    ``batch * max_batches`` packets of every file.
+    Files up to ``large`` bytes are read by Spark, longer ones, which a value may not hold, by ranges;
+    both give the same rows. ``max_batches`` keeps the first ``batch * max_batches`` packets of every file.
     """
-    small = capture_files(spark, root, pattern).where(F.col("length") <= large)
-    big = capture_files(spark, root, pattern, content=False).where(F.col("length") > large)
-    packets = parse_captures(small, batch=batch).unionByName(scan_large(big, batch=batch))
+    small = capture_files(spark, root, pattern, stream=stream, **options).where(F.col("length") <= large)
+    big = capture_files(spark, root, pattern, content=False, stream=stream, **options).where(F.col("length") > large)
+    packets = parse_captures(small, batch=batch).unionByName(scan_ranges(big, batch=batch))
     return packets.where(F.col("frame_no") <= batch * max_batches) if max_batches else packets

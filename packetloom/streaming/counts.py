@@ -13,13 +13,13 @@ def running_counts(stream: DataFrame, *keys: str) -> DataFrame:
 
 
 def publish_states(counts: DataFrame, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Write the complete counts after every micro-batch as one partition of ``target``.
+    """Write the complete counts after every micro-batch to one of two slots of ``target`` in turn.
 
-    A repeated batch replaces its own partition.
+    The last state stays whole while the next is written; a repeated batch replaces its own slot.
     """
 
     def write(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{target}/batch={batch}")
+        df.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{target}/slot={batch % 2}")
 
     writer = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
     writer = writer.trigger(availableNow=True) if once else writer
@@ -30,7 +30,7 @@ def latest_state(spark: SparkSession, target: str) -> DataFrame:
     """The counts after the last micro-batch."""
     states = spark.read.parquet(target)
     last = states.agg(F.max("batch").alias("batch"))
-    return states.join(last, "batch", "left_semi").drop("batch")
+    return states.join(last, "batch", "left_semi").drop("batch", "slot")
 
 
 def sliced_counts(stream: DataFrame, ts: Column, delay: str, length: str, *keys: str) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,22 @@ def _merge(sessions: list, new: list, gap: int, width: int) -> list:
     return merged
 
 
+def _sessions(frame: pd.DataFrame, gap: int, width: int) -> list:
+    """Sessions of the packets of one batch: sorted once, cut where the gap is too long."""
+    if frame.empty:
+        return []
+    frame = frame.sort_values(["at", "ord"], kind="stable")
+    at, sizes = frame["at"].to_numpy(), frame["text"].str.len().to_numpy()
+    edges = [0, *(np.flatnonzero(np.diff(at) > gap) + 1).tolist(), len(at)]
+    out = []
+    for a, b in zip(edges, edges[1:]):
+        before = np.cumsum(sizes[a:b]) - sizes[a:b]
+        head = frame.iloc[a : a + int(np.searchsorted(before, width))]
+        pieces = [list(p) for p in zip(head["at"].tolist(), head["ord"].tolist(), head["text"].tolist())]
+        out.append([int(at[a]), int(at[b - 1]), b - a, pieces])
+    return out
+
+
 def live_flows(
     stream: DataFrame,
     flow: Column,
@@ -74,8 +91,7 @@ def live_flows(
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         sessions = json.loads(state.get[0]) if state.exists else []
         for frame in frames:
-            rows = zip(frame["at"].tolist(), frame["ord"].tolist(), frame["text"].tolist())
-            sessions = _merge(sessions, [[at, at, 1, [[at, n, text]]] for at, n, text in rows], gap, width)
+            sessions = _merge(sessions, _sessions(frame, gap, width), gap, width)
         closed_before = state.getCurrentWatermarkMs() * 1000
         done = [s for s in sessions if s[1] + gap < closed_before]
         still = [s for s in sessions if s[1] + gap >= closed_before]

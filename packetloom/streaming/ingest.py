@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from packetloom.operators.packets import feature_rows
-from packetloom.sources.captures import BATCH_PACKETS, capture_files, parse_captures
+from packetloom.sources.captures import BATCH_PACKETS, read_captures
 
 
 def append_parquet(stream: DataFrame, target: str, checkpoint: str, once: bool = True, by: list[str] | None = None) -> StreamingQuery:
@@ -29,10 +29,10 @@ def ingest_captures(
     pattern: str = "*.pcap",
     files_per_batch: int = 100,
     batch: int = BATCH_PACKETS,
+    large: int = 128 << 20,
     once: bool = True,
     **features: object,
 ) -> StreamingQuery:
-    """Parse new capture files below ``root`` and append their feature rows to ``target``."""
-    files = capture_files(spark, root, pattern, stream=True, maxFilesPerTrigger=str(files_per_batch))
-    rows = feature_rows(parse_captures(files, batch=batch), **features)
-    return append_parquet(rows, target, checkpoint, once)
+    """Parse new capture files of any size below ``root`` and append their feature rows to ``target``."""
+    packets = read_captures(spark, root, pattern, large, batch, stream=True, maxFilesPerTrigger=str(files_per_batch))
+    return append_parquet(feature_rows(packets, **features), target, checkpoint, once)

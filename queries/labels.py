@@ -211,7 +211,7 @@ def h9(spark, sf_dir):
 
 @query(
     "h10_clean_stems",
-    "SELECT doc_id, regexp_replace(text, '[^.\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+', '_', 'g') AS stem FROM documents",
+    "SELECT doc_id, regexp_replace(text, '[^._\\p{L}\\p{N}]+', '_', 'g') AS stem FROM documents",
 )
 def h10(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", clean_stem(F.col("text")).alias("stem"))
@@ -353,7 +353,7 @@ def a2(spark, sf_dir):
     "WITH p AS (SELECT regexp_replace(url, '^https?:/', '') AS path, octet_length(encode(html))::BIGINT AS length FROM pages "
     "WHERE octet_length(encode(html)) > 1000), "
     "q AS (SELECT path, length, regexp_replace(regexp_replace(path, '/[^/]*$', ''), '^/+', '') AS split, "
-    "regexp_replace(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1'), '[^.\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+', '_', 'g') "
+    "regexp_replace(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1'), '[^._\\p{L}\\p{N}]+', '_', 'g') "
     "AS dataset FROM p) "
     "SELECT split, dataset, path, length, count(*) OVER (PARTITION BY split, dataset) > 1 AS duplicate FROM q",
 )

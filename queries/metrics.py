@@ -8,9 +8,12 @@ from packetloom.functions.arrays import argmax
 from packetloom.operators import metrics, projection
 from queries.registry import query, table
 
-# Truth is the class of a vector, the prediction the largest of its first ten values.
+# Truth is the class of a vector, the prediction the class with the nearest centroid over all its values.
 P = (
-    "WITH p AS (SELECT vec_id, label, (list_position(embedding[1:10], list_max(embedding[1:10])) - 1)::INT AS pred FROM embeddings), "
+    "WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings), "
+    "ce AS (SELECT label AS c, pos, avg(v) AS m FROM x GROUP BY 1, 2), "
+    "di AS (SELECT vec_id, label, c, round(sum((v - m) * (v - m)), 9) AS d FROM x JOIN ce USING (pos) GROUP BY 1, 2, 3), "
+    "p AS (SELECT vec_id, label, c AS pred FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS r FROM di) WHERE r = 1), "
     "k AS (SELECT label, pred, count(*) AS n FROM p GROUP BY 1, 2), "
     "cl AS (SELECT label AS c FROM k UNION SELECT pred FROM k), "
     "g AS (SELECT a.c AS label, b.c AS pred, coalesce(k.n, 0)::BIGINT AS n FROM cl a CROSS JOIN cl b LEFT JOIN k ON k.label = a.c AND k.pred = b.c), "
@@ -22,8 +25,7 @@ P = (
 
 
 def predictions(spark, sf_dir):
-    pred = argmax(F.slice("embedding", 1, 10))
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", pred.alias("pred"))
+    return projection.nearest_centroid(table(spark, sf_dir, "embeddings"), "embedding", "label", ["vec_id"])
 
 
 def counts(spark, sf_dir):
@@ -159,25 +161,48 @@ def d18(spark, sf_dir):
     return scaled.withColumn("scaled", F.round("scaled", 6))
 
 
-@query("d19_principal_components")
+@query(
+    "d19_principal_components",
+    "SELECT c.c AS component, count(*) AS n, TRUE AS share_of_variance, TRUE AS uncorrelated "
+    "FROM embeddings, (VALUES (0), (1)) c(c) GROUP BY 1",
+)
 def d19(spark, sf_dir):
-    _, shares = projection.principal_components(table(spark, sf_dir, "embeddings"), "embedding", 2)
-    return shares.withColumn("explained", F.round("explained", 6))
+    """Each share is the variance of the projected values in that of all values, and components don't correlate."""
+    vectors = table(spark, sf_dir, "embeddings")
+    projected, shares = projection.principal_components(vectors, "embedding", 2)
+    total = projection.components(vectors, "embedding").groupBy("pos").agg(F.var_samp("value").alias("v")).agg(F.sum("v").alias("total"))
+    first, second = F.col("projected")[0], F.col("projected")[1]
+    seen = projected.agg(F.count("*").alias("n"), F.array(F.var_samp(first), F.var_samp(second)).alias("v"), F.corr(first, second).alias("r"))
+    met = shares.join(seen.join(total, F.lit(True)), F.lit(True))  # one row each, and one for each component
+    share = F.abs(F.element_at("v", F.col("component") + 1) / F.col("total") - F.col("explained")) < 1e-9
+    return met.select("component", "n", share.alias("share_of_variance"), (F.abs("r") < 1e-6).alias("uncorrelated"))
 
 
-@query("t1_train_classifier")
+@query(
+    "t1_train_classifier",
+    "SELECT sum(floor(c * 0.2))::BIGINT AS n_test, count(*) AS n_classes, TRUE AS fits_training "
+    "FROM (SELECT label, count(*) AS c FROM embeddings WHERE label IS NOT NULL GROUP BY 1)",
+)
 def t1(spark, sf_dir):
     from packetloom.operators.sampling import split_exact
 
     parts = split_exact(table(spark, sf_dir, "embeddings"), ["vec_id"], 0.2, "label")
     model = projection.train_classifier(parts.where("part = 'train'"), "embedding", "label", grid=[0.001, 0.1])
     scored = projection.score(model, parts.where("part = 'test'"), "embedding", "label", ["vec_id"])
-    row = metrics.summary(metrics.confusion_counts(scored))
-    return row.select(*[F.round(c, 4).alias(c) for c in row.columns])
+    known = projection.score(model, parts.where("part = 'train'"), "embedding", "label", ["vec_id"])
+    hits = known.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("pred")).alias("hits"))
+    fit = hits.agg((F.sum("hits") > F.max("n")).alias("fits_training"))  # better than the largest class alone
+    seen = scored.where(F.col("pred").isNotNull()).agg(F.count("*").alias("n_test"), F.countDistinct("label").alias("n_classes"))
+    return seen.join(fit, F.lit(True))
 
 
-@query("t2_score_table")
+@query(
+    "t2_score_table",
+    "SELECT vec_id, label, len(embedding)::INTEGER AS width, TRUE AS sums_to_one, TRUE AS pred_is_best FROM embeddings",
+)
 def t2(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     scored = projection.score(projection.train_classifier(vectors, "embedding", "label"), vectors, "embedding", "label", ["vec_id"])
-    return metrics.confusion_matrix(metrics.confusion_counts(scored))
+    one = F.abs(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9
+    best = F.element_at("scores", F.col("pred") + 1) == F.array_max("scores")
+    return scored.select("vec_id", "label", F.size("latent").alias("width"), one.alias("sums_to_one"), best.alias("pred_is_best"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.octets import hex_text
 from packetloom.operators import flows, packets, search
+from packetloom.plans.capture_features import numbered_fields
 from packetloom.sources.captures import parse_captures
 from queries.derived import DOCUMENT_PACKETS_SQL, document_captures, event_frames, event_sql
 from queries.registry import query, table
@@ -34,17 +35,16 @@ def a1(spark, sf_dir):
     "CASE WHEN s = 9 THEN '20010db80000000000000000' || src ELSE src END AS ip_src, "
     "CASE WHEN s = 9 THEN '20010db80000000000000000' || dst ELSE dst END AS ip_dst FROM e WHERE s <> 8), "
     "c AS (SELECT *, least(ip_src || ':' || sport, ip_dst || ':' || dport) || protocol || greatest(ip_src || ':' || sport, ip_dst || ':' || dport) AS conv FROM k), "
-    "f AS (SELECT label, conv, min(event_id) AS first FROM c GROUP BY 1, 2), "
-    "g AS (SELECT label, conv, row_number() OVER (PARTITION BY label ORDER BY first) - 1 AS stream FROM f) "
-    "SELECT event_id + 1 AS frame_no, c.protocol, c.ip_src, ('0x' || c.sport)::INT AS sport, c.ip_dst, ('0x' || c.dport)::INT AS dport, "
+    "f AS (SELECT label, protocol, conv, min(event_id) AS first FROM c GROUP BY 1, 2, 3), "
+    "g AS (SELECT label, conv, row_number() OVER (PARTITION BY label, protocol ORDER BY first) - 1 AS stream FROM f) "
+    "SELECT event_id + 1 AS frame_no, c.protocol, array_to_string([('0x' || substr(c.ip_src, i, 2))::INT FOR i IN [1, 3, 5, 7]], '.') AS ip_src, ('0x' || c.sport)::INT AS sport, array_to_string([('0x' || substr(c.ip_dst, i, 2))::INT FOR i IN [1, 3, 5, 7]], '.') AS ip_dst, ('0x' || c.dport)::INT AS dport, "
     "(length(l3) // 2 + 14)::BIGINT AS frame_len, ((CASE WHEN s = 9 THEN 40 ELSE 20 END) + length(inn) // 2)::INT AS ip_len, "
-    "body AS payload, g.stream FROM c JOIN g ON g.label = c.label AND g.conv = c.conv",
+    "body AS payload, g.stream FROM c JOIN g ON g.label = c.label AND g.conv = c.conv WHERE s <> 9 AND length(body) > 0",
 )
 def a4(spark, sf_dir):
     fields = packets.extracted_fields(dissected(spark, sf_dir))
     keyed = fields.select("*", *flows.session_key("ip_src", "sport", "ip_dst", "dport"))
-    names = ["protocol", "host_a", "port_a", "host_b", "port_b"]
-    return flows.with_streams(keyed, ["file_path"], names).drop("file_path", "ts", *names[1:])
+    return numbered_fields(keyed).drop("file_path", "ts", "host_a", "port_a", "host_b", "port_b")
 
 
 @query(

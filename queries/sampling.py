@@ -121,7 +121,7 @@ def f3(spark, sf_dir):
     "f4_with_replacement",
     D + ranked(9876, "d") + ", t AS (SELECT labels, max(c) AS c FROM r GROUP BY 1), "
     "w AS (SELECT labels, c, unnest(range(1, 51))::INT AS draw FROM t), "
-    "x AS (SELECT labels, draw, ('0x' || substr(md5(concat_ws(':', '9876', labels, draw)), 1, 8))::BIGINT % c + 1 AS rn FROM w) "
+    "x AS (SELECT labels, draw, ('0x' || substr(md5(concat_ws(':', '9876', labels, draw)), 1, 15))::BIGINT % c + 1 AS rn FROM w) "
     "SELECT r.doc_id, r.labels, x.draw FROM x JOIN r ON r.labels = x.labels AND r.rn = x.rn",
 )
 def f4(spark, sf_dir):
@@ -193,19 +193,19 @@ def f9(spark, sf_dir):
 
 @query(
     "f10_validation_split",
-    "WITH d AS (SELECT doc_id, lang AS labels, CASE WHEN source < 'm' THEN 'train' ELSE 'extra' END AS split, source AS dataset FROM documents), "
-    "t AS (SELECT * FROM d WHERE split = 'train'), "
+    "WITH d AS (SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN lang END AS labels, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 7 <> 0 THEN 'train' ELSE 'extra' END AS split, source AS dataset FROM documents), "
+    "t AS (SELECT * FROM d WHERE split = 'train' AND labels IS NOT NULL), "
     + ranked(4711, "t")
     + " SELECT doc_id, labels, CASE WHEN rn <= c * 0.2::DOUBLE THEN 'validation' ELSE 'train' END AS split, dataset FROM r "
-    "UNION ALL SELECT doc_id, labels, split, dataset FROM d WHERE split = 'extra'",
+    "UNION ALL SELECT doc_id, labels, split, dataset FROM d WHERE split IS NULL OR split = 'extra' OR labels IS NULL",
 )
 def f10(spark, sf_dir):
     from packetloom.operators.members import Members
 
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
-        F.col("lang").alias("labels"),
-        F.when(F.col("source") < "m", "train").otherwise("extra").alias("split"),
+        F.when(F.col("doc_id") % 11 != 0, F.col("lang")).alias("labels"),
+        F.when(F.col("doc_id") % 13 != 0, F.when(F.col("doc_id") % 7 != 0, "train").otherwise("extra")).alias("split"),
         F.col("source").alias("dataset"),
     )
     return Members(docs).with_validation(["doc_id"], 0.2, "labels", name="validation").df.select(*docs.columns)

@@ -8,6 +8,7 @@ from packetloom.functions.octets import hex_text
 from packetloom.operators.packets import feature_rows
 from packetloom.operators.stored import new_path
 from packetloom.sources.captures import parse_captures
+from packetloom.streaming.closing import append_marker
 from packetloom.streaming.counts import latest_state, publish_states, running_counts, sliced_counts
 from packetloom.streaming.flows import live_flows
 from packetloom.streaming.ingest import append_parquet
@@ -27,6 +28,18 @@ def drained(spark, df, name, schema=None):
     return spark.read.schema(schema or df.schema).parquet(target)
 
 
+def closed(spark, rows, make, name, ts, seconds, **values):
+    """What a stream emits from ``rows`` and then, begun again at its checkpoint, from a closing marker."""
+    source, target, progress = new_path(spark, f"{name}-source"), new_path(spark, name), new_path(spark, f"{name}-progress")
+    rows.write.parquet(source)
+    made = make(spark.readStream.schema(rows.schema).parquet(source))
+    append_parquet(made, target, progress).awaitTermination()
+    append_marker(spark, source, rows, ts, seconds, **values)
+    made = make(spark.readStream.schema(rows.schema).parquet(source))
+    append_parquet(made, target, progress).awaitTermination()
+    return spark.read.schema(made.schema).parquet(target)
+
+
 @query(
     "s1_captures_to_features",
     f"WITH {DOCUMENT_PACKETS_SQL} SELECT rpad(substr(ip_head || repeat('0', 24) || tcp_tail, 1, 2048), 2048, '0') AS x, "
@@ -55,12 +68,13 @@ def s2b(spark, sf_dir):
 
 @query(
     "s3_time_slices",
-    "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS slice_start, event_type, count(*) AS n FROM events "
-    "WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2",
+    "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS slice_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 )
 def s3(spark, sf_dir):
-    slices = sliced_counts(stream(spark, sf_dir, "events"), F.col("ts").cast("timestamp"), "1 hour", "3600 seconds", "event_type")
-    read = drained(spark, slices, "slices")
+    def slices(events):
+        return sliced_counts(events, F.col("ts").cast("timestamp"), "1 hour", "3600 seconds", "event_type")
+
+    read = closed(spark, table(spark, sf_dir, "events"), slices, "slices", "ts", 3 * 3600)
     return read.select(F.unix_micros("slice_start").alias("slice_start"), "event_type", "n")
 
 
@@ -71,11 +85,14 @@ def s3(spark, sf_dir):
     "s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY us, event_id) AS n FROM g), "
     "f AS (SELECT user_id::VARCHAR AS flow, min(us) AS start, max(us) AS \"end\", count(*) AS n_packets, "
     "substr(string_agg(p, '' ORDER BY us, event_id), 1, 2048) AS payload FROM s GROUP BY user_id, n) "
-    "SELECT * FROM f WHERE \"end\" + 21600000000 < ((SELECT max(epoch_us(ts)) FROM events) // 1000 - 3600000) * 1000",
+    "SELECT * FROM f",
 )
 def s4(spark, sf_dir):
-    events = stream(spark, sf_dir, "events")
     ts, text = F.col("ts").cast("timestamp"), F.lower(F.hex(F.encode("props", "utf-8")))
-    flows = live_flows(events, F.col("user_id"), ts, F.col("event_id"), text, 21600, "1 hour")
-    read = drained(spark, flows, "live-flows")
+
+    def flows(events):
+        return live_flows(events, F.col("user_id"), ts, F.col("event_id"), text, 21600, "1 hour")
+
+    rows = table(spark, sf_dir, "events")
+    read = closed(spark, rows, flows, "live-flows", "ts", 9 * 3600, user_id=F.lit(-1), props=F.lit(""))
     return read.withColumns({"start": F.unix_micros("start"), "end": F.unix_micros("end")})

@@ -35,11 +35,11 @@ def ether(inner: bytes, kind: int = 0x0800, vlan: int | None = None) -> bytes:
 def capture(packets: list[bytes], order: str = "<", nano: bool = False, link: int = 1, cut: int = 0) -> bytes:
     """``cut`` bytes are missing from the end of the last record."""
     magic = 0xA1B23C4D if nano else 0xA1B2C3D4
-    data = struct.pack(order + "IHHIIII", magic, 2, 4, 0, 0, 262144, link)
+    data = bytearray(struct.pack(order + "IHHIIII", magic, 2, 4, 0, 0, 262144, link))
     for i, p in enumerate(packets):
         part = (i + 5) * (1000 if nano else 1)
         data += struct.pack(order + "IIII", 1700000000 + i, part, len(p), len(p)) + p
-    return data[: len(data) - cut] if cut else data
+    return bytes(data[: len(data) - cut])
 
 
 PAYLOAD = bytes(range(256)) + bytes(44)

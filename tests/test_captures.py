@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from packetloom.functions.octets import hex_text
 from packetloom.operators import packets
 from packetloom.plans.capture_features import captures_to_features, packets_to_fields, extracts_to_flows
-from packetloom.sources.captures import capture_files, parse_captures, read_captures, scan_large
+from packetloom.sources.captures import capture_files, parse_captures, read_captures, scan_ranges
 from packetloom.sources.files import directory_ids, list_files
 from packetloom.streaming.ingest import ingest_captures
 from tests.captures import PAYLOAD, SHAPES, capture, ether, ipv4, tcp, udp, write
@@ -54,7 +54,7 @@ def test_ranges_equal_whole_files(spark, folder):
     data = [ether(ipv4(tcp(0x18, bytes([i % 256]) * (i % 700)), 6)) for i in range(500)]
     write(folder, "x/big.pcap", capture(data))
     whole = parse_captures(capture_files(spark, folder))
-    pieces = scan_large(capture_files(spark, folder, content=False), target=10_000)
+    pieces = scan_ranges(capture_files(spark, folder, content=False), target=10_000)
     cut = read_captures(spark, folder, large=1000)
     columns = ["frame_no", F.unix_micros("ts").alias("t"), "cap_len", "wire_len", "link_type", "truncated", hex_text("packet").alias("p"), "label"]
     expected = whole.select(*columns).orderBy("frame_no").collect()
@@ -157,7 +157,8 @@ def test_fields(spark, folder):
     other = ipv4(udp(b"ef", 1000, 80), 17)
     write(folder, "x/c.pcap", capture([ether(p) for p in (there, other, back, there)]))
     rows = packets_to_fields(read_captures(spark, folder)).orderBy("frame_no").collect()
-    assert [r["stream"] for r in rows] == [0, 1, 0, 0]
+    assert [r["stream"] for r in rows] == [0, 0, 0, 0]  # each protocol from 0
+    assert rows[2]["ip_src"] == "192.168.7.9"
     assert [r["payload"] for r in rows] == ["6162", "6566", "6364", "6162"]
     assert [round(r["time_relative"], 6) for r in rows] == [0, 1.000001, 2.000002, 3.000003]
     assert [r["protocol"] for r in rows] == ["tcp", "udp", "tcp", "tcp"]
@@ -191,3 +192,35 @@ def test_extract_files_to_flows(spark, folder):
     assert {r["dataset"] for r in rows} == {"a_TCP"}
     manifest = [json.loads(line) for line in spark.read.text(f"{folder}/out/manifest").toPandas()["value"]]
     assert manifest == [{"kind": "members", "splits": ["day one"]}]
+
+
+def test_paths_and_sizes_make_no_difference(spark, folder):
+    from packetloom.plans.capture_features import captures_to_features
+    from packetloom.streaming.ingest import ingest_captures
+
+    frames = [SHAPES[0][1], SHAPES[5][1]] * 13_000
+    write(folder, "in/a b%20+c/x.pcap", capture(frames))
+    write(folder, "in/p2p/y.pcap", capture(frames[:5]))
+    small = read_captures(spark, f"{folder}/in")
+    ranges = read_captures(spark, f"{folder}/in", large=100)
+    assert small.count() == ranges.count() == 26_005
+    assert small.exceptAll(ranges).isEmpty()
+    pieces = scan_ranges(capture_files(spark, f"{folder}/in", content=False), target=100_000)
+    assert pieces.rdd.getNumPartitions() > 4
+    assert pieces.select(F.spark_partition_id().alias("p")).distinct().count() > 2
+    captures_to_features(spark, f"{folder}/in", f"{folder}/batch")
+    ingest_captures(spark, f"{folder}/in", f"{folder}/stream", f"{folder}/progress", large=1000).awaitTermination()
+    batch, stream = spark.read.parquet(f"{folder}/batch"), spark.read.parquet(f"{folder}/stream")
+    assert batch.count() == stream.count() > 25_000
+    assert batch.exceptAll(stream).isEmpty()
+
+
+def test_masking_with_large_types(spark, captures):
+    from packetloom.operators.packets import feature_rows
+
+    rows = feature_rows(read_captures(spark, captures)).collect()
+    spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", "true")
+    try:
+        assert sorted(feature_rows(read_captures(spark, captures)).collect(), key=repr) == sorted(rows, key=repr)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.useLargeVarTypes")

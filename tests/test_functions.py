@@ -124,3 +124,27 @@ def test_names(spark):
     assert value(spark, names.relative_directory(F.lit("/a/b/c/x"), "/a")) == "b/c"
     assert value(spark, names.relative_directory(F.lit("/a/x"), "/a")) == "."
     assert value(spark, names.local_path(F.lit("file:///a/x%20y+z%25.csv"))) == "/a/x y+z%.csv"
+
+
+def test_label_ids_leave_other_columns_alone(spark):
+    from packetloom.operators.labels import label_mapping, with_label_id
+
+    df = spark.createDataFrame([("a.b", "x"), ("c", "y")], "label string, labels string")
+    by_label = {r["label"]: (r["labels"], r["label_id"]) for r in with_label_id(df, label_mapping(df, "label"), "label").collect()}
+    assert by_label == {"a.b": ("x", 0), "c": ("y", 1)}
+    by_labels = {r["label"]: r["label_id"] for r in with_label_id(df, label_mapping(df)).collect()}
+    assert by_labels == {"a.b": 0, "c": 1}
+
+
+def test_stems_keep_letters_and_numbers(spark):
+    from packetloom.functions.names import clean_stem
+
+    df = spark.createDataFrame([("x²",), ("e\u0301z",), ("a‿b",), ("a_b.c",)], "s string")
+    assert [r[0] for r in df.select(clean_stem(F.col("s"))).collect()] == ["x²", "e_z", "a_b", "a_b.c"]
+
+
+def test_null_ids_keep_their_place(spark):
+    from packetloom.functions.hashing import hash_key
+
+    df = spark.createDataFrame([("a", None, "b"), ("a", "b", None)], "x string, y string, z string")
+    assert df.select(hash_key(1, "x", "y", "z")).distinct().count() == 2

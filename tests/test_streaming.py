@@ -5,6 +5,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from packetloom.streaming.closing import append_marker
 from packetloom.streaming.counts import latest_state, publish_states, running_counts, sliced_counts
 from packetloom.streaming.flows import live_flows
 from packetloom.streaming.ingest import append_parquet
@@ -70,7 +71,7 @@ def test_counts_grow_with_the_batches(spark, folder):
     stream = source(spark, folder, rows, 3)
     publish_states(running_counts(stream, "flow"), f"{folder}/out", f"{folder}/progress").awaitTermination()
     states = spark.read.parquet(f"{folder}/out").groupBy("batch").agg(F.sum("n").alias("n")).orderBy("batch").collect()
-    assert [r["n"] for r in states] == [100, 200, 300]
+    assert [r["n"] for r in states] == [200, 300]  # the last two states
     want = defaultdict(int)
     for r in rows:
         want[r[0]] += 1
@@ -88,3 +89,26 @@ def test_slices_equal_batch_over_closed_windows(spark, folder):
         want[flow, at // 600 * 600] += 1
     end = max(r[1] for r in rows) - 300
     assert got == {k: n for k, n in want.items() if k[1] + 600 <= end}
+
+
+def test_marker_closes_all_windows(spark, folder):
+    rows = make(n=600)
+    table = spark.createDataFrame(rows, "flow string, at long, n long, text string").withColumn("ts", F.timestamp_seconds("at"))
+    table.repartition(3).write.parquet(f"{folder}/in")
+
+    def run():
+        stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", "1").parquet(f"{folder}/in")
+        slices = sliced_counts(stream, F.col("ts"), "5 minutes", "600 seconds", "flow")
+        append_parquet(slices, f"{folder}/out", f"{folder}/progress").awaitTermination()
+
+    run()
+    append_marker(spark, f"{folder}/in", table, "ts", 1800, flow=F.lit("marker"))
+    run()
+    got = spark.read.parquet(f"{folder}/out")
+    assert got.agg(F.sum("n")).first()[0] <= 600
+    assert got.where("flow = 'marker'").isEmpty()
+    last = max(r[1] for r in rows)
+    open_before = [r for r in rows if r[1] // 600 * 600 + 600 > last - 300]
+    assert open_before  # these came out only through the marker
+    closed = {(r["flow"], r["s"]) for r in got.selectExpr("flow", "unix_seconds(slice_start) s").collect()}
+    assert {(r[0], r[1] // 600 * 600) for r in open_before} <= closed
