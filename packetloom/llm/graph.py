@@ -31,4 +31,5 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("w")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = kept(small.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "small_star")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    star = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return star.unionByName(star.select(F.col("root").alias("node"), "root").distinct())
