@@ -18,7 +18,7 @@ from packetloom.llm.common import text_of
 
 WINDOW_WORDS = 8
 LEVEL = 8
-ORDINARY_BYTES = 32 << 10
+ORDINARY_BYTES = 12 << 10
 TOXIC_BYTES = 16 << 10
 SAMPLE_ROWS = 8000
 SAMPLE_CHARS = 1 << 15
@@ -66,15 +66,18 @@ class Model:
         return lengths[0] - lengths[1]
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Per text: the largest gain, how many windows gain so much or more (logarithms), and a share of them."""
-        out = np.zeros((len(texts), 2 + len(CLEAR)))
+        """Per text: the largest gain, how many windows gain so much or more (logarithms) and a share
+        of them, and the gain of all windows over their number and over its root."""
+        out = np.zeros((len(texts), 4 + len(CLEAR)))
         begin, group, parts = 0, [], []
 
         def flush() -> None:
             gain, at = self.gains(parts), np.cumsum([0, *group])
             for k, (a, b) in enumerate(zip(at[:-1], at[1:])):
                 own = gain[a:b]
-                out[begin + k] = (min(int(own.max(initial=0)), 12), *(math.log1p((own >= g).sum()) for g in CLEAR), (own >= CLEAR[1]).sum() / max(len(own), 1))
+                clear = [math.log1p((own >= g).sum()) for g in CLEAR]
+                n = max(len(own), 1)
+                out[begin + k] = (min(int(own.max(initial=0)), 12), *clear, (own >= CLEAR[1]).sum() / n, min(own.sum() / n, 2), min(own.sum() / math.sqrt(n), 12))
 
         for i, text in enumerate(texts):
             own = windows(text)
@@ -177,7 +180,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     model = Model(shared + _joined(ends, TOXIC_BYTES), shared + _joined([w for w, _ in marking], TOXIC_BYTES))
     rest = [(t, y) for i, (t, y) in enumerate(kept) if few or i % 2]
     if not rest or len({y for _, y in rest}) < 2:
-        model.weights = [math.log((sum(labels) + 0.5) / (len(labels) - sum(labels) + 1))] + [0.0] * (2 + len(CLEAR))
+        model.weights = [math.log((sum(labels) + 0.5) / (len(labels) - sum(labels) + 1))] + [0.0] * (4 + len(CLEAR))
         return model
     x = np.c_[np.ones(len(rest)), model.features([t for t, _ in rest])]
     y = np.array([y for _, y in rest], float)
