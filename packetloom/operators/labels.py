@@ -33,7 +33,8 @@ def smallest_class(df: DataFrame, label: str, floor: int = 0) -> DataFrame:
 def dense_histogram(df: DataFrame, class_id: str) -> DataFrame:
     """Rows of every class id from 0 to the largest, zeros included: ``class_id, n``."""
     counts = stored(value_counts(df.where(F.col(class_id).isNotNull()), class_id, name="n"), "class-counts")
-    ids = counts.agg(F.max(class_id).alias("m")).select(F.explode(F.sequence(F.lit(0), F.col("m").cast("int"))).alias(class_id))
+    top = counts.agg(F.max(class_id)).first()[0]
+    ids = df.sparkSession.range(0 if top is None else int(top) + 1).select(F.col("id").cast("int").alias(class_id))
     return ids.join(counts, class_id, "left").select(class_id, F.coalesce("n", F.lit(0)).alias("n"))
 
 
