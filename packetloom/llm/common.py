@@ -12,23 +12,30 @@ from pyspark.sql import functions as F
 
 from packetloom.operators.stored import new_path, stored
 
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Shuffle files of a job go when it is over, not at some later collection. Batches of texts for Python stay
+# small: workers live on and keep what their largest batch took.
+STEP_CONF = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2500",
+}
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of jobs in this block go when their job is over, not at some later collection."""
-    before = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
+def step_conf(spark: SparkSession) -> Iterator[None]:
+    """Settings of ``STEP_CONF`` for the jobs in this block."""
+    before = {k: spark.conf.get(k, None) for k in STEP_CONF}
+    for k, v in STEP_CONF.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back; its shuffle files go at once."""
-    with shuffles_dropped(df.sparkSession):
+    with step_conf(df.sparkSession):
         return stored(df, name)
 
 
