@@ -149,6 +149,18 @@ def test_passages(spark):
     assert passages.shared_passages(df.where("false")).isEmpty()
 
 
+@pytest.mark.parametrize("hot", [64, 2])
+def test_passages_whose_parts_stand_elsewhere(spark, hot, monkeypatch):
+    monkeypatch.setattr(passages, "HOT", hot)
+    rnd = random.Random(7)
+    words = lambda n: [f"{rnd.getrandbits(30):x}" for _ in range(n)]
+    p = words(65)
+    parts = {1: p[:25], 2: p[19:45], 3: p[39:], 8: p, 9: p, 10: p[:25], 11: p[19:45], 12: p[39:]}
+    df = spark.createDataFrame([(i, " ".join(words(40) + w + words(40))) for i, w in parts.items()], "doc_id long, text string")
+    got = [(r["doc_id"], r["other_id"], r["begin"], r["end"], r["similarity"]) for r in passages.shared_passages(df).collect()]
+    assert got == [(9, 8, 40, 105, 1.0)]
+
+
 def test_templates(spark):
     asked = "We know that Anna has 12 apples and gives 5 apples to Bob at noon today in the park."
     rows = [
