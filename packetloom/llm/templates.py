@@ -165,7 +165,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     Windows of 8 words with 4 literal ones at least meet by hash, item against document; shorter items
     are one window. Slots must be consistent: on one alignment of item and document the same filler
     stands for the same filler throughout, as when a question is asked again with other numbers. A
-    document holds an item if its consistent alignments have ``share`` of the item's.
+    document holds an item if its consistent alignments have ``share`` of the item's, each counted
+    once however often the document repeats it.
     ``reworded`` is true if fillers differ. Items whose windows are all slots can't be found.
 
     A filter of fixed size (512 kB) of the items' hashes drops windows in the scan; the rest is a hash
@@ -196,10 +197,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     )
     changed = pairs.where("a != b").select("id", "item", "shift").distinct().withColumn("reworded", F.lit(True))
     total = own.groupBy(F.col("id").alias("item")).agg(F.count("*").alias("n_windows"))
-    counted = met.groupBy("id", "item", "shift").agg(F.countDistinct("at").alias("n"))
-    counted = counted.join(clashes, ["id", "item", "shift"], "left_anti").join(changed, ["id", "item", "shift"], "left").join(total, "item")
-    # Words put in or left out change the alignment in the middle of an item: alignments add up.
-    summed = counted.groupBy("id", "item", "n_windows").agg(F.sum("n").alias("n_found"), F.max(F.coalesce("reworded", F.lit(False))).alias("reworded"))
-    coverage = F.least(F.lit(1.0), F.col("n_found") / F.col("n_windows"))
-    out = summed.withColumn("coverage", coverage).where(F.col("coverage") >= share)
-    return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", F.least("n_found", "n_windows").alias("n_found"), "coverage", "reworded")
+    good = met.join(clashes, ["id", "item", "shift"], "left_anti").join(changed, ["id", "item", "shift"], "left")
+    # Words put in or left out change the alignment in the middle of an item: alignments add up, each window of the item once.
+    summed = good.groupBy("id", "item").agg(F.countDistinct("at").alias("n_found"), F.max(F.coalesce("reworded", F.lit(False))).alias("reworded")).join(total, "item")
+    out = summed.withColumn("coverage", F.col("n_found") / F.col("n_windows")).where(F.col("coverage") >= share)
+    return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", "n_found", "coverage", "reworded")

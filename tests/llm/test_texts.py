@@ -175,6 +175,15 @@ def test_templates(spark):
     assert templates.contaminated(docs, items.where("false")).isEmpty()
 
 
+def test_a_repeated_line_is_one_window(spark):
+    item = "please read all of these terms with care because they bind every reader from the first day"
+    line = " ".join(item.split()[:8])
+    rows = [(1, " and then it said again ".join([line] * 9)), (2, item), (3, f"{item} or so {item}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = templates.contaminated(docs, spark.createDataFrame([(5, item)], "item_id long, text string"))
+    assert sorted((r["doc_id"], r["n_windows"], r["n_found"], r["coverage"]) for r in got.collect()) == [(2, 10, 10, 1.0), (3, 10, 10, 1.0)]
+
+
 def test_benchmark_passages_in_documents(spark, documents):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = {(d, r["item_id"]) for r in items.collect() for d, t in documents.collect() if r["text"] in t}
