@@ -10,18 +10,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import text_of
+from packetloom.llm.common import kept, text_key, text_of
 
 WINDOW_WORDS = 8
 LEVEL = 8
 ORDINARY_BYTES = 12 << 10
 TOXIC_BYTES = 16 << 10
 SAMPLE_ROWS = 8000
-SAMPLE_CHARS = 1 << 15
 ODDS = 20.0
 CLEAR = (2, 3, 5)
 
@@ -154,23 +154,19 @@ def _markers(texts: list[tuple[int, Counter]]) -> list[tuple[str, str]]:
     return [(w, w[len(whole[w][0]) :]) for w in ranked]
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """Dictionaries from words that mark either kind of text, then weights by logistic regression.
+def _words(text: str) -> Counter:
+    return Counter(filter(None, map(_bare, text.lower().split())))
 
-    Near copies count once: texts with equal smallest word hashes. The ordinary dictionary has the
-    commonest words; the toxic one has the same, followed by words much likelier in toxic texts, so
-    that lengths differ by what is toxic alone. Half of the texts make the dictionaries, the other
-    half the weights (all of them both if there are few).
-    """
-    seen, kept = set(), []
-    for text, label in zip(texts, labels):
-        words = Counter(filter(None, map(_bare, text.lower().split())))
+
+def _dictionaries(counted: list[Counter], labels: list[int]) -> tuple[Model, list[int]]:
+    """A model without weights, and the places of the texts that are to make the weights."""
+    seen, kept_ = set(), []
+    for place, (words, label) in enumerate(zip(counted, labels)):
         if (key := (_signature(set(words)), label)) not in seen:
             seen.add(key)
-            kept.append((text, int(label), words))
-    few = sum(label for _, label, _ in kept) < 200
-    dictionary = [(label, words) for i, (_, label, words) in enumerate(kept) if few or i % 2 == 0]
-    kept = [(text, label) for text, label, _ in kept]
+            kept_.append((place, int(label), words))
+    few = sum(label for _, label, _ in kept_) < 200
+    dictionary = [(label, words) for i, (_, label, words) in enumerate(kept_) if few or i % 2 == 0]
     common = Counter(w for _, words in dictionary for w in words)
     marking = _markers(dictionary)
     taken = {w for w, _ in marking}
@@ -178,12 +174,16 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     shared = _joined(plain, ORDINARY_BYTES)
     ends = list(dict.fromkeys(end for _, end in marking if end))
     model = Model(shared + _joined(ends, TOXIC_BYTES), shared + _joined([w for w, _ in marking], TOXIC_BYTES))
-    rest = [(t, y) for i, (t, y) in enumerate(kept) if few or i % 2]
-    if not rest or len({y for _, y in rest}) < 2:
+    return model, [place for i, (place, _, _) in enumerate(kept_) if few or i % 2]
+
+
+def _weighted(model: Model, features: np.ndarray, kinds: list[int], labels: list[int]) -> Model:
+    """``model`` with weights by logistic regression, or those of the shares of ``labels`` if only one kind is there."""
+    if len(set(kinds)) < 2:
         model.weights = [math.log((sum(labels) + 0.5) / (len(labels) - sum(labels) + 1))] + [0.0] * (4 + len(CLEAR))
         return model
-    x = np.c_[np.ones(len(rest)), model.features([t for t, _ in rest])]
-    y = np.array([y for _, y in rest], float)
+    x = np.c_[np.ones(len(kinds)), features]
+    y = np.array(kinds, float)
     w = np.zeros(x.shape[1])
     ridge = np.diag([1e-3] + [0.05] * (len(w) - 1))
     for _ in range(30):
@@ -193,17 +193,52 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return model
 
 
+def fit(texts: list[str], labels: list[int]) -> Model:
+    """Dictionaries from words that mark either kind of text, then weights by logistic regression.
+
+    Near copies count once: texts with equal smallest word hashes. The ordinary dictionary has the
+    commonest words; the toxic one has the same, followed by words much likelier in toxic texts, so
+    that lengths differ by what is toxic alone. Half of the texts make the dictionaries, the other
+    half the weights (all of them both if there are few).
+    """
+    model, rest = _dictionaries([_words(t) for t in texts], labels)
+    return _weighted(model, model.features([texts[i] for i in rest]), [int(labels[i]) for i in rest], labels)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
+            words = _words(text.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([list(words)], pa.list_(pa.string())), pa.array([list(words.values())], pa.list_(pa.int64()))], names=["row", "words", "times"])
+
+
+def _featured(batches: Iterator[pa.RecordBatch], model: Model, rows: set[int]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
+            if row in rows:
+                yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array(model.features([text.as_py()]).tolist(), pa.list_(pa.float64()))], names=["row", "x"])
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """Fit on up to ``rows`` labelled texts whose crc32(id) mod 5 is not 0.
+    """As ``fit`` on up to ``rows`` labelled texts whose crc32(id) mod 5 is not 0.
 
-    The sample is chosen by a hash of the id, so that kinds keep their shares; of each sampled text up to 32 768 characters are used.
+    The sample is chosen by a hash of the id, so that kinds keep their shares. Words are counted and
+    features made of whole texts, in tasks; the driver gets the counts and the features.
     """
+    spark = docs.sparkSession
     fold = F.pmod(F.crc32(F.encode(F.col("__id").cast("string"), "utf-8")), F.lit(5))
     known = labels.select(F.col(doc_id).alias("__id"), F.col("toxic").alias("__toxic")).where("__id is not null and __toxic in (0, 1)").where(fold != 0).distinct()
     wanted = known.orderBy(F.xxhash64("__id"), "__id", "__toxic").limit(rows)
-    found = docs.select(F.col(doc_id), F.substring(text_of(text), 1, SAMPLE_CHARS).alias("__text")).join(wanted, F.col(doc_id) == F.col("__id")).select("__id", "__text", "__toxic").collect()
-    found.sort(key=lambda r: (hashlib.md5(str(r[0]).encode()).digest(), r[1], r[2]))
-    return fit([r[1] for r in found], [r[2] for r in found])
+    found = docs.select(F.col(doc_id), text_of(text).alias("__text")).join(wanted, F.col(doc_id) == F.col("__id"))
+    sample = kept(found.select(F.monotonically_increasing_id().alias("row"), "__id", text_key("__text").alias("key"), "__toxic", F.col("__text").alias("text")), "labelled")
+    order = sorted(sample.select("row", "__id", "key", "__toxic").collect(), key=lambda r: (hashlib.md5(str(r[1]).encode()).digest(), bytes(r[2]), r[3]))
+    kinds, whole = [int(r[3]) for r in order], sample.select("row", "text")
+    counts = {r.row: Counter(dict(zip(r.words, r.times))) for r in kept(whole.mapInArrow(_counted, "row long, words array<string>, times array<long>"), "word_counts").collect()}
+    model, rest = _dictionaries([counts[r[0]] for r in order], kinds)
+    sent = spark.sparkContext.broadcast((model, {order[i][0] for i in rest}))
+    made = kept(whole.mapInArrow(lambda it: _featured(it, *sent.value), "row long, x array<double>"), "features")
+    features = {r.row: r.x for r in made.collect()}
+    return _weighted(model, np.array([features[order[i][0]] for i in rest]), [kinds[i] for i in rest], kinds)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

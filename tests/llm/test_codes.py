@@ -175,6 +175,16 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.score(odd, toxicity.train(docs.where("false"), labels)).where("predicted = 1").isEmpty()
 
 
+def test_toxic_parts_late_in_training_texts(spark):
+    rnd = np.random.default_rng(3)
+    filler = lambda: " ".join(f"{x:x}" for x in rnd.integers(1 << 28, 1 << 30, 4500))
+    rows = [(i, f"{filler()} {'vilewordone ' * 20 if i % 2 else 'mildwordone ' * 20}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    assert b"vilewordone" in model.toxic
+    assert toxicity.train(docs.where("false"), spark.createDataFrame([], "doc_id long, toxic int")).weights[1:] == [0.0] * 7
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, before = docs.columns, docs
