@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.names import clean_label, folded_order
+from packetloom.operators.ranking import numbered
 from packetloom.operators.stored import attach, stored
 
 
@@ -48,7 +49,7 @@ def label_mapping(df: DataFrame, label: str = "labels") -> DataFrame:
     """``label, label_id``: contiguous ids from 0.
 
     Numbers are ordered by value. Text is cleaned first, which may merge labels, and ordered
-    without regard to case. Numbering runs over the distinct labels only.
+    without regard to case. Numbering runs over the distinct labels only, in ranges of their order.
     """
     values = df.select(label).where(F.col(label).isNotNull()).distinct()
     if dict(values.dtypes)[label] == "string":
@@ -57,8 +58,8 @@ def label_mapping(df: DataFrame, label: str = "labels") -> DataFrame:
     else:
         values = values.withColumnRenamed(label, "label")
         order = [F.col("label").asc()]
-    number = F.row_number().over(Window.partitionBy().orderBy(*order)) - 1
-    return values.select("label", number.cast("int").alias("label_id"))
+    numbers = numbered(stored(values, "labels"), order, "label_id", start=0)
+    return numbers.select("label", F.col("label_id").cast("int"))
 
 
 def with_label_id(df: DataFrame, mapping: DataFrame, label: str = "labels") -> DataFrame:
@@ -72,9 +73,9 @@ def with_label_id(df: DataFrame, mapping: DataFrame, label: str = "labels") -> D
 
 def dense_labels(df: DataFrame, label: str = "labels") -> DataFrame:
     """Replace labels by their rank among the distinct labels, from 0."""
-    values = df.select(label).distinct()
-    rank = F.dense_rank().over(Window.partitionBy().orderBy(label)) - 1
-    numbers = stored(values.select(label, rank.cast("int").alias("_new")), "dense-labels")
+    values = stored(df.select(label).distinct(), "labels")
+    ranks = numbered(values, [F.col(label).asc()], "_new", start=0)
+    numbers = stored(ranks.select(label, F.col("_new").cast("int")), "dense-labels")
     columns = [F.col("_new").alias(c) if c == label else F.col(c) for c in df.columns]
     return attach(df, numbers, [label]).select(*columns)
 
@@ -101,8 +102,8 @@ def encode_classes(df: DataFrame, column: str, include_nulls: bool = False) -> t
     text = F.coalesce(text, F.lit("None")) if include_nulls else text
     coded = df.withColumn("_text", text)
     values = coded.select(F.col("_text").alias("label")).where(F.col("label").isNotNull()).distinct()
-    number = F.row_number().over(Window.partitionBy().orderBy("label")) - 1
-    mapping = stored(values.select("label", number.cast("int").alias("label_id")), "classes")
+    numbers = numbered(stored(values, "labels"), [F.col("label").asc()], "label_id", start=0)
+    mapping = stored(numbers.select("label", F.col("label_id").cast("int")), "classes")
     joined = attach(coded, mapping.withColumnRenamed("label", "_text"), ["_text"], "left", null_keys=False)
     columns = [F.col("label_id").alias(c) if c == column else F.col(c) for c in df.columns]
     return joined.select(*columns), mapping

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.functions.names import clean_stem, directory_label, file_stem, folded_order, relative_directory
+from packetloom.operators.ranking import numbered
 from packetloom.operators.stored import attach, stored
 
 
@@ -48,6 +49,6 @@ def labelled_files(listing: DataFrame) -> DataFrame:
 def directory_ids(listing: DataFrame) -> DataFrame:
     """``label, label_id``: directories numbered from 0 in case-insensitive order, names as they are."""
     names = listing.select(directory_label(F.col("path")).alias("label")).distinct()
-    number = F.row_number().over(Window.partitionBy().orderBy(*folded_order("label"))) - 1
-    return names.select("label", number.cast("int").alias("label_id"))
+    numbers = numbered(stored(names, "labels"), folded_order("label"), "label_id", start=0)
+    return numbers.select("label", F.col("label_id").cast("int"))
 
