@@ -106,3 +106,19 @@ def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from packetloom.llm.passages import shared_passages
 
     return shared_passages(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_exact_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+    SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+    FROM d
+    """,
+)
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packetloom.llm.exact_dedup import exact_groups
+
+    groups = exact_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
