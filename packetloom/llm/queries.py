@@ -122,3 +122,57 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     groups = exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op12_target_resampling")
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packetloom.llm.target_resampling import importance_sample
+
+    drawn = importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query(
+    "op11_source_divergence",
+    r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+        FROM documents
+    ),
+    w AS (SELECT i, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY ALL HAVING count(DISTINCT i) >= 3),
+    c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+    l AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY ALL),
+    g AS (
+        SELECT s.lang, s.source, coalesce(l.v, 0)::HUGEINT AS v, coalesce(l.n, 0)::HUGEINT AS lang_n, coalesce(x.n, 0)::HUGEINT AS n
+        FROM (SELECT DISTINCT lang, source FROM d) s LEFT JOIN l USING (lang)
+        LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) x USING (lang, source)
+    ),
+    p AS (
+        SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+            1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n + g.v) AS p,
+            1 + (1000000000::HUGEINT * (k.total + 1)) // (g.lang_n + g.v) AS q
+        FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+    ),
+    pairs AS (
+        SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+    ),
+    both_parts AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0)::BIGINT AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+        UNION ALL
+        SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM p WHERE n > 0 AND p > q
+    ),
+    r AS (
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM both_parts
+    )
+    SELECT * FROM r WHERE part = 'pair' OR rank <= 200
+    """,
+)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packetloom.llm.source_audit import divergence_audit
+
+    return divergence_audit(table(spark, sf_dir, "documents"))
