@@ -4,11 +4,14 @@ Two texts are equal when they are identical after every run of white space becam
 texts together: at each stage the whole text is part of the grouping key, so that texts which share a digest
 but differ never fall into one group, whatever the digest.
 
+0. Digests are counted first, without texts. A text whose digest occurs once has no equal, and stays where it is.
+   What keeps it there is a table of 2^20 buckets at most, those of the repeated digests, which is broadcast. Should it
+   fill up, more texts move and the result is the same.
 1. Every task combines the equal texts that it reads (the partial aggregation), so it sends one row for each,
    however many copies it has.
 2. What the tasks send meets by (digest, salt, text). The salt is the task's number modulo ``salts``: copies of one
    text go to as many reducers as there are salts.
-3. The winners of the salts meet by (digest, text), only for digests that have more than one of them.
+3. The winners of the salts meet by (digest, text).
 
 Rows then learn their group by digest, in a join without texts; only digests that stand for several texts (none,
 but for a digest of few bits) are joined by the text too. Groups with over 1/1024 of all rows are joined
@@ -27,6 +30,7 @@ from packetloom.llm.common import kept, text_of
 
 SALTS = 32
 HOT = 1024
+BUCKETS = 1 << 20
 
 
 def normalised(text: str | Column) -> Column:
@@ -54,32 +58,31 @@ def exact_groups(
     their names. An empty table gives no rows.
     """
     content = normalised(F.col(text))
-    rows = kept(docs.select(F.col(doc_id).alias("id"), digest(content).alias("digest")), "digests")
-
-    salted = docs.select(
-        F.col(doc_id).alias("id"),
-        content.alias("content"),
-        F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"),
-    ).withColumn("digest", digest(F.col("content")))
-    winners = kept(
-        salted.groupBy("digest", "salt", "content").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")),
-        "salt-winners",
-    )
-
-    several = kept(winners.groupBy("digest").agg(F.count(F.lit(1)).alias("w")).where("w > 1").select("digest"), "digests")
-    contested = winners.join(several, "digest", "left_semi").groupBy("digest", "content")
-    combined = kept(contested.agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n")), "winners")
+    salt = F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt")
+    rows = kept(docs.select(F.col(doc_id).alias("id"), digest(content).alias("digest"), salt), "digests")
+    repeated = rows.groupBy("digest", "salt").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.sum("n").alias("n"))
+    repeated = kept(repeated.where("n > 1").select("digest"), "repeated")
+
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(BUCKETS)).alias("bucket")
+    buckets = kept(repeated.select(bucket).distinct(), "repeated-buckets")
+    texts = docs.select(F.col(doc_id).alias("id"), content.alias("content"), salt).withColumn("digest", digest(F.col("content")))
+    texts = texts.withColumn("bucket", bucket).join(F.broadcast(buckets), "bucket", "left_semi")
+    winners = texts.groupBy("digest", "salt", "content").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    winners = kept(winners, "salt-winners").join(repeated, "digest", "left_semi")
+    combined = kept(winners.groupBy("digest", "content").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n")), "winners")
     texts = combined.groupBy("digest").agg(
         F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"), F.sum("n").alias("n")
     )
-    alone = winners.join(several, "digest", "left_anti").select("digest", "keep_id", "n")
-    groups = kept(alone.union(texts.where("texts = 1").select("digest", "keep_id", "n")), "groups")
-
-    total = rows.count()
-    hot = kept(groups.where(F.col("n") * HOT > total), "hot-groups")
-    found = rows.join(F.broadcast(hot), "digest").unionByName(
-        rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(groups.where(F.col("n") * HOT <= total), "digest")
-    )
+    one_text = F.when(F.col("texts") == 1, F.struct("keep_id", "n")).alias("group")
+    groups = kept(texts.select("digest", one_text, F.lit(True).alias("known"), F.col("n").alias("rows")), "groups")
+
+    is_hot = F.col("rows") * HOT > rows.count()
+    hot, rest = kept(groups.where(is_hot).drop("rows"), "hot-groups"), groups.where(~is_hot).drop("rows")
+    slim = rows.drop("salt")
+    even = slim.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(rest, "digest", "left")
+    found = slim.join(F.broadcast(hot), "digest").unionByName(even).where("known is null or group is not null")
+    alone = F.struct(F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
+    found = found.withColumn("group", F.coalesce("group", alone)).select("digest", "id", "group.keep_id", "group.n")
     clashing = kept(texts.where("texts > 1").select("digest"), "clashing")
     if not clashing.isEmpty():
         # Different texts with one digest: the text itself decides.
