@@ -24,6 +24,10 @@ TOXIC_BYTES = 16 << 10
 SAMPLE_ROWS = 8000
 ODDS = 20.0
 CLEAR = (2, 3, 5)
+FEATURES = len(CLEAR) + 4
+# Of the words that mark toxic texts, and of common words, so many at most are looked at; the dictionaries hold fewer.
+MARKERS = TOXIC_BYTES
+COMMON = 4 * ORDINARY_BYTES
 
 
 def windows(text: str) -> list[bytes]:
@@ -66,18 +70,18 @@ class Model:
         return lengths[0] - lengths[1]
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Per text: the largest gain, how many windows gain so much or more (logarithms) and a share
-        of them, and the gain of all windows over their number and over its root."""
-        out = np.zeros((len(texts), 4 + len(CLEAR)))
+        """Per text: how many windows gain so much or more (logarithms) and the share of those that gain a good
+        deal, the number of windows, the largest gain, and the gain of all windows over the root of their number."""
+        out = np.zeros((len(texts), FEATURES))
         begin, group, parts = 0, [], []
 
         def flush() -> None:
             gain, at = self.gains(parts), np.cumsum([0, *group])
             for k, (a, b) in enumerate(zip(at[:-1], at[1:])):
                 own = gain[a:b]
-                clear = [math.log1p((own >= g).sum()) for g in CLEAR]
-                n = max(len(own), 1)
-                out[begin + k] = (min(int(own.max(initial=0)), 12), *clear, (own >= CLEAR[1]).sum() / n, min(own.sum() / n, 2), min(own.sum() / math.sqrt(n), 12))
+                n, clear = max(len(own), 1), [(own >= g).sum() for g in CLEAR]
+                rest = math.log1p(n), math.log1p(100 * clear[1] / n), min(int(own.max(initial=0)), 12), min(own.sum() / math.sqrt(n), 12)
+                out[begin + k] = (*np.log1p(clear), *rest)
 
         for i, text in enumerate(texts):
             own = windows(text)
@@ -95,8 +99,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -30, 30)))
 
 
-def _signature(words: set[str]) -> tuple:
-    return tuple(sorted(hashlib.md5(w.encode()).digest()[:8] for w in words)[:4])
+def _signature(words: set[str]) -> bytes:
+    return b"".join(sorted(hashlib.md5(w.encode()).digest()[:8] for w in words)[:4])
 
 
 def _joined(words: list[str], limit: int) -> bytes:
@@ -115,81 +119,97 @@ def _heads(word: str) -> list[str]:
     return [word[:k] for k in range(4, min(len(word), 9))] + [word]
 
 
-def _markers(texts: list[tuple[int, Counter]]) -> list[tuple[str, str]]:
-    """Words that are, or begin with, what is much commoner in toxic texts, and their ends beyond that; the strongest first.
+def _strong(toxic: dict[str, int], kept_in: dict[str, int], other: dict[str, int], size: list[int], texts: int) -> dict[str, int]:
+    """Word beginnings much commoner in toxic texts, and their occurrences there.
 
-    Rates are of occurrences, so that a word part which both kinds have but one kind repeats counts.
+    Rates are of occurrences, so that a word part which both kinds have but one kind repeats counts. Of a
+    beginning and a longer one that makes up most of it the longer stays, else the shorter.
     """
-    size = [1 + sum(sum(words.values()) for label, words in texts if label == kind) for kind in (0, 1)]
-    toxic, held, other = Counter(), Counter(), Counter()
-    for label, words in texts:
-        if label:
-            heads = Counter()
-            for w, n in words.items():
-                for h in _heads(w):
-                    heads[h] += n
-            toxic.update(heads)
-            held.update(heads.keys())
-    least = max(3, 0.004 * sum(label for label, _ in texts))
-    toxic = {h: n for h, n in toxic.items() if held[h] >= least}
-    for label, words in texts:
-        if not label:
-            for w, n in words.items():
-                for h in _heads(w):
-                    if h in toxic:
-                        other[h] += n
-    chosen = {h for h, n in toxic.items() if (n - math.sqrt(n)) * size[0] >= ODDS * (other[h] + 1) * size[1]}
-    kept: dict[str, int] = {}
+    least = max(3, 0.004 * texts)
+    chosen = {h for h, n in toxic.items() if kept_in[h] >= least and _likelier(n, other.get(h, 0), size)}
+    strong: dict[str, int] = {}
     for h in sorted(chosen, key=lambda h: (-len(h), h)):
-        longer = [q for q in kept if q.startswith(h)]
-        if not any(kept[q] >= 0.7 * toxic[h] for q in longer):
-            kept = {q: n for q, n in kept.items() if not q.startswith(h)} | {h: toxic[h]}
-    whole: dict[str, list] = {}
-    for label, words in texts:
-        if label:
-            for w, n in words.items():
-                if head := next((h for h in reversed(_heads(w)) if h in kept), None):
-                    whole.setdefault(w, [head, 0])[1] += n
-    ranked = sorted(whole, key=lambda w: (whole[w][1] * len(w), w), reverse=True)
-    return [(w, w[len(whole[w][0]) :]) for w in ranked]
+        longer = [q for q in strong if q.startswith(h)]
+        if not any(strong[q] >= 0.7 * toxic[h] for q in longer):
+            strong = {q: n for q, n in strong.items() if not q.startswith(h)} | {h: toxic[h]}
+    return strong
+
+
+def _likelier(n: int, other: int, size: list[int]) -> bool:
+    return (n - math.sqrt(n)) * size[0] >= ODDS * (other + 1) * size[1]
+
+
+def _ranked(words: list[tuple[str, int]], strong: dict[str, int]) -> list[tuple[str, str]]:
+    """Words of toxic texts that have a strong beginning, the strongest first, and their ends beyond it."""
+    found = []
+    for w, n in words:
+        if head := next((h for h in reversed(_heads(w)) if h in strong), None):
+            found.append((n * len(w), w, w[len(head) :]))
+    return [(w, end) for _, w, end in sorted(found, reverse=True)[:MARKERS]]
+
+
+def _contents(marking: list[tuple[str, str]], common: list[str]) -> Model:
+    """A model without weights, from words that mark toxic texts and from common words, the commonest first."""
+    taken = {w for w, _ in marking}
+    shared = _joined([w for w in common if taken.isdisjoint(_heads(w))], ORDINARY_BYTES)
+    ends = list(dict.fromkeys(end for _, end in marking if end))
+    return Model(shared + _joined(ends, TOXIC_BYTES), shared + _joined([w for w, _ in marking], TOXIC_BYTES))
 
 
 def _words(text: str) -> Counter:
     return Counter(filter(None, map(_bare, text.lower().split())))
 
 
+def _heads_of(words: Counter) -> Counter:
+    heads = Counter()
+    for w, n in words.items():
+        for h in _heads(w):
+            heads[h] += n
+    return heads
+
+
+def _halves(signed: list[tuple[bytes, int]]) -> tuple[list[int], list[int]]:
+    """Places of the texts that make the dictionaries, and of those that make the weights.
+
+    Near copies, with equal smallest word hashes and label, count once. Few toxic texts serve for both.
+    """
+    first = list({pair: place for place, pair in reversed(list(enumerate(signed)))}.values())[::-1]
+    if sum(signed[i][1] for i in first) < 200:
+        return first, first
+    return first[::2], first[1::2]
+
+
 def _dictionaries(counted: list[Counter], labels: list[int]) -> tuple[Model, list[int]]:
     """A model without weights, and the places of the texts that are to make the weights."""
-    seen, kept_ = set(), []
-    for place, (words, label) in enumerate(zip(counted, labels)):
-        if (key := (_signature(set(words)), label)) not in seen:
-            seen.add(key)
-            kept_.append((place, int(label), words))
-    few = sum(label for _, label, _ in kept_) < 200
-    dictionary = [(label, words) for i, (_, label, words) in enumerate(kept_) if few or i % 2 == 0]
-    common = Counter(w for _, words in dictionary for w in words)
-    marking = _markers(dictionary)
-    taken = {w for w, _ in marking}
-    plain = [w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0])) if taken.isdisjoint(_heads(w))]
-    shared = _joined(plain, ORDINARY_BYTES)
-    ends = list(dict.fromkeys(end for _, end in marking if end))
-    model = Model(shared + _joined(ends, TOXIC_BYTES), shared + _joined([w for w, _ in marking], TOXIC_BYTES))
-    return model, [place for i, (place, _, _) in enumerate(kept_) if few or i % 2]
+    ours, rest = _halves([(_signature(set(words)), int(label)) for words, label in zip(counted, labels)])
+    size = [1 + sum(counted[i].total() for i in ours if labels[i] == kind) for kind in (0, 1)]
+    heads, kept_in, words, texts = (Counter(), Counter()), Counter(), Counter(), Counter()
+    for i in ours:
+        own = _heads_of(counted[i])
+        heads[int(labels[i])].update(own)
+        texts.update(counted[i].keys())
+        if labels[i]:
+            kept_in.update(own.keys())
+            words.update(counted[i])
+    strong = _strong(heads[1], kept_in, heads[0], size, sum(int(labels[i]) for i in ours))
+    common = sorted(texts, key=lambda w: (-texts[w], w))[:COMMON]
+    return _contents(_ranked(list(words.items()), strong), common), rest
 
 
 def _weighted(model: Model, features: np.ndarray, kinds: list[int], labels: list[int]) -> Model:
     """``model`` with weights by logistic regression, or those of the shares of ``labels`` if only one kind is there."""
     if len(set(kinds)) < 2:
-        model.weights = [math.log((sum(labels) + 0.5) / (len(labels) - sum(labels) + 1))] + [0.0] * (4 + len(CLEAR))
+        model.weights = [math.log((sum(labels) + 0.5) / (len(labels) - sum(labels) + 1))] + [0.0] * FEATURES
         return model
-    x = np.c_[np.ones(len(kinds)), features]
+    middle, spread = features.mean(axis=0), features.std(axis=0) + 1e-9
+    x = np.c_[np.ones(len(kinds)), (features - middle) / spread]
     y = np.array(kinds, float)
     w = np.zeros(x.shape[1])
     ridge = np.diag([1e-3] + [0.05] * (len(w) - 1))
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ w)
-    model.weights = w.tolist()
+    model.weights = [float(w[0] - (w[1:] * middle / spread).sum()), *(w[1:] / spread).tolist()]
     return model
 
 
@@ -205,40 +225,77 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return _weighted(model, model.features([texts[i] for i in rest]), [int(labels[i]) for i in rest], labels)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        signatures = [_signature(set(_words(t.as_py()))) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(signatures, pa.binary())], ["row", "signature"])
+
+
+def _parted(batches: Iterator[pa.RecordBatch], rows: set[int]) -> Iterator[pa.RecordBatch]:
+    """Words, and beginnings of words, of each text of ``rows``, with their occurrences."""
     for batch in batches:
-        for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
+        for row, label, text in zip(batch.column("row").to_pylist(), batch.column("label").to_pylist(), batch.column("text")):
+            if row not in rows:
+                continue
             words = _words(text.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([list(words)], pa.list_(pa.string())), pa.array([list(words.values())], pa.list_(pa.int64()))], names=["row", "words", "times"])
+            for is_head, parts in ((False, words), (True, _heads_of(words))):
+                n = len(parts)
+                columns = [pa.array([label] * n, pa.int32()), pa.array([is_head] * n, pa.bool_()), pa.array(list(parts), pa.string()), pa.array(list(parts.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["label", "is_head", "part", "n"])
 
 
 def _featured(batches: Iterator[pa.RecordBatch], model: Model, rows: set[int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
-            if row in rows:
-                yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array(model.features([text.as_py()]).tolist(), pa.list_(pa.float64()))], names=["row", "x"])
+        found = [(row, text.as_py()) for row, text in zip(batch.column("row").to_pylist(), batch.column("text")) if row in rows]
+        features = model.features([text for _, text in found]).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array([row for row, _ in found], pa.int64()), pa.array(features, pa.list_(pa.float64()))], ["row", "x"])
+
+
+def _spark_dictionaries(sample: DataFrame, rows: set[int]) -> Model:
+    """What :func:`_dictionaries` makes of the texts of ``rows``, counted by Spark; the driver gets what was chosen."""
+    spark = sample.sparkSession
+    parts = sample.select("row", "label", "text").mapInArrow(lambda it: _parted(it, rows), "label int, is_head boolean, part string, n long")
+    parts = kept(parts.groupBy("label", "is_head", "part").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")), "word-parts")
+    words = parts.where("not is_head")
+    sums = {r["label"]: r["n"] for r in words.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    size = [1 + sums.get(kind, 0) for kind in (0, 1)]
+    n_toxic = sum(r["row"] in rows for r in sample.where("label = 1").select("row").collect())
+    toxic = parts.where("is_head and label = 1").select("part", "n", "texts").where(F.col("texts") >= max(3, 0.004 * n_toxic))
+    other = parts.where("is_head and label = 0").select("part", F.col("n").alias("other"))
+    both = toxic.join(other, "part", "left").na.fill(0, ["other"])
+    # The same test as _likelier: only beginnings that pass it reach the driver.
+    both = both.where((F.col("n") - F.sqrt("n")) * size[0] >= F.lit(ODDS) * (F.col("other") + 1) * size[1]).collect()
+    strong = _strong({r["part"]: r["n"] for r in both}, {r["part"]: r["texts"] for r in both}, {r["part"]: r["other"] for r in both}, size, n_toxic)
+    marked: list[tuple[str, int]] = []
+    if strong:
+        heads = spark.createDataFrame([(h,) for h in strong], "head string")
+        begins = F.explode(F.array_distinct(F.array(*[F.substring("part", 1, k) for k in range(4, 9)], F.col("part"))))
+        found = words.where("label = 1").select("part", "n", begins.alias("head")).join(heads, "head", "left_semi").select("part", "n").distinct()
+        marked = [(r["part"], r["n"]) for r in found.orderBy((F.col("n") * F.length("part")).desc(), F.col("part").desc()).limit(MARKERS).collect()]
+    common = words.groupBy("part").agg(F.sum("texts").alias("texts")).orderBy(F.col("texts").desc(), F.col("part").asc()).limit(COMMON)
+    return _contents(_ranked(marked, strong), [r["part"] for r in common.collect()])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> Model:
     """As ``fit`` on up to ``rows`` labelled texts whose crc32(id) mod 5 is not 0.
 
-    The sample is chosen by a hash of the id, so that kinds keep their shares. Words are counted and
-    features made of whole texts, in tasks; the driver gets the counts and the features.
+    The sample is chosen by a hash of the id, so that kinds keep their shares. Texts are read whole, in tasks, and
+    their words are counted by Spark. The driver gets a signature and a few features of each row of the sample, and of the
+    words those that the dictionaries may hold, numbers that the parameters bound whatever the texts' length.
     """
-    spark = docs.sparkSession
     fold = F.pmod(F.crc32(F.encode(F.col("__id").cast("string"), "utf-8")), F.lit(5))
     known = labels.select(F.col(doc_id).alias("__id"), F.col("toxic").alias("__toxic")).where("__id is not null and __toxic in (0, 1)").where(fold != 0).distinct()
     wanted = known.orderBy(F.xxhash64("__id"), "__id", "__toxic").limit(rows)
     found = docs.select(F.col(doc_id), text_of(text).alias("__text")).join(wanted, F.col(doc_id) == F.col("__id"))
-    sample = kept(found.select(F.monotonically_increasing_id().alias("row"), "__id", text_key("__text").alias("key"), "__toxic", F.col("__text").alias("text")), "labelled")
-    order = sorted(sample.select("row", "__id", "key", "__toxic").collect(), key=lambda r: (hashlib.md5(str(r[1]).encode()).digest(), bytes(r[2]), r[3]))
-    kinds, whole = [int(r[3]) for r in order], sample.select("row", "text")
-    counts = {r.row: Counter(dict(zip(r.words, r.times))) for r in kept(whole.mapInArrow(_counted, "row long, words array<string>, times array<long>"), "word_counts").collect()}
-    model, rest = _dictionaries([counts[r[0]] for r in order], kinds)
-    sent = spark.sparkContext.broadcast((model, {order[i][0] for i in rest}))
-    made = kept(whole.mapInArrow(lambda it: _featured(it, *sent.value), "row long, x array<double>"), "features")
-    features = {r.row: r.x for r in made.collect()}
-    return _weighted(model, np.array([features[order[i][0]] for i in rest]), [kinds[i] for i in rest], kinds)
+    sample = kept(found.select(F.monotonically_increasing_id().alias("row"), "__id", text_key("__text").alias("key"), F.col("__toxic").cast("int").alias("label"), F.col("__text").alias("text")), "labelled")
+    signed = {r["row"]: bytes(r["signature"]) for r in sample.select("row", "text").mapInArrow(_signed, "row long, signature binary").collect()}
+    order = sorted(sample.select("row", "__id", "key", "label").collect(), key=lambda r: (hashlib.md5(str(r[1]).encode()).digest(), bytes(r[2]), r[3]))
+    ours, rest = _halves([(signed[r["row"]], r["label"]) for r in order])
+    model = _spark_dictionaries(sample, {order[i]["row"] for i in ours})
+    chosen = {order[i]["row"] for i in rest}
+    made = sample.select("row", "text").mapInArrow(lambda it: _featured(it, model, chosen), "row long, x array<double>")
+    features = {r["row"]: r["x"] for r in made.collect()}
+    return _weighted(model, np.array([features[order[i]["row"]] for i in rest]).reshape(-1, FEATURES), [order[i]["label"] for i in rest], [r["label"] for r in order])
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -247,11 +304,10 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     Scores depend on the text alone; null and empty texts score as texts without windows. Rows may
     repeat and hold nulls (a null id is not held out); columns named like the new ones are replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(sent.value.scores(texts.tolist()))
+            yield pd.Series(model.scores(texts.tolist()))
 
     udf = F.pandas_udf(scored, "double", F.PandasUDFType.SCALAR_ITER)
     fold = F.pmod(F.crc32(F.encode(F.col(doc_id).cast("string"), "utf-8")), F.lit(5))

@@ -185,6 +185,29 @@ def test_toxic_parts_late_in_training_texts(spark):
     assert toxicity.train(docs.where("false"), spark.createDataFrame([], "doc_id long, toxic int")).weights[1:] == [0.0] * 7
 
 
+def test_dictionaries_counted_by_spark(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.select("doc_id", "text").join(labels, "doc_id").select("doc_id", "text", "toxic").collect()
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    rows.sort(key=lambda r: hashlib.md5(str(r[0]).encode()).digest())
+    ours, again = toxicity.train(docs, labels), toxicity.fit([r[1] for r in rows], [r[2] for r in rows])
+    assert (ours.toxic, ours.ordinary) == (again.toxic, again.ordinary)
+    assert ours.weights == pytest.approx(again.weights)
+
+
+def test_toxicity_by_language(spark):
+    """Held-out rows of the 0.1 tables: what is found and what is flagged wrongly, over all languages."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = toxicity.score(docs, toxicity.train(docs, labels)).where("held_out").join(labels, "doc_id")
+    rows = held.select("lang", "toxic", "predicted").collect()
+    found, wrong = ([r.predicted for r in rows if r.toxic == kind] for kind in (1, 0))
+    per_lang = {(r.lang, r.toxic): [] for r in rows}
+    for r in rows:
+        per_lang[r.lang, r.toxic].append(r.predicted)
+    print({k: (len(v), round(sum(v) / len(v), 3)) for k, v in sorted(per_lang.items())})
+    assert sum(found) / len(found) > 0.65 and sum(wrong) / len(wrong) < 0.03
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, before = docs.columns, docs
