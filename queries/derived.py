@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.functions.arrays import bind
+from packetloom.operators.stored import new_path
+from packetloom.sources.captures import write_files
 from queries.registry import table
 
 MTU = 1400
@@ -133,6 +135,28 @@ def document_captures(docs: DataFrame) -> DataFrame:
     return docs.select(path.alias("path"), F.unhex(F.concat(header, records)).alias("content"))
 
 
+def capture_set(docs: DataFrame) -> DataFrame:
+    """The captures of :func:`document_captures` put together: ``path, content``, a file per language, range of
+    4096 ids, and byte order, so of 2048 documents at most."""
+    parts = document_captures(docs.select("doc_id", "lang", "text")).select(
+        F.regexp_extract("path", r"([^/]*)/\d+\.pcap$", 1).alias("lang"),
+        F.regexp_extract("path", r"(\d+)\.pcap$", 1).cast("long").alias("doc_id"),
+        F.hex("content").alias("digits"),
+    )
+    name = F.concat("lang", F.lit("/"), F.expr("doc_id div 4096"), F.lit("-"), F.col("doc_id") % 2, F.lit(".pcap"))
+    files = parts.groupBy(name.alias("path")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "digits"))).alias("parts"))
+    records = F.array_join(F.transform("parts", lambda p: F.substring(p["digits"], 49, 1 << 30)), "")
+    header = F.substring(F.col("parts")[0]["digits"], 1, 48)
+    return files.select("path", F.unhex(F.concat(header, records)).alias("content"))
+
+
+def written_captures(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of the shared one with the files of :func:`capture_set`."""
+    root = new_path(spark, "captures")
+    write_files(capture_set(table(spark, sf_dir, "documents")), root)
+    return root
+
+
 DOCUMENT_PACKETS_SQL = f"""
     d0 AS (SELECT doc_id, lang, lower(hex(encode(text))) AS hx, octet_length(encode(text)) AS n FROM documents),
     d1 AS (SELECT *, unnest(range(greatest(ceil(n / {MTU}.0)::BIGINT, 1))) AS i FROM d0),

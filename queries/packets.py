@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from packetloom.functions.octets import hex_text
 from packetloom.operators import flows, packets, search
 from packetloom.plans.capture_features import numbered_fields
-from packetloom.sources.captures import parse_captures
-from queries.derived import DOCUMENT_PACKETS_SQL, document_captures, event_frames, event_sql
+from packetloom.sources.captures import parse_captures, read_captures
+from queries.derived import DOCUMENT_PACKETS_SQL, document_captures, event_frames, event_sql, written_captures
 from queries.registry import query, table
 
 ZERO4, ZERO8 = "'0000'", "'00000000'"
@@ -20,13 +20,15 @@ def dissected(spark, sf_dir):
 
 @query(
     "a1_capture_packets",
-    f"WITH {DOCUMENT_PACKETS_SQL} SELECT lang AS label, '/captures/' || lang || '/' || doc_id || '.pcap' AS file_path, i + 1 AS frame_no, "
-    "(1700000000 + doc_id) * 1000000 + i AS ts, (size + 54)::BIGINT AS cap_len, (size + 54)::BIGINT AS wire_len, 1::INT AS link_type, "
+    f"WITH {DOCUMENT_PACKETS_SQL} SELECT lang AS label, lang || '/' || (doc_id // 4096) || '-' || (doc_id % 2) || '.pcap' AS file_path, "
+    "row_number() OVER (PARTITION BY lang, doc_id // 4096, doc_id % 2 ORDER BY doc_id, i) AS frame_no, (1700000000 + doc_id) * 1000000 + i AS ts, (size + 54)::BIGINT AS cap_len, (size + 54)::BIGINT AS wire_len, 1::INT AS link_type, "
     "false AS truncated, 'aabbccddee01aabbccddee020800' || ip_head || '0a00' || printf('%04x', (doc_id % 65536)::INT) || 'c0a80001c00001bb' || tcp_tail AS packet FROM d",
 )
 def a1(spark, sf_dir):
-    files = document_captures(table(spark, sf_dir, "documents"))
-    return parse_captures(files).withColumns({"ts": F.unix_micros("ts"), "packet": hex_text("packet")})
+    # Files of over 256 kB are read by ranges of that size, the others whole.
+    packets_ = read_captures(spark, written_captures(spark, sf_dir), large=1 << 18, target=1 << 18)
+    path = F.regexp_extract("file_path", r"([^/]+/[^/]+)$", 1)
+    return packets_.withColumns({"file_path": path, "ts": F.unix_micros("ts"), "packet": hex_text("packet")})
 
 
 @query(

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from packetloom.functions.octets import hex_text
-from packetloom.operators.packets import feature_rows
 from packetloom.operators.stored import new_path
-from packetloom.sources.captures import parse_captures
 from packetloom.streaming.closing import append_marker
 from packetloom.streaming.counts import latest_state, publish_states, running_counts, sliced_counts
 from packetloom.streaming.flows import live_flows
-from packetloom.streaming.ingest import append_parquet
-from queries.derived import DOCUMENT_PACKETS_SQL, document_captures
+from packetloom.streaming.ingest import append_parquet, ingest_captures
+from queries.derived import DOCUMENT_PACKETS_SQL, written_captures
 from queries.registry import query, table
 
 
@@ -21,13 +19,6 @@ def stream(spark, sf_dir, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def drained(spark, df, name, schema=None):
-    """Append a stream to a table in the shared folder and read that."""
-    target = new_path(spark, name)
-    append_parquet(df, target, new_path(spark, f"{name}-progress")).awaitTermination()
-    return spark.read.schema(schema or df.schema).parquet(target)
-
-
 def closed(spark, rows, make, name, ts, seconds, **values):
     """What a stream emits from ``rows`` and then, begun again at its checkpoint, from a closing marker."""
     source, target, progress = new_path(spark, f"{name}-source"), new_path(spark, name), new_path(spark, f"{name}-progress")
@@ -46,8 +37,10 @@ def closed(spark, rows, make, name, ts, seconds, **values):
     "least(size + 40, 1024)::BIGINT AS feature_len, lang AS labels FROM d",
 )
 def s1(spark, sf_dir):
-    files = document_captures(stream(spark, sf_dir, "documents"))
-    return drained(spark, feature_rows(parse_captures(files)), "features").withColumn("x", hex_text("x"))
+    target = new_path(spark, "features")
+    query_ = ingest_captures(spark, written_captures(spark, sf_dir), target, new_path(spark, "features-progress"), large=1 << 18)
+    query_.awaitTermination()
+    return spark.read.parquet(target).withColumn("x", hex_text("x"))
 
 
 @query("s2_running_label_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
