@@ -19,8 +19,9 @@ MIN_PACKETS = 4
 # Seconds per ranking bucket when frames are numbered: what one task sorts of one file.
 RANK_SECONDS = 1
 
-# Rows one assembly step brings together at most.
-_FAN_IN = 1024
+# Frame numbers whose lengths are summed together, and the share (one in so many) of all packets that makes a flow hot.
+_FRAMES = 32_768
+_HOT = 1024
 
 
 def host_pair(src: str, dst: str) -> list[Column]:
@@ -103,10 +104,24 @@ def with_streams(packets: DataFrame, file: list[str], conversation: list[str], f
     return attach(packets, numbers, [*file, *conversation])
 
 
-def _joined_prefix(df: DataFrame, keys: list[str], width: int) -> DataFrame:
-    pieces = F.array_sort(F.collect_list(F.struct("_at", "_text")))
-    text = F.array_join(F.transform(pieces, lambda s: s["_text"]), "")
-    return df.groupBy(*keys).agg(F.substring(text, 1, width).alias("_text"))
+def prefix_ends(lengths: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``keys, _last, _rows`` of units longer than ``width``: the last frame that begins inside it, and their rows.
+
+    ``lengths`` is ``keys, _at, _len``. Lengths are summed per 32 768 frame numbers by partial aggregation; the running
+    sum over these groups names the one group in which a unit reaches ``width``, and only that group is looked
+    at frame by frame. Payloads are not touched.
+    """
+    some = lengths.where(F.col("_len") > 0).withColumn("_step", F.floor(F.col("_at") / _FRAMES))
+    sizes = some.groupBy(*keys, "_step").agg(F.sum("_len").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    unit = Window.partitionBy(*keys)
+    upto = sizes.withColumn("_upto", F.sum("_sum").over(unit.orderBy("_step"))).withColumn("_rows", F.sum("_n").over(unit))
+    before = (F.col("_upto") - F.col("_sum")).alias("_before")
+    reached = upto.select(*keys, "_step", "_rows", "_upto", before).where((F.col("_upto") >= width) & (F.col("_before") < width))
+    reached = stored(reached.drop("_upto"), "reached")
+    inside = attach(some, reached, [*keys, "_step"])
+    begins = F.col("_before") + F.sum("_len").over(Window.partitionBy(*keys, "_step").orderBy("_at")) - F.col("_len")
+    inside = inside.withColumn("_begins", begins).where(F.col("_begins") < width)
+    return stored(inside.groupBy(*keys).agg(F.max("_at").alias("_last"), F.max("_rows").alias("_rows")), "prefix-ends")
 
 
 def assembled(
@@ -118,19 +133,27 @@ def assembled(
 ) -> DataFrame:
     """Payload of every flow in order, cut at ``width`` hex digits: ``keys, tcp_payload, payload_len``.
 
-    The prefix of a concatenation is the prefix of its parts' prefixes, so it is built in steps
-    that bring together at most 1024 rows of at most ``width`` digits: 1024 frames, 1024 such
-    groups, then the flow. A flow of any length thus spreads over many tasks and none holds more
-    than a bounded group. ``frame`` numbers the packets of a flow or of its file.
+    Lengths alone tell where a flow's prefix ends (:func:`prefix_ends`). Packets behind that are dropped before payloads
+    move, and one shuffle brings together what is left: at most ``width`` packets of a flow, each adding a
+    digit or more. Ends of flows with over 1/1024 of all packets, of which there are at most 1024, make a table of their
+    own, small enough for a broadcast; those of others are joined as their size asks for, by the keys that the payloads
+    are then grouped by. Frame numbers are
+    distinct in a flow: they number the packets of a flow or of its file. A flow whose payloads are all empty
+    has an empty one, one without any payload is left out.
     """
-    step = F.floor(F.col("_at") / _FAN_IN)
     df = packets.where(F.col(payload).isNotNull()).select(
         *keys, F.col(frame).cast("long").alias("_at"), F.substring(payload, 1, width).alias("_text")
     )
-    for _ in range(2):
-        grouped = _joined_prefix(df.withColumn("_step", step), [*keys, "_step"], width)
-        df = grouped.select(*keys, F.col("_step").alias("_at"), "_text")
-    whole = _joined_prefix(df, keys, width)
+    ends = prefix_ends(df.select(*keys, "_at", F.length("_text").alias("_len")), keys, width)
+    if not ends.isEmpty():
+        hot = F.col("_rows") * _HOT > df.count()
+        large = stored(ends.where(hot).drop("_rows"), "large-ends")
+        for table in (large, stored(ends.where(~hot).drop("_rows"), "ends")):
+            df = attach(df, table, keys, "left").where(F.col("_last").isNull() | (F.col("_at") <= F.col("_last"))).drop("_last")
+    # Packets without digits only name the flow: null pieces are not collected.
+    pieces = F.array_sort(F.collect_list(F.when(F.length("_text") > 0, F.struct("_at", "_text"))))
+    text = F.array_join(F.transform(pieces, lambda s: s["_text"]), "")
+    whole = df.groupBy(*keys).agg(F.substring(text, 1, width).alias("_text"))
     octets = from_hex(F.col("_text"), on_odd="nibble")
     return whole.select(*keys, octets.alias("tcp_payload")).withColumn("payload_len", F.octet_length("tcp_payload"))
 

@@ -54,8 +54,14 @@ def test_assembly_of_one_long_flow_of_small_packets(spark):
 
 
 def test_assembly_groups_are_bounded(packets):
+    # One shuffle, of packets that begin inside the prefix: at most as many as it has digits.
     plan = flows.assembled(packets, ["file", "stream"])._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Aggregate [file") == 3 and plan.count("_step") >= 4
+    assert plan.count("Aggregate [file") == 1 and plan.count("_last") >= 2
+    lengths = packets.select("file", "stream", F.col("frame_no").alias("_at"), F.length("payload").alias("_len"))
+    for width in (16, 2048):
+        ends = flows.prefix_ends(lengths, ["file", "stream"], width)
+        inside = lengths.where("_len > 0").join(ends, ["file", "stream"]).where("_at <= _last").groupBy("file", "stream").agg(F.count(F.lit(1)).alias("n"))
+        assert inside.where(F.col("n") > width).isEmpty()
 
 
 def test_odd_nibble(spark):
