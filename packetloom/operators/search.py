@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.octets import hex_text
+from packetloom.functions.patterns import Patterns
 from packetloom.operators.stored import attach, stored
 
-# Block lengths of the seed join; a template needs twice the length less one to use a block.
-BLOCKS = [16, 8, 4, 3, 2, 1]
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Blocks of the seed join; a template needs twice the length less one to cover a whole block.
+BLOCK = 16
+
+# Bytes of shorter templates that are looked for in one pass.
+CHUNK_BYTES = 1 << 20
 
 
 def contains_hex(packet: Column, needle: str, byte_aligned: bool = False) -> Column:
@@ -33,38 +45,73 @@ def matches(
     template_id: list[str],
     template: str,
     byte_aligned: bool = False,
+    chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """Pairs of ids where the text contains the template, literally: ``text_id, template_id``.
 
-    Texts are cut into consecutive blocks of k characters. A template of at least 2k - 1
-    characters that occurs anywhere covers a whole block, at one of k offsets, so an equi-join of
-    the blocks with the k possible seeds finds every text that may match; those are then checked
-    with ``contains``. Blocks of a text add up to its own size, and only their hashes and the ids
-    are joined. Shorter templates use shorter blocks, which select less. Only the block lengths
-    that the templates at hand need are cut, in one pass over the texts.
+    Templates of 31 characters or more meet the texts by an equi-join: texts are cut into consecutive blocks of 16
+    characters, of which such a template covers a whole one, at one of 16 offsets. Blocks of a text add up to its own
+    size, and only their hashes and the ids are joined; the texts found are then checked with ``contains``.
+
+    Shorter templates select too little for a join. Each text looks for all of them at once (`functions.patterns`), in
+    place: nothing is shuffled but what is found. Templates go to the tasks in chunks of about ``chunk_bytes``, one
+    pass over the texts for each chunk.
 
     Ids of the two sides must have different names. Null and empty templates are left out. With
     ``byte_aligned`` both sides are lower-case hex, and a match starts at a whole byte.
     """
-    known = templates.where(F.length(template) > 0).select(*template_id, F.col(template).alias("_t"))
-    size = F.length("_t")
-    blocks = [F.when(size >= 2 * k - 1, F.lit(k)) for k in BLOCKS]
-    known = known.withColumn("_kind", F.coalesce(*blocks))
-    kinds = sorted(r[0] for r in known.select("_kind").distinct().collect())  # a subset of BLOCKS
-    if not kinds:
+    known = stored(templates.where(F.length(template) > 0).select(*template_id, F.col(template).alias("_t")), "templates")
+    is_long = F.length("_t") >= 2 * BLOCK - 1
+    found = [_long_matches(texts, text_id, text, known.where(is_long), template_id, byte_aligned)] if not known.where(is_long).isEmpty() else []
+    found += [
+        _short_matches(texts, text_id, text, chunk, byte_aligned) for chunk in _chunks(known.where(~is_long), chunk_bytes)
+    ]
+    if not found:
         return texts.select(*text_id).join(known.select(*template_id), F.lit(False))
+    short = [attach(f, known, ["_t"], null_keys=False).select(*text_id, *template_id) for f in found if "_t" in f.columns]
+    return reduce(DataFrame.unionByName, [f for f in found if "_t" not in f.columns] + short)
+
 
-    seed = F.xxhash64("_kind", F.substring("_t", F.col("_o"), F.col("_kind")))
-    seeds = known.withColumn("_o", F.explode(F.sequence(F.lit(1), F.col("_kind")))).select(*template_id, seed.alias("_k")).distinct()
+def _chunks(short: DataFrame, chunk_bytes: int) -> Iterator[list[bytes]]:
+    """Distinct texts of the templates, by number of a chunk; the driver holds one chunk at a time."""
+    distinct = short.select("_t").distinct()
+    n_bytes = distinct.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
+    chunks = -(-n_bytes // chunk_bytes)
+    if chunks == 1:
+        yield [r[0].encode() for r in distinct.collect()]
+        return
+    for i in range(chunks):
+        part = [r[0].encode() for r in distinct.where(F.pmod(F.xxhash64("_t"), F.lit(chunks)) == i).collect()]
+        if part:
+            yield part
 
-    def hashes(k: int) -> Column:
-        blocks = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{{k}}}"), F.lit(0))
-        return F.transform(blocks, lambda piece: F.xxhash64(F.lit(k), piece))
 
-    pieces = F.array_distinct(F.concat(*[hashes(k) for k in kinds]))
-    hashed = texts.where(F.length(text) > 0).select(*text_id, F.explode(pieces).alias("_k"))
-    found = hashed.join(stored(seeds, "template-seeds"), "_k").select(*text_id, *template_id).distinct()
-    candidates = attach(stored(found, "match-candidates"), known.drop("_kind"), template_id, null_keys=False)
+def _short_matches(texts: DataFrame, text_id: list[str], text: str, chunk: list[bytes], byte_aligned: bool) -> DataFrame:
+    """``text_id, _t``, each once."""
+    patterns = Patterns(chunk)
+    names = pa.array([p.decode() for p in patterns.patterns])
+    slim = texts.select(*text_id, F.col(text).alias("_t"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.select(text_id)
+            for rows, numbers in patterns.found(batch.column(len(text_id)), 2 if byte_aligned else 1):
+                picked = ids.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*picked.columns, names.take(pa.array(numbers))], [*text_id, "_t"])
+
+    return slim.mapInArrow(search, slim.schema)
+
+
+def _long_matches(
+    texts: DataFrame, text_id: list[str], text: str, known: DataFrame, template_id: list[str], byte_aligned: bool
+) -> DataFrame:
+    starts = F.explode(F.sequence(F.lit(1), F.lit(BLOCK)))
+    seeds = known.withColumn("_o", starts).select(*template_id, F.xxhash64(F.substring("_t", F.col("_o"), F.lit(BLOCK))).alias("_k"))
+    blocks = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{{BLOCK}}}"), F.lit(0))
+    pieces = F.array_distinct(F.transform(blocks, lambda piece: F.xxhash64(piece)))
+    hashed = texts.where(F.length(text) >= 2 * BLOCK - 1).select(*text_id, F.explode(pieces).alias("_k"))
+    met = hashed.join(stored(seeds.distinct(), "template-seeds"), "_k").select(*text_id, *template_id).distinct()
+    candidates = attach(stored(met, "match-candidates"), known, template_id, null_keys=False)
     whole = texts.select(*text_id, F.col(text).alias("_x"))
     found_in = F.col("_x").contains(F.col("_t"))
     if byte_aligned:
