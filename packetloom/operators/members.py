@@ -6,8 +6,10 @@ is a filter that prunes partitions, and nothing is looped over.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +18,19 @@ from pyspark.sql import types as T
 from packetloom.functions.hashing import hash_key
 from packetloom.functions.names import clean_stem, file_stem, local_path, relative_directory
 from packetloom.operators import labels, sampling
+from packetloom.operators.ranking import numbered, numbered_within
+from packetloom.operators.stored import attach, stored
 from packetloom.sources.tables import CSV_OPTIONS
 
 # The manifest, and how deep structs are flattened.
 MANIFEST = "manifest"
-MANIFEST_SCHEMA = "kind string, splits array<string>"
+NEXT = "manifest-next"
+MANIFEST_SCHEMA = "kind string, splits array<string>, data string"
 KIND = "members"
+
+# What one file of a saved member holds at most, about, and the most tasks that write.
+ROWS_PER_FILE = 1_000_000
+MOST_TASKS = 20_000
 MAX_DEPTH = 16
 
 # Standard columns of the supported tasks.
@@ -46,6 +55,21 @@ def flatten_structs(df: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     return df
 
 
+def _switch(spark: SparkSession, path: str, data: str) -> None:
+    """Put the new manifest in place of the old one, then drop the data folders that no manifest names."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(conf)
+    at = [jvm.org.apache.hadoop.fs.Path(folder, name) for name in (MANIFEST, NEXT)]
+    system.delete(at[0], True)
+    if not system.rename(at[1], at[0]):
+        raise OSError(f"can't put the new manifest in place below {path}")
+    for entry in system.listStatus(folder):
+        name = entry.getPath().getName()
+        if (name == "data" or name.startswith("data-")) and name != data:
+            system.delete(entry.getPath(), True)
+
+
 class Members:
     """Immutable: every operation returns another ``Members`` or a DataFrame."""
 
@@ -123,28 +147,55 @@ class Members:
 
     # storage
 
-    def save(self, path: str) -> None:
-        """Partitioned Parquet with a manifest of the splits; what was there is replaced."""
-        self.df.write.mode("overwrite").partitionBy(self.split, self.dataset).parquet(f"{path}/data")
-        spark = self.df.sparkSession
-        splits = spark.read.parquet(f"{path}/data").select(self.split).distinct()
-        manifest = splits.agg(F.lit(KIND).alias("kind"), F.sort_array(F.collect_set(self.split)).alias("splits"))
-        manifest.coalesce(1).write.mode("overwrite").json(f"{path}/{MANIFEST}")
+    def save(self, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+        """Partitioned Parquet with a manifest of the splits and of the folder that holds the data.
+
+        Each save writes a new folder, then the new manifest beside the old one, and then moves it into its
+        place; what was there is dropped last. A save that breaks off leaves the earlier dataset as it was. Members
+        are counted first: each goes to as many tasks as its rows ask for, which write a file of about ``rows_per_file``
+        rows each, never of over twice as many, and small members are not cut up.
+        """
+        spark, names = self.df.sparkSession, [self.split, self.dataset]
+        data = f"data-{uuid.uuid4().hex}"
+        counts = self.df.groupBy(*names).agg(F.count(F.lit(1)).alias("_rows"))
+        last = F.ceil(F.col("_rows") / rows_per_file) - 1
+        files = stored(counts.select(*names, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_k")), "member-files")
+        tasks = numbered(files, [F.col(c).asc() for c in [*names, "_k"]], "_task", start=0)
+        parts = stored(tasks.groupBy(*names).agg(F.min("_task").alias("_first"), F.count(F.lit(1)).alias("_files")), "member-tasks")
+        # By content, so that a task that runs again deals its rows alike; maps can't be hashed.
+        content = [F.col(f"`{f.name}`") for f in self.df.schema.fields if "map<" not in f.dataType.simpleString()]
+        task = F.col("_first") + F.pmod(F.xxhash64(*content), F.col("_files"))
+        n = max(1, min(files.count(), MOST_TASKS))
+        spread = attach(self.df, parts, names).repartitionById(n, F.pmod(task, F.lit(n)).cast("int")).drop("_first", "_files")
+        spread.write.option("maxRecordsPerFile", 2 * rows_per_file).partitionBy(*names).parquet(f"{path}/{data}")
+
+        splits = parts.select(F.col(self.split).alias("split")).distinct()
+        manifest = splits.agg(
+            F.lit(KIND).alias("kind"), F.sort_array(F.collect_set("split")).alias("splits"), F.lit(data).alias("data")
+        )
+        manifest.coalesce(1).write.mode("overwrite").json(f"{path}/{NEXT}")
+        _switch(spark, path, data)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Members:
         from pyspark.errors import AnalysisException
 
-        try:
-            rows = spark.read.schema(MANIFEST_SCHEMA).json(f"{path}/{MANIFEST}").take(1)
-        except AnalysisException as error:
-            raise FileNotFoundError(f"no manifest at {path}/{MANIFEST}: not a saved two-level dataset") from error
-        if not rows or rows[0]["kind"] != KIND:
+        rows = []
+        # Between the two moves of a switch only the new manifest is there.
+        for name in (MANIFEST, NEXT):
+            try:
+                rows = rows or spark.read.schema(MANIFEST_SCHEMA).json(f"{path}/{name}").take(1)
+            except AnalysisException as error:
+                missing = error
+        if not rows:
+            raise FileNotFoundError(f"no manifest at {path}/{MANIFEST}: not a saved two-level dataset") from missing
+        if rows[0]["kind"] != KIND:
             raise FileNotFoundError(f"{path}/{MANIFEST} does not describe a two-level dataset")
-        found = spark.read.parquet(f"{path}/data").schema
+        data = f"{path}/{rows[0]['data'] or 'data'}"
+        found = spark.read.parquet(data).schema
         names = [T.StructField(n, T.StringType()) for n in ("split", "dataset")]
         schema = T.StructType([f for f in found.fields if f.name not in ("split", "dataset")] + names)
-        return cls(spark.read.schema(schema).parquet(f"{path}/data"))
+        return cls(spark.read.schema(schema).parquet(data))
 
     # selection
 
@@ -239,16 +290,39 @@ class Members:
 
     # rows
 
-    def filter(self, condition: Column | Callable[[pd.DataFrame], pd.Series]) -> Members:
-        """By a column expression, or by a function of a pandas batch that returns a mask."""
+    def _indexed(self, order: list[str] | None) -> DataFrame:
+        """With ``index``, the place of a row in its member from 0 in the order of the given columns."""
+        if order is None:
+            return self.df
+        if "index" in self.df.columns:
+            raise ValueError("the table has a column 'index' of its own; rename it first")
+        return numbered_within(self._known(*order), [self.split, self.dataset], [F.col(c).asc() for c in order], "index", start=0)
+
+    def filter(
+        self,
+        condition: Column | Callable[..., pd.Series],
+        with_indices: list[str] | None = None,
+        input_columns: list[str] | None = None,
+        **kwargs: object,
+    ) -> Members:
+        """By a column expression, or by a function of a pandas batch that returns a mask.
+
+        A table has no order of its own: ``with_indices`` names the columns that give one, and the condition
+        sees ``index``, the place of the row in its member from 0. With ``input_columns`` a function sees these only
+        (and ``index``), and only these and what is kept are read.
+        """
+        source = self._indexed(with_indices)
         if isinstance(condition, Column):
-            return self._with(self.df.where(condition))
+            return self._with(source.where(condition).select(*self.df.columns))
+        given = [*(input_columns or self.df.columns), *(["index"] if with_indices is not None else [])]
+        self._known(*(input_columns or []))
+        names = self.df.columns
 
         def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield batch[condition(batch)]
+                yield batch[np.asarray(condition(batch[given], **kwargs), dtype=bool)][names]
 
-        return self._with(self.df.mapInPandas(keep, self.df.schema))
+        return self._with(source.mapInPandas(keep, self.df.schema))
 
     def map(
         self,
@@ -259,19 +333,23 @@ class Members:
         batch_size: int | None = None,
         drop_last_batch: bool = False,
         with_rank: bool = False,
+        with_indices: list[str] | None = None,
         **kwargs: object,
     ) -> Members:
         """Apply a function to pandas batches.
 
-        It gets the input columns (all by default), with ``rank`` the partition number, and returns
-        a frame of new or replaced columns named in ``schema``. If all other columns are removed it
+        It gets the input columns (all by default), with ``rank`` the partition number, with ``index`` the place of
+        the row in its member, from 0 in the order of the columns that ``with_indices`` names, and returns a frame of new or replaced columns named in ``schema``. If all other columns are removed it
         may return any number of rows, and then gets the rows of one member at a time.
         ``batch_size`` re-cuts Arrow's batches inside a partition, where ``drop_last_batch`` leaves
         out a short one.
         """
         new = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        source = self.df.withColumn("rank", F.spark_partition_id()) if with_rank else self.df
+        self._known(*(input_columns or []))
+        source = self._indexed(with_indices)
+        source = source.withColumn("rank", F.spark_partition_id()) if with_rank else source
         given = [*(input_columns or self.column_names), *(["rank"] if with_rank else [])]
+        given += ["index"] if with_indices is not None else []
         removed = set(remove_columns or []) | set(new.names)
         names = [self.split, self.dataset]
         carried = [f for f in self.df.schema.fields if f.name not in removed]

@@ -140,6 +140,17 @@ def hash_rank(df: DataFrame, keys: list[str], h: Column, name: str = "rank") ->
     return ranked.drop("_h")
 
 
+def _ranged(df: DataFrame, order: list[Column]) -> tuple[DataFrame, Column]:
+    """``df`` written in the given order, a range to a task, with ``_before`` and the place of each row from 0."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stored(ranged.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    task, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_task")) - F.col("_n")
+    offsets = stored(sizes.select("_task", before.alias("_before")), "offsets")
+    return rows.join(offsets, task == F.col("_task")), F.col("_before") + place
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "rank", start: int = 1) -> DataFrame:
     """``df`` with a running number from ``start`` in the given order, without a window over all rows.
 
@@ -148,18 +159,13 @@ def numbered(df: DataFrame, order: list[Column], name: str = "rank", start: int
     store it if it is costly. Rows that the order can't tell apart are numbered in any order, and share a range:
     add an id to the order where many may be equal.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = stored(ranged.withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    task, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = rows.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_task")) - F.col("_n")
-    offsets = stored(sizes.select("_task", before.alias("_before")), "offsets")
-    return rows.join(offsets, task == F.col("_task")).select(*df.columns, (F.col("_before") + place + start).alias(name))
+    rows, place = _ranged(df, order)
+    return rows.select(*df.columns, (place + start).alias(name))
 
 
 def numbered_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank", start: int = 1) -> DataFrame:
     """Like :func:`numbered`, from ``start`` again in every key; one key may hold most rows."""
-    rows = stored(numbered(df, [*[F.col(k).asc() for k in keys], *order], "_number"), "numbered")
-    first = stored(rows.groupBy(*keys).agg(F.min("_number").alias("_first")), "first-numbers")
-    joined = attach(rows, first, keys)
-    return joined.select(*df.columns, (F.col("_number") - F.col("_first") + start).alias(name))
+    rows, place = _ranged(df, [*[F.col(k).asc() for k in keys], *order])
+    rows = rows.withColumn("_place", place)
+    first = stored(rows.groupBy(*keys).agg(F.min("_place").alias("_first")), "first-places")
+    return attach(rows, first, keys).select(*df.columns, (F.col("_place") - F.col("_first") + start).alias(name))

@@ -161,6 +161,18 @@ def b14(spark, sf_dir):
     return members(spark, sf_dir).filter(F.col("n_chars") > 1000).filter(lambda batch: batch["dataset"] > "m").df
 
 
+INDEXED = "row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1"
+
+
+@query(
+    "b14_row_filter_by_index",
+    f"SELECT split, dataset, doc_id, n_chars FROM (SELECT lang AS split, source AS dataset, doc_id, n_chars, {INDEXED} AS i FROM documents) "
+    "WHERE i % 3 = 1 AND n_chars > 200",
+)
+def b14b(spark, sf_dir):
+    return members(spark, sf_dir).filter(lambda b: (b["index"] % 3 == 1) & (b["n_chars"] > 200), ["doc_id"], ["n_chars"]).df
+
+
 @query("b17_restricted_columns", "SELECT lang AS split, source AS dataset, n_chars FROM documents")
 def b17(spark, sf_dir):
     return members(spark, sf_dir).select_columns(["n_chars"]).df
@@ -197,6 +209,17 @@ def m1(spark, sf_dir):
     return members(spark, sf_dir).map(lambda b: b[["n_chars"]] % 97, "n_chars long", ["n_chars"], batch_size=100).df
 
 
+@query(
+    "m1_mapped_with_indices",
+    f"SELECT lang AS split, source AS dataset, doc_id, n_chars, n_chars * 1000 + ({INDEXED}) AS code FROM documents",
+)
+def m1b(spark, sf_dir):
+    def code(batch):
+        return (batch["n_chars"] * 1000 + batch["index"]).to_frame("code")
+
+    return members(spark, sf_dir).map(code, "code long", ["n_chars"], with_indices=["doc_id"]).df
+
+
 @query(
     "m2_mapped_members",
     f"WITH p AS ({PACKETS_SQL}) SELECT 'all' AS split, file AS dataset, stream, sum(length(payload))::BIGINT AS digits FROM p GROUP BY 2, 3",

@@ -162,3 +162,58 @@ def test_malformed_lines(spark, folder):
         f.write("label\ttext_a\n3\t00ff\n")
     row = tables.burst_rows(tables.read_templates(spark, folder + "/c/t.tsv")).first()
     assert (bytes(row["burst"]), row["len"], row["label"]) == (b"\x00\xff", 2, 3)
+
+
+def test_indices(spark):
+    rows = [(i, "train" if i % 3 else "test", "a" if i % 2 else None) for i in range(60)]
+    members = Members(spark.createDataFrame(rows, "id int, split string, dataset string").repartition(5))
+    place = {}
+    for i, split, dataset in rows:
+        place[i] = sum(1 for j, s, d in rows if (s, d) == (split, dataset) and j < i)
+    kept = members.filter(lambda b: b["index"] % 2 == 0, with_indices=["id"])
+    assert kept.df.columns == members.df.columns
+    assert {r["id"] for r in kept.df.collect()} == {i for i in place if place[i] % 2 == 0}
+    by_column = members.filter(F.col("index") < 3, with_indices=["id"])
+    assert {r["id"] for r in by_column.df.collect()} == {i for i in place if place[i] < 3}
+    seen = members.filter(lambda b, least: (b["id"] >= least) & (list(b.columns) == ["id"]), input_columns=["id"], least=50)
+    assert {r["id"] for r in seen.df.collect()} == set(range(50, 60))
+    made = members.map(lambda b: (b["index"] * 100 + b["id"]).to_frame("code"), "code long", ["id"], with_indices=["id"])
+    assert {r["id"]: r["code"] for r in made.df.collect()} == {i: place[i] * 100 + i for i in place}
+    with pytest.raises(ValueError):
+        members.filter(lambda b: b["id"] > 0, with_indices=["none"])
+    with pytest.raises(ValueError):
+        Members(members.df.withColumn("index", F.lit(1))).filter(lambda b: b["id"] > 0, with_indices=["id"])
+
+
+def test_a_save_that_breaks_off_leaves_the_old_dataset(spark, members, folder, monkeypatch):
+    from packetloom.operators import members as module
+
+    path = folder + "/m"
+    members.save(path)
+    less = Members(members.df.where("id < 5"))
+    n = less.df.count()
+
+    def stop(*args):
+        raise OSError("executor lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(module, "_switch", stop)
+        with pytest.raises(OSError):
+            less.save(path)
+    assert Members.load(spark, path).df.count() == 30
+    # Between the two moves there is the new manifest only.
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path + "/manifest")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    assert Members.load(spark, path).df.count() == n
+    members.save(path)
+    assert Members.load(spark, path).df.count() == 30
+    assert len([f for f in __import__("os").listdir(path) if f.startswith("data")]) == 1
+
+
+def test_files_of_saved_members_are_bounded(spark, folder):
+    df = spark.range(5000).select("id", F.when(F.col("id") < 4500, "big").otherwise("small").alias("dataset"), F.lit("s").alias("split"))
+    Members(df.repartition(9)).save(folder + "/b", rows_per_file=1000)
+    files = Members.load(spark, folder + "/b").df.groupBy("dataset", F.input_file_name().alias("f")).count().collect()
+    sizes = {d: [r["count"] for r in files if r["dataset"] == d] for d in ("big", "small")}
+    assert max(sizes["big"]) <= 2000 and 4 <= len(sizes["big"]) <= 8 and sizes["small"] == [500]
