@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.hashing import bernoulli, hash_key, hash_number
-from packetloom.operators.ranking import hash_cut, hash_cuts, hash_rank, take, takes, with_cuts
+from packetloom.operators.ranking import PIECE, hash_cut, hash_cuts, hash_rank, take, takes, with_cuts
 from packetloom.operators.stored import attach, stored
 
 # The sampling seed, and the class size below which classes are not cut.
@@ -120,13 +120,18 @@ def sample_with_replacement(
     """``n`` draws from every label, each row as often as it is drawn; ``draw`` numbers them.
 
     A draw is a hash reduced modulo the class size; rows are numbered in hash order, of which only
-    label, id and number move, and the wide rows are fetched by id, which must be unique.
+    label, id and number move, and the wide rows are fetched by id, which must be unique. Draws are made in runs of
+    10 000, which are dealt to tasks before they are written out, so that no task makes all of a label's.
     """
     df = df.where(F.col(label).isNotNull())
     ranked = hash_rank(df.select(label, *ids), [label], hash_key(seed, *ids))
+    sizes = stored(label_sizes(df, label), "label-sizes")
+    runs = sizes.withColumn("_first", F.explode(F.sequence(F.lit(1), F.lit(n), F.lit(PIECE)))) if n > 0 else sizes.limit(0).withColumn("_first", F.lit(1))
+    # A counted repartition is not merged by adaptive execution: runs are small rows that grow when written out.
+    runs = runs.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), label, "_first")
+    last = F.least(F.col("_first") + (PIECE - 1), F.lit(n))
     draws = (
-        stored(label_sizes(df, label), "label-sizes")
-        .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
+        runs.withColumn("draw", F.explode(F.sequence("_first", last)))
         .withColumn("rank", hash_number(hash_key(seed, label, "draw")) % F.col("n_rows") + 1)
         .select(label, "draw", "rank")
     )
