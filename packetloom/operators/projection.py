@@ -11,7 +11,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.functions.arrays import mean, sample_variance
+from packetloom.functions.wide import moments_arrow
 from packetloom.operators.stored import attach, stored
 
 
@@ -108,8 +108,7 @@ def mean_and_deviation(df: DataFrame, values: str, first: int | None = None, ord
     df = df.select(*([order] if order else []), values)
     if first is not None:
         df = df.orderBy(order).limit(first)
-    v = F.col(values)
-    rows = df.select(F.size(v).cast("double").alias("n"), mean(v).alias("m"), sample_variance(v).alias("var"))
+    rows = df.select(moments_arrow(F.col(values).cast("array<double>")).alias("s")).select("s.*")
     n, m = F.col("n"), F.col("m")
     squares = F.sum(F.col("var") * (n - 1)) + F.sum(n * m * m) - F.sum(n * m) * F.sum(n * m) / F.sum(n)
     return rows.agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetloom.functions import arrays, octets
+from packetloom.functions import arrays, octets, wide
 from packetloom.functions.hashing import hash_key
 from packetloom.operators.labels import value_counts
 from queries.registry import features, features_sql, query, table
@@ -91,7 +91,7 @@ def b15(spark, sf_dir):
     "AS total FROM b",
 )
 def h4(spark, sf_dir):
-    values = arrays.unit_floats(F.col("x"))
+    values = wide.unit_floats_arrow(F.col("x"))
     whole = F.transform(F.col("v"), lambda v: F.round(v * 255).cast("int"))
     df = features(spark, sf_dir).select("doc_id", values.alias("v"))
     return df.select("doc_id", joined(whole).alias("octets"), F.round(arrays.total(F.col("v")), 6).alias("total"))
@@ -105,7 +105,7 @@ def h4(spark, sf_dir):
 )
 def h5(spark, sf_dir):
     x = F.col("x")
-    before, after = arrays.normalised(x, 1024, 0.25, 0.25), arrays.normalised(x, 1024, 0.5, 0.5, pad="after")
+    before, after = wide.normalised_arrow(x, 1024, 0.25, 0.25), wide.normalised_arrow(x, 1024, 0.5, 0.5, pad="after")
     return features(spark, sf_dir).select("doc_id", rounded(before, 4).alias("before"), rounded(after, 4).alias("after"))
 
 
@@ -114,7 +114,7 @@ def h5(spark, sf_dir):
     D + ", " + VALUES + " SELECT doc_id, array_to_string(v[1:512], ',') AS values FROM b",
 )
 def h6(spark, sf_dir):
-    values = F.slice(octets.byte_values(octets.crop_and_pad(F.col("x"))), 1, 512)
+    values = F.slice(wide.byte_values_arrow(octets.crop_and_pad(F.col("x"))), 1, 512)
     return features(spark, sf_dir).select("doc_id", joined(values).alias("values"))
 
 
@@ -139,15 +139,13 @@ PATCHES = "list_transform(range(0, 16), lambda p: v[p * 64 + 1 : p * 64 + 64])"
     "unnest(range(0, 16))::INT AS pos FROM p) SELECT doc_id, pos, array_to_string(patch, ',') AS patch FROM q",
 )
 def h8(spark, sf_dir):
-    values = octets.byte_values(octets.crop_and_pad(F.col("x")))
-    patches = features(spark, sf_dir).select("doc_id", values.alias("v")).select("doc_id", arrays.patchify(F.col("v"), 64, 16).alias("p"))
+    patches = features(spark, sf_dir).select("doc_id", wide.patch_values_arrow(F.col("x"), 64, 16).alias("p"))
     return patches.select("doc_id", F.posexplode("p").alias("pos", "patch")).withColumn("patch", joined(F.col("patch")))
 
 
 @query("h20_unpatchify", D + ", " + VALUES + " SELECT doc_id, array_to_string(v, ',') AS values FROM b")
 def h20(spark, sf_dir):
-    values = octets.byte_values(octets.crop_and_pad(F.col("x")))
-    patches = features(spark, sf_dir).select("doc_id", values.alias("v")).select("doc_id", arrays.patchify(F.col("v"), 64, 16).alias("p"))
+    patches = features(spark, sf_dir).select("doc_id", wide.patch_values_arrow(F.col("x"), 64, 16).alias("p"))
     return patches.select("doc_id", joined(arrays.unpatchify(F.col("p"))).alias("values"))
 
 
@@ -252,7 +250,7 @@ def h19(spark, sf_dir):
 def d12(spark, sf_dir):
     from packetloom.operators.projection import mean_and_deviation
 
-    df = features(spark, sf_dir).select("doc_id", arrays.unit_floats(F.col("x")).alias("v"))
+    df = features(spark, sf_dir).select("doc_id", wide.unit_floats_arrow(F.col("x")).alias("v"))
     whole = mean_and_deviation(df, "v").withColumn("rows", F.lit("all"))
     first = mean_and_deviation(df, "v", first=101, order="doc_id").withColumn("rows", F.lit("first"))
     both = whole.unionByName(first)
