@@ -128,3 +128,37 @@ def test_mean_and_deviation(spark):
     a = np.array(x)
     assert (row["mean"], row["std"], row["pooled_std"]) == pytest.approx((a.mean(), a.std(axis=1, ddof=1).mean(), a.std(ddof=1)))
     assert projection.mean_and_deviation(df, "v", first=2, order="id").first()["mean"] == pytest.approx(a[:2].mean())
+
+
+def test_vector_work_by_batches(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, None if i % 17 == 0 else "xyz"[i % 3], [float(v) for v in rng.normal(i % 3, 1, 6)]) for i in range(300)]
+    rows += [(900, "x", None), (901, "x", []), (902, "y", [None, 1.0, float("nan")]), (903, "w", [5.0]), (904, "z", [0.0] * 9)]
+    df = spark.createDataFrame(rows, "id int, label string, v array<double>").repartition(4)
+    sums, by_pos = {}, {}
+    for _, label, v in rows:
+        for pos, x in enumerate(v or []):
+            if x is not None and x == x:
+                sums.setdefault((label, pos), []).append(x)
+                by_pos.setdefault(pos, []).append(x)
+    got = {(r["label"], r["pos"]): r["center"] for r in projection.centroids(df, "v", "label").collect()}
+    assert got.keys() == sums.keys()
+    assert all(got[k] == pytest.approx(np.mean(v)) for k, v in sums.items())
+    near = {}
+    for i, label, v in rows:
+        far = {}
+        for c in "wxyz":
+            steps = [(x - np.mean(sums[c, pos])) ** 2 for pos, x in enumerate(v or []) if x is not None and x == x and (c, pos) in sums]
+            if steps:
+                far[c] = round(sum(steps), 9)
+        if far:
+            near[i] = min(far, key=lambda c: (far[c], c))
+    found = {r["id"]: r["pred"] for r in projection.nearest_centroid(df, "v", "label", ["id"]).collect()}
+    assert found == near
+    complete = df.where("id < 900 and label is not null")
+    joined = {r["id"]: r["pred"] for r in projection.nearest_centroid(complete, "v", "label", ["id"], most_values=0).collect()}
+    batch = {r["id"]: r["pred"] for r in projection.nearest_centroid(complete, "v", "label", ["id"]).collect()}
+    assert joined == batch and len(joined) > 250
+    scaled = {(r["id"], r["pos"]): r["scaled"] for r in projection.min_max_scaled(df.where("id < 900"), "v", ["id"]).collect()}
+    column = np.array([v for i, _, v in rows if i < 900])
+    assert scaled[5, 2] == pytest.approx((rows[5][2][2] - column[:, 2].min()) / np.ptp(column[:, 2]))
