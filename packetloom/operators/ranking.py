@@ -47,8 +47,11 @@ def hash_cuts(
     key each cut takes. The result has ``keys`` and per name a struct ``(h, r, c)``: the hash of
     the n-th row, how many of the rows with that hash are inside, and how many there are. It is
     null for a cut of no rows.
+
+    The rows are read once: their keys and hashes are written down, and both searches, for the bucket and for the
+    place inside it, read those.
     """
-    slim = df.select(*keys, h.alias("_h"))
+    slim = stored(df.select(*keys, h.alias("_h")), "hashes")
     sizes = stored(bucket_sizes(slim, keys, _bucket()), "bucket-sizes")
     totals = sizes.groupBy(*keys).agg(F.sum("_c").alias("n_rows"))
     cuts = allocate(totals).select(*keys, "cut", F.col("n").cast("long").alias("n"))
