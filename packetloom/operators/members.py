@@ -30,6 +30,9 @@ KIND = "members"
 
 # What one file of a saved member holds at most, about, and the most tasks that write.
 ROWS_PER_FILE = 1_000_000
+
+# Rows that one task may hold as a pandas frame.
+GROUP_ROWS = 5_000_000
 MOST_TASKS = 20_000
 MAX_DEPTH = 16
 
@@ -388,12 +391,23 @@ class Members:
         return self._with(source.mapInPandas(apply, out))
 
     def map_members(
-        self, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType, by: list[str] | None = None
+        self,
+        function: Callable[[pd.DataFrame], pd.DataFrame],
+        schema: str | T.StructType,
+        by: list[str] | None = None,
+        most_rows: int | None = GROUP_ROWS,
     ) -> Members:
         """Apply a function to whole groups: each member, or each ``(member, by)`` group.
 
-        A group is held by one task; name a finer key such as the flow wherever the work allows it.
+        A group is held by one task; name a finer key such as the flow wherever the work allows it. Groups are counted
+        first, and one of over ``most_rows`` rows is refused (None: not counted).
         """
+        if most_rows is not None:
+            group = [self.split, self.dataset, *(by or [])]
+            sizes = self.df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most_rows)
+            if large := sizes.take(1):
+                named = "/".join(str(v) for v in large[0][:-1])
+                raise ValueError(f"{named} has {large[0]['_rows']} rows, which one task would have to hold: name a finer key in by")
         new = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         keys = [self.split, self.dataset]
         out = T.StructType([self.df.schema[self.split], self.df.schema[self.dataset], *new.fields])

@@ -152,6 +152,19 @@ def e12b(spark, sf_dir):
     return flows.unit_sizes(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey", "l_returnflag"])
 
 
+@query(
+    "e12_directed_five_tuples",
+    "SELECT l_partkey AS src, l_linenumber AS sport, l_suppkey AS dst, (l_orderkey % 5)::INT AS dport, l_returnflag AS protocol, "
+    "count(*) AS n_packets, sum(l_quantity) AS n_bytes FROM lineitem GROUP BY 1, 2, 3, 4, 5",
+)
+def e12d(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("src"), F.col("l_linenumber").alias("sport"), F.col("l_suppkey").alias("dst"),
+        (F.col("l_orderkey") % 5).cast("int").alias("dport"), F.col("l_returnflag").alias("protocol"), "l_quantity",
+    )
+    return flows.unit_sizes(lines, ["src", "sport", "dst", "dport", "protocol"], "l_quantity")
+
+
 @query(
     "e12_sessions",
     "WITH k AS (SELECT l_partkey AS a, l_linenumber AS pa, l_suppkey AS b, 7::INT AS pb FROM lineitem), "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from packetloom.functions.names import class_name, clean_label, clean_stem, directory_label, file_stem
 from packetloom.operators import labels, lengths
 from packetloom.operators.stored import attach, stored
-from queries.registry import features, features_sql, query, table
+from queries.registry import features, features_sql, placed, query, table
 
 D = f"WITH d AS ({features_sql()}) "
 S = f"WITH d AS ({features_sql('source')}) "
@@ -27,6 +27,22 @@ def d1(spark, sf_dir):
     return labels.label_distribution(features(spark, sf_dir))
 
 
+@query(
+    "d1_label_order",
+    D + "SELECT labels, count(*) AS count, row_number() OVER (ORDER BY lower(labels), labels) AS position FROM d GROUP BY labels",
+)
+def d1_order(spark, sf_dir):
+    return placed(labels.label_distribution(features(spark, sf_dir)))
+
+
+@query(
+    "d7_frequency_order",
+    "SELECT l_partkey, count(*) AS frequency, row_number() OVER (ORDER BY count(*) DESC, l_partkey) AS position FROM lineitem GROUP BY 1",
+)
+def d7_order(spark, sf_dir):
+    return placed(labels.frequency_table(table(spark, sf_dir, "lineitem"), "l_partkey"))
+
+
 @query(
     "d1_counts_by_two_columns",
     "SELECT lang, source, count(*) AS count FROM documents GROUP BY 1, 2",

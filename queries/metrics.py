@@ -196,6 +196,30 @@ def t1(spark, sf_dir):
     return seen.join(fit, F.lit(True))
 
 
+@query("d19_explained_shares")
+def d19b(spark, sf_dir):
+    """The shares of variance themselves; SQL checks them by their properties above, the tests against numpy."""
+    return projection.principal_components(table(spark, sf_dir, "embeddings"), "embedding", 2)[1]
+
+
+@query("t1_test_report")
+def t1b(spark, sf_dir):
+    """Scores of the classifier on its test rows, class by class and together."""
+    from packetloom.operators.sampling import split_exact
+
+    parts = split_exact(table(spark, sf_dir, "embeddings"), ["vec_id"], 0.2, "label")
+    model = projection.train_classifier(parts.where("part = 'train'"), "embedding", "label", grid=[0.001, 0.1])
+    scored = projection.score(model, parts.where("part = 'test'"), "embedding", "label", ["vec_id"])
+    return metrics.report(metrics.confusion_counts(scored))
+
+
+@query("t2_scores")
+def t2b(spark, sf_dir):
+    """Prediction, class probabilities and vector of every row."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return projection.score(projection.train_classifier(vectors, "embedding", "label"), vectors, "embedding", "label", ["vec_id"])
+
+
 @query(
     "t2_score_table",
     "SELECT vec_id, label, len(embedding)::INTEGER AS width, TRUE AS sums_to_one, TRUE AS pred_is_best FROM embeddings",

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.operators.ranking import numbered
+from packetloom.operators.stored import stored
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -29,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """An ordered result with ``position``, from 1, as it comes."""
+    marked = df.withColumn("_mark", F.monotonically_increasing_id())
+    return numbered(stored(marked, "ordered"), [F.col("_mark").asc()], "position").drop("_mark")
+
+
 def features(spark: SparkSession, sf_dir: str, label: str = "lang") -> DataFrame:
     """Documents as feature rows: ``doc_id, x, feature_len, labels``."""
     x = F.encode("text", "utf-8")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from packetloom.functions.hashing import bernoulli, hash_key
 from packetloom.operators import ranking, sampling
 from packetloom.plans.train_test import prepare
-from queries.registry import PACKETS_SQL, features, features_sql, query, table
+from queries.registry import PACKETS_SQL, features, features_sql, placed, query, table
 
 LINE_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "ship", "cents"]
 
@@ -177,6 +177,15 @@ def f7(spark, sf_dir):
     return sampling.shuffle_rank(lines(spark, sf_dir).drop("l_returnflag"), LINE_ID, 7)
 
 
+@query(
+    "f8_sorted_order",
+    "SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS position FROM customer",
+)
+def f8_order(spark, sf_dir):
+    unique = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.struct(F.col("c_acctbal"), (-F.col("c_custkey")).alias("k")).alias("o"))
+    return placed(sampling.sorted_by(unique, "o", reverse=True)).drop("o")
+
+
 @query("f8_sorted", "SELECT c_custkey, c_acctbal FROM customer")
 def f8(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")

@@ -103,6 +103,18 @@ def a11(spark, sf_dir):
     return tables.read_part(spark, path, "test")
 
 
+@query(
+    "a11_both_files",
+    D + "SELECT doc_id, labels, CASE WHEN rn <= c * 0.2::DOUBLE THEN 'test' ELSE 'train' END AS part FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY labels ORDER BY md5(concat_ws(':', '4711', doc_id))) AS rn, count(*) OVER (PARTITION BY labels) AS c FROM d WHERE labels IS NOT NULL)",
+)
+def a11b(spark, sf_dir):
+    path = new_path(spark, "train-test")
+    tables.write_parts(split_exact(features(spark, sf_dir).select("doc_id", "labels"), ["doc_id"], 0.2), path)
+    sides = [tables.read_part(spark, path, part).select("doc_id", "labels", F.lit(part).alias("part")) for part in ("train", "test")]
+    return sides[0].unionByName(sides[1])
+
+
 MEMBERS_SQL = "SELECT lang AS split, source AS dataset, doc_id, n_chars FROM documents"
 
 

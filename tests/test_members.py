@@ -217,3 +217,9 @@ def test_files_of_saved_members_are_bounded(spark, folder):
     files = Members.load(spark, folder + "/b").df.groupBy("dataset", F.input_file_name().alias("f")).count().collect()
     sizes = {d: [r["count"] for r in files if r["dataset"] == d] for d in ("big", "small")}
     assert max(sizes["big"]) <= 2000 and 4 <= len(sizes["big"]) <= 8 and sizes["small"] == [500]
+
+
+def test_groups_too_large_for_a_task_are_refused(members):
+    with pytest.raises(ValueError, match="train/b has 15 rows"):
+        members.map_members(lambda g: g[["id"]], "id long", most_rows=14)
+    assert members.map_members(lambda g: g[["id"]], "id long", most_rows=15).df.count() == 30
