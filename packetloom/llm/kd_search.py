@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from packetloom.llm.common import kept
 
 LEAF = 64
+# Sums of products of whole numbers below this are exact as doubles.
+EXACT = 2.0**53
+LONG = (1 << 63) - 1
+MOST = float(np.finfo(np.float64).max)
 SHARD_BYTES = 48 << 20
 QUERY_BLOCK = 256
 
@@ -20,7 +24,8 @@ QUERY_BLOCK = 256
 class Tree:
     """Median splits along the widest side; each node has the tight box of its vectors.
 
-    Vectors are integers held as doubles: sums of products stay exact below 2**53.
+    Vectors are whole numbers held as doubles. Sums of products stay exact below 2**53; where they may be larger,
+    doubles only bound nodes, with room for their rounding, and candidates are scored in Python's whole numbers.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
@@ -31,6 +36,7 @@ class Tree:
             self._node(0, len(ids))
         self.low, self.high = (np.array(x).reshape(len(self.span), -1) for x in (self.low, self.high))
         self.ids, self.vectors = ids[self.order], vectors[self.order]
+        self.largest = np.maximum(np.abs(self.low), np.abs(self.high)) if len(ids) else self.low
 
     def _node(self, begin: int, end: int) -> int:
         me, part = len(self.span), self.vectors[self.order[begin:end]]
@@ -47,8 +53,20 @@ class Tree:
         return me
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Largest product that each query can have within each node's box."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        """Largest product that each query can have within each node's box; a little more where doubles round."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            most = np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+            reach = np.abs(queries) @ self.largest.T
+            most = np.where(reach < EXACT, most, most + reach * (queries.shape[1] * 2.0**-50))
+        return np.nan_to_num(most, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+
+    def scores(self, begin: int, end: int, vector: np.ndarray, exact: bool) -> np.ndarray:
+        """Products with some vectors; those that no long holds count as the nearest that it does."""
+        if exact:
+            return self.vectors[begin:end] @ vector
+        whole = [int(q) for q in vector]
+        sums = [sum(q * int(x) for q, x in zip(whole, row)) for row in self.vectors[begin:end]]
+        return np.array([max(-LONG - 1, min(LONG, s)) for s in sums], object)
 
     def best(self, own: int, vector: np.ndarray, bounds: np.ndarray, k: int, least: float) -> list[tuple[int, int]]:
         """Up to ``k`` (score, id), none below ``least``; ties go to smaller ids.
@@ -56,6 +74,10 @@ class Tree:
         Nodes are visited best bound first until no bound can reach the k-th score so far, which
         starts from what another shard has found (``least``).
         """
+        with np.errstate(over="ignore"):
+            exact = not len(bounds) or bool(np.abs(vector) @ self.largest[0] < EXACT)
+        if not exact:
+            least = float(np.nextafter(least, -np.inf))  # a score beyond 2**53 may have been rounded up
         found: list[tuple[int, int]] = []  # a heap, the worst first: (score, -id)
         todo = [(-bounds[0], 0)] if len(bounds) else []
         while todo:
@@ -68,7 +90,7 @@ class Tree:
                         heapq.heappush(todo, (-bounds[child], child))
                 continue
             begin, end = self.span[node]
-            scores = self.vectors[begin:end] @ vector
+            scores = self.scores(begin, end, vector, exact)
             for i in np.flatnonzero(scores >= least):
                 entry = (int(scores[i]), -int(self.ids[begin + i]))
                 if -entry[1] == own:
@@ -91,15 +113,14 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             if at != shard:
                 shard, ids, vectors, tree = at, [], [], None
             n = np.frombuffer(row_ids, np.int64)
-            x = np.frombuffer(data, np.int64).reshape(len(n), -1)
+            x = np.frombuffer(data, np.float64).reshape(len(n), -1)
             if kind == 0:
                 ids.append(n)
-                vectors.append(x.astype(np.int64))
+                vectors.append(x)
                 continue
             if tree is None:
-                tree = Tree(np.concatenate(ids), np.concatenate(vectors).astype(np.float64)) if ids else Tree(np.zeros(0, np.int64), np.zeros((0, x.shape[1])))
+                tree = Tree(np.concatenate(ids), np.concatenate(vectors)) if ids else Tree(np.zeros(0, np.int64), np.zeros((0, x.shape[1])))
                 ids, vectors = [], []
-            x = x.astype(np.float64)
             bounds = tree.bounds(x) if len(tree.span) else np.zeros((len(n), 0))
             for i, threshold in enumerate(np.frombuffer(least, np.float64)):
                 out += [(int(n[i]), there, score) for score, there in tree.best(int(n[i]), x[i], bounds[i], k, threshold)]
@@ -120,7 +141,7 @@ def _packs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
             rows = np.flatnonzero((shard == key[0]) & (lengths == key[1]))
             for begin in range(0, len(rows), size):
                 pick = rows[begin : begin + size]
-                flat = vectors.take(pa.array(pick)).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = vectors.take(pa.array(pick)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 out.append((key[0], key[1], ids[pick].tobytes(), flat.tobytes(), least[pick].tobytes()))
         if out:
             types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
@@ -131,10 +152,16 @@ _PACK = "shard long, width int, ids binary, data binary, least binary"
 
 
 def integer_vectors(df: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
-    """``id, vector`` with floor(scale * x); rows without an id, and vectors null, empty or with a component null or not finite, left out."""
+    """``id, vector`` with floor(scale * x) as doubles, which hold each such number as it is.
+
+    Rows without an id, and vectors null, empty or with a component null or not finite, are left out. A component
+    that is finite but not when scaled counts as the largest double of its sign.
+    """
     x = F.transform(F.col(embedding), lambda v: v.cast("double"))
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    whole = F.transform(x, lambda v: F.floor(v * scale))
+    scaled = F.transform(x, lambda v: F.greatest(F.least(v * scale, F.lit(MOST)), F.lit(-MOST)))
+    # From 2**53 on every double is a whole number.
+    whole = F.transform(scaled, lambda v: F.when(F.abs(v) < EXACT, F.floor(v).cast("double")).otherwise(v))
     return df.where(F.col(vec_id).isNotNull() & (F.size(embedding) > 0) & finite).select(F.col(vec_id).cast("long").alias("id"), whole.alias("vector"))
 
 
@@ -147,7 +174,8 @@ def top_products(df: DataFrame, queries_every: int, k: int = 5, vec_id: str = "v
     first each query in one shard, then with the k-th score found there as its bound in all others.
 
     Rows with a null id, and null, empty or not finite vectors, take no part; only vectors of equal
-    length meet; components must stay below 2**22 after scaling. Rows that repeat an id are
+    length meet. Scores are exact whatever the components' size; one that no long holds counts, and is
+    returned, as the largest or smallest long. Rows that repeat an id are
     candidates each; a query id counts once (its smallest vector). Other columns are not read.
     """
     spark = df.sparkSession

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 
@@ -185,6 +186,22 @@ def test_toxic_parts_late_in_training_texts(spark):
     assert toxicity.train(docs.where("false"), spark.createDataFrame([], "doc_id long, toxic int")).weights[1:] == [0.0] * 7
 
 
+@pytest.mark.parametrize("size", [1e6, 1e9, 1e300])
+def test_products_of_large_components(spark, monkeypatch, size):
+    monkeypatch.setattr(kd_search, "SHARD_BYTES", 3000)
+    rng = np.random.default_rng(11)
+    rows = [(i, (rng.normal(0, 1, 8) * (size if i % 3 else 1)).tolist()) for i in range(400)]
+    rows += [(1000, [float(np.finfo(float).max)] * 8), (1050, [1e308, -1e308] * 4), (1100, rows[50][1]), (1101, rows[50][1])]
+    most = float(np.finfo(float).max)
+    whole = {i: [math.floor(max(-most, min(most, 256 * x))) for x in v] for i, v in rows}
+    want = []
+    for q in [i for i in whole if i % 50 == 0]:
+        scored = [(max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(whole[q], v)))), i) for i, v in whole.items() if i != q]
+        want += [(q, n, i, s) for n, (s, i) in enumerate(sorted(scored, key=lambda x: (-x[0], x[1]))[:5], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, kd_search.top_products(df, 50).collect())) == sorted(want)
+
+
 def test_dictionaries_counted_by_spark(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     rows = docs.select("doc_id", "text").join(labels, "doc_id").select("doc_id", "text", "toxic").collect()
