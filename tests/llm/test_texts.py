@@ -149,9 +149,9 @@ def test_passages(spark):
     assert passages.shared_passages(df.where("false")).isEmpty()
 
 
-@pytest.mark.parametrize("hot", [64, 2])
-def test_passages_whose_parts_stand_elsewhere(spark, hot, monkeypatch):
-    monkeypatch.setattr(passages, "HOT", hot)
+@pytest.mark.parametrize("partners", [4, 1])
+def test_passages_whose_parts_stand_elsewhere(spark, partners, monkeypatch):
+    monkeypatch.setattr(passages, "PARTNERS", partners)
     rnd = random.Random(7)
     words = lambda n: [f"{rnd.getrandbits(30):x}" for _ in range(n)]
     p = words(65)
