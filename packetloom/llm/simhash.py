@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import kept, text_key
+from packetloom.llm.common import kept, lean, text_key
 from packetloom.llm.graph import components
 
 SEED = 42
@@ -218,6 +218,7 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 PRINTS = 4
+RECENT = 128
 NEAR_WIDTH = 5
 NEAR_DISTANCE = 8
 MIX = tuple(int(x) for x in np.random.default_rng(1).integers(1, 1 << 62, PRINTS) * 2 + 1)
@@ -297,11 +298,21 @@ def _candidates(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Re
 
 
 def _verified(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    known: dict[int, set] = {}  # the texts met last: a text has several candidates
+
+    def own(row: int, text: pa.Scalar) -> set:
+        if row not in known:
+            if len(known) >= RECENT:
+                del known[next(iter(known))]
+            known[row] = set(shingles((text.as_py() or "").encode(), width))
+        return known[row]
+
     for batch in batches:
         keep = []
-        for a, b in zip(batch.column("a"), batch.column("b")):
-            s, t = (set(shingles((x.as_py() or "").encode(), width)) for x in (a, b))
-            keep.append(not (s or t) or len(s & t) >= similarity * len(s | t))
+        for u, v, a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), batch.column("a"), batch.column("b")):
+            s, t = own(u, a), own(v, b)
+            both = len(s & t)
+            keep.append(not (s or t) or both >= similarity * (len(s) + len(t) - both))
         links = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"])
         yield links.filter(pa.array(keep, pa.bool_()))
 
@@ -322,7 +333,7 @@ def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     back = [F.col(f"r.c{n + 2}").alias(c) for n, c in enumerate(columns)]
     texts = kept(grouped.select(F.monotonically_increasing_id().alias("__row"), F.struct(*back).alias("__doc")), "texts")
     own = texts.select(F.col("__row").alias("row"), F.col("__doc").getField(doc_id).alias("id"), F.col("__doc").getField(text).alias("text"))
-    prints = kept(own.select("row", "text").mapInArrow(lambda it: _many(it, width), "row long, prints array<long>"), "prints")
+    prints = kept(own.select("row", "text").mapInArrow(lean(lambda it: _many(it, width)), "row long, prints array<long>"), "prints")
     codes = prints.select("row", F.posexplode("prints").alias("n", "code"))
     shared = F.array(*[F.struct(F.lit(k).alias("mask"), F.col("code").bitwiseAND(F.lit(m - (1 << BITS) if m >> 63 else m)).alias("bits")) for k, m in enumerate(masks(distance))])
     rows = codes.select("row", "n", "code", F.explode(shared).alias("s")).select("row", "code", F.xxhash64("n", "s.mask", "s.bits").alias("node"))
@@ -334,11 +345,11 @@ def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.xxhash64("node", F.least(part, other), F.greatest(part, other)))
         rows = rows.select("row", "code", F.explode(F.when(F.col("parts").isNull(), F.array("node")).otherwise(pairs)).alias("node"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = rows.repartition(n, "node").sortWithinPartitions("node").mapInArrow(lambda it: _candidates(it, distance), "u long, v long")
+    near = rows.repartition(n, "node").sortWithinPartitions("node").mapInArrow(lean(lambda it: _candidates(it, distance)), "u long, v long")
     near = kept(near.distinct(), "candidates")
     with_a = near.join(own.select(F.col("row").alias("u"), F.col("text").alias("a")), "u")
     with_b = with_a.join(own.select(F.col("row").alias("v"), F.col("text").alias("b")), "v")
-    links = kept(with_b.select("u", "v", "a", "b").mapInArrow(lambda it: _verified(it, width, similarity), "u long, v long"), "near")
+    links = kept(with_b.select("u", "v", "a", "b").mapInArrow(lean(lambda it: _verified(it, width, similarity)), "u long, v long"), "near")
     roots = components(links)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     member = own.select("id", "row").join(roots, F.col("row") == F.col("node"))
