@@ -15,8 +15,9 @@ from queries.registry import query, table
 
 
 def stream(spark, sf_dir, name):
+    """A table as a stream, be it one file or a folder of files; a source takes a single file by a pattern only."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def closed(spark, rows, make, name, ts, seconds, **values):

@@ -1,14 +1,17 @@
 from __future__ import annotations
 
+import os
 import random
 from collections import defaultdict
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from packetloom.streaming.closing import append_marker
 from packetloom.streaming.counts import latest_state, publish_states, running_counts, sliced_counts
 from packetloom.streaming.flows import live_flows
 from packetloom.streaming.ingest import append_parquet
+from queries import streams
 
 SCHEMA = "flow string, at long, n long, text string"
 
@@ -78,6 +81,20 @@ def test_counts_grow_with_the_batches(spark, folder):
     assert {r["flow"]: r["n"] for r in latest_state(spark, f"{folder}/out").collect()} == want
 
 
+def test_counts_of_a_table_in_one_file_or_a_folder(spark, folder):
+    rows = [("a", 0), ("a", 0), ("b", 1), (None, 1), (None, None), (None, None)]
+    labels = spark.createDataFrame(rows, "quality string, toxic int")
+    labels.repartition(3).write.parquet(f"{folder}/parts/labels.parquet")
+    spark.createDataFrame([("z", 9)], labels.schema).write.parquet(f"{folder}/parts/other_labels.parquet")
+    os.mkdir(f"{folder}/one")
+    pq.write_table(labels.toArrow(), f"{folder}/one/labels.parquet")
+    pq.write_table(labels.toArrow(), f"{folder}/one/other_labels.parquet")
+    want = [("a", 0, 2), ("b", 1, 1), (None, 1, 1), (None, None, 2)]
+    for place in ("parts", "one"):
+        got = streams.s2b(spark, f"{folder}/{place}").select("label", "pred", "n").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_slices_equal_batch_over_closed_windows(spark, folder):
     rows = make(n=600)
     stream = source(spark, folder, rows, 3)
