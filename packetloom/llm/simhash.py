@@ -226,7 +226,11 @@ MIX = tuple(int(x) for x in np.random.default_rng(1).integers(1, 1 << 62, PRINTS
 
 def fingerprints(text: bytes, width: int) -> list[int]:
     """``PRINTS`` independent fingerprints from one hash of each shingle."""
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, width)), np.uint64)
+    return _mixed(shingles(text, width))
+
+
+def _mixed(found: list[bytes]) -> list[int]:
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64)
     out = []
     for factor in MIX:
         mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(factor)
@@ -240,14 +244,16 @@ def fingerprints(text: bytes, width: int) -> list[int]:
 
 def _many(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").cast(pa.large_binary())
-        found = [fingerprints(t.as_py() or b"", width) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.list_(pa.int64()))], names=["row", "prints"])
+        prints, size = [], []
+        for text in batch.column("text").cast(pa.large_binary()):
+            found = shingles(text.as_py() or b"", width)
+            prints.append(_mixed(found))
+            size.append(len(set(found)))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(prints, pa.list_(pa.int64())), pa.array(size, pa.int64())], names=["row", "prints", "size"])
 
 
-def nearest(codes: np.ndarray, group: np.ndarray, limit: int) -> np.ndarray:
-    """For each code, sorted by group and Gray rank, the place of the nearest earlier one within ``limit``, or -1."""
-    best, at = np.full(len(codes), limit + 1), np.full(len(codes), -1)
+def near_pairs(codes: np.ndarray, group: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All places i < j of codes of one group within ``limit``, in parts; codes are sorted by group and Gray rank."""
     size = np.bincount(group) if len(group) else np.zeros(0, np.int64)
     few = np.flatnonzero(size[group] <= LEAF) if len(group) else np.zeros(0, np.int64)
     c, g = codes[few], group[few]
@@ -255,46 +261,112 @@ def nearest(codes: np.ndarray, group: np.ndarray, limit: int) -> np.ndarray:
         i = np.flatnonzero(g[step:] == g[:-step]) if len(g) > step else np.zeros(0, np.int64)
         if not len(i):
             break
-        d, j = np.bitwise_count(c[i] ^ c[i + step]), few[i + step]
-        better = d < best[j]
-        best[j[better]], at[j[better]] = d[better], few[i[better]]
+        i = i[np.bitwise_count(c[i] ^ c[i + step]) <= limit]
+        yield few[i], few[i + step]
     ends = np.cumsum(size)
     for n in np.flatnonzero(size > LEAF):
         begin, end = int(ends[n] - size[n]), int(ends[n])
-        own, index = codes[begin:end], Index(codes[begin:end])
-        step = max(LEAF, FRONTIER // max(LEAF, len(own)))
-        for first in range(0, len(own), step):
-            i, j = index.near(first, min(first + step, len(own)), limit)
-            d = np.bitwise_count(own[i] ^ own[j])
-            order = np.lexsort((i, d, j))
-            i, j, d = i[order], j[order], d[order]
-            lead = np.concatenate([[True], j[1:] != j[:-1]]) if len(j) else np.zeros(0, bool)
-            i, j, d = i[lead] + begin, j[lead] + begin, d[lead]
-            better = d < best[j]
-            best[j[better]], at[j[better]] = d[better], i[better]
-    return at
+        index = Index(codes[begin:end])
+        step = max(LEAF, FRONTIER // max(LEAF, end - begin))
+        for first in range(0, end - begin, step):
+            i, j = index.near(first, min(first + step, end - begin), limit)
+            yield i + begin, j + begin
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Each text's nearest earlier one in each of its nodes, from rows sorted by node."""
+def nearest(codes: np.ndarray, group: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each code, sorted by group and Gray rank, the place of the nearest earlier one within ``limit``, or -1.
+
+    Also, for each code, whether it is in a pair within ``limit`` that these places don't name.
+    """
+    best, at, more = np.full(len(codes), limit + 1), np.full(len(codes), -1), np.zeros(len(codes), bool)
+    for i, j in near_pairs(codes, group, limit):
+        d = np.bitwise_count(codes[i] ^ codes[j])
+        order = np.lexsort((i, d, j))
+        i, j, d = i[order], j[order], d[order]
+        lead = np.concatenate([[True], j[1:] != j[:-1]]) if len(j) else np.zeros(0, bool)
+        more[i[~lead]] = more[j[~lead]] = True
+        i, j, d = i[lead], j[lead], d[lead]
+        better = d < best[j]
+        other = np.where(better, at[j], i)
+        more[other[other >= 0]] = more[j[other >= 0]] = True
+        best[j[better]], at[j[better]] = d[better], i[better]
+    return at, more
 
-    def found(rows: np.ndarray, codes: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        group = np.cumsum(np.concatenate([[0], (node[1:] != node[:-1]).astype(np.int64)]))
-        order = np.lexsort((rows, gray_rank(codes), group))
-        rows, at = rows[order], nearest(codes[order], group, limit)
-        linked = at >= 0
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(rows[linked], rows[at[linked]])), pa.array(np.minimum(rows[linked], rows[at[linked]]))], names=["u", "v"])
 
-    held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+def _whole_nodes(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
+    """Columns, the last of them the node, of whole nodes, from rows sorted by node."""
+    held: list[np.ndarray] = []
     for batch in batches:
-        new = (batch.column("row").to_numpy(), batch.column("code").to_numpy().view(np.uint64), batch.column("node").to_numpy())
-        held = [np.concatenate(x) for x in zip(held, new)]
-        whole = int(np.flatnonzero(held[2] == held[2][-1])[0]) if len(held[2]) else 0
+        new = [batch.column(c).to_numpy() for c in columns]
+        held = [np.concatenate(x) for x in zip(held, new)] if held else new
+        whole = int(np.flatnonzero(held[-1] == held[-1][-1])[0]) if len(held[-1]) else 0
         if whole:
-            yield found(*[x[:whole] for x in held])
+            yield [x[:whole] for x in held]
             held = [x[whole:] for x in held]
-    if len(held[0]):
-        yield found(*held)
+    if held and len(held[-1]):
+        yield held
+
+
+def _by_gray(node: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by node and Gray rank of rows sorted by node, and the node's number for each row."""
+    group = np.cumsum(np.concatenate([[0], (node[1:] != node[:-1]).astype(np.int64)]))
+    return np.lexsort((gray_rank(codes), group)), group
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Each text's nearest earlier one in each of its nodes; null beside texts in other pairs within ``limit``."""
+    for rows, codes, node in _whole_nodes(batches, ["row", "code", "node"]):
+        codes = codes.view(np.uint64)
+        order, group = _by_gray(node, codes)
+        rows = rows[order]
+        at, more = nearest(codes[order], group, limit)
+        linked, also = at >= 0, np.unique(rows[more])
+        u, v = np.maximum(rows[linked], rows[at[linked]]), np.minimum(rows[linked], rows[at[linked]])
+        none = pa.nulls(len(also), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, also])), pa.concat_arrays([pa.array(v), none])], names=["u", "v"])
+
+
+def _unlinked(batches: Iterator[pa.RecordBatch], limit: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """All pairs within ``limit`` of different classes, but those whose sizes alone keep them below ``similarity``.
+
+    A pair comes from the first of the nodes that the two codes share.
+    """
+    every = np.array(masks(limit), np.uint64)
+    for rows, codes, size, root, mask, node in _whole_nodes(batches, ["row", "code", "size", "root", "mask", "node"]):
+        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        mixed = np.repeat(mixed, np.diff(np.append(starts, len(node))))
+        rows, codes, size, root, mask, node = (x[mixed] for x in (rows, codes.view(np.uint64), size, root, mask, node))
+        if not len(rows):
+            continue
+        order, group = _by_gray(node, codes)
+        rows, codes, size, root, mask = (x[order] for x in (rows, codes, size, root, mask))
+        for i, j in near_pairs(codes, group, limit):
+            keep = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
+            i, j = i[keep], j[keep]
+            for n, bits in enumerate(every):
+                earlier = (mask[i] > n) & ((codes[i] ^ codes[j]) & bits == 0)
+                i, j = i[~earlier], j[~earlier]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rows[i], rows[j])), pa.array(np.minimum(rows[i], rows[j]))], names=["u", "v"])
+
+
+def _at_nodes(codes: DataFrame, distance: int, *columns: str) -> DataFrame:
+    """``columns`` of ``codes`` (``row, n, code`` and others) or ``mask``, and ``node``, for each node of a code; sorted by node.
+
+    A node of more than ``HOT`` rows is cut into hashed parts, of which every two meet.
+    """
+    shared = F.array(*[F.struct(F.lit(k).cast("long").alias("mask"), F.col("code").bitwiseAND(F.lit(m - (1 << BITS) if m >> 63 else m)).alias("bits")) for k, m in enumerate(masks(distance))])
+    rows = codes.select("*", F.explode(shared).alias("s")).select("*", "s.mask").select(*columns, F.xxhash64("n", F.col("s.mask").cast("int"), "s.bits").alias("node"))
+    size = rows.groupBy("node").count()
+    hot = kept(size.where(F.col("count") > HOT).select(F.col("node").alias("hot"), F.ceil(F.col("count") / HOT).cast("int").alias("parts")), "hot_nodes")
+    if not hot.isEmpty():
+        rows = rows.join(hot, F.col("node") == F.col("hot"), "left")
+        part = F.pmod(F.xxhash64("row", F.lit(1)), F.col("parts")).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.xxhash64("node", F.least(part, other), F.greatest(part, other)))
+        rows = rows.select(*columns, F.explode(F.when(F.col("parts").isNull(), F.array("node")).otherwise(pairs)).alias("node"))
+    n = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "node").sortWithinPartitions("node")
 
 
 def _verified(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
@@ -322,35 +394,39 @@ def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     Near copies share ``similarity`` of their distinct shingles of ``width`` words, or are linked
     through others that do. Equal texts collapse first. Candidates come from four fingerprints within
-    ``distance`` bits: the patterns of ``masks`` are the upper nodes of a Gray-order index for each,
-    where each text meets its nearest earlier one; candidates are compared by their shingles. Four
+    ``distance`` bits: the patterns of ``masks`` are the upper nodes of a Gray-order index for each.
+    First each text meets its nearest earlier one in each node and the two are compared by their shingles;
+    then all other candidates whose texts are not linked yet, so that no candidate is left out. Four
     fingerprints find 99 % of pairs of similarity 0.9 and five in six of 0.8. Texts that are null or
     have no word are near copies of each other. Columns stay as they are, whatever their names.
     """
-    spark, columns = docs.sparkSession, docs.columns
+    columns = docs.columns
     first = [F.col(doc_id).isNull().alias("c0"), F.col(doc_id).alias("c1"), *[F.col(c).alias(f"c{n + 2}") for n, c in enumerate(columns)]]
     grouped = docs.groupBy(text_key(text).alias("key")).agg(F.min(F.struct(*first)).alias("r"))
     back = [F.col(f"r.c{n + 2}").alias(c) for n, c in enumerate(columns)]
     texts = kept(grouped.select(F.monotonically_increasing_id().alias("__row"), F.struct(*back).alias("__doc")), "texts")
     own = texts.select(F.col("__row").alias("row"), F.col("__doc").getField(doc_id).alias("id"), F.col("__doc").getField(text).alias("text"))
-    prints = kept(own.select("row", "text").mapInArrow(lean(lambda it: _many(it, width)), "row long, prints array<long>"), "prints")
+    prints = kept(own.select("row", "text").mapInArrow(lean(lambda it: _many(it, width)), "row long, prints array<long>, size long"), "prints")
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        with_a = pairs.join(own.select(F.col("row").alias("u"), F.col("text").alias("a")), "u")
+        with_b = with_a.join(own.select(F.col("row").alias("v"), F.col("text").alias("b")), "v")
+        return kept(with_b.select("u", "v", "a", "b").mapInArrow(lean(lambda it: _verified(it, width, similarity)), "u long, v long"), name)
+
     codes = prints.select("row", F.posexplode("prints").alias("n", "code"))
-    shared = F.array(*[F.struct(F.lit(k).alias("mask"), F.col("code").bitwiseAND(F.lit(m - (1 << BITS) if m >> 63 else m)).alias("bits")) for k, m in enumerate(masks(distance))])
-    rows = codes.select("row", "n", "code", F.explode(shared).alias("s")).select("row", "code", F.xxhash64("n", "s.mask", "s.bits").alias("node"))
-    size = rows.groupBy("node").count()
-    hot = kept(size.where(F.col("count") > HOT).select(F.col("node").alias("hot"), F.ceil(F.col("count") / HOT).cast("int").alias("parts")), "hot_nodes")
-    if not hot.isEmpty():
-        rows = rows.join(hot, F.col("node") == F.col("hot"), "left")
-        part = F.pmod(F.xxhash64("row", F.lit(1)), F.col("parts")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.xxhash64("node", F.least(part, other), F.greatest(part, other)))
-        rows = rows.select("row", "code", F.explode(F.when(F.col("parts").isNull(), F.array("node")).otherwise(pairs)).alias("node"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = rows.repartition(n, "node").sortWithinPartitions("node").mapInArrow(lean(lambda it: _candidates(it, distance)), "u long, v long")
+    near = _at_nodes(codes, distance, "row", "code").mapInArrow(lean(lambda it: _candidates(it, distance)), "u long, v long")
     near = kept(near.distinct(), "candidates")
-    with_a = near.join(own.select(F.col("row").alias("u"), F.col("text").alias("a")), "u")
-    with_b = with_a.join(own.select(F.col("row").alias("v"), F.col("text").alias("b")), "v")
-    links = kept(with_b.select("u", "v", "a", "b").mapInArrow(lean(lambda it: _verified(it, width, similarity)), "u long, v long"), "near")
-    roots = components(links)
+    roots = components(linked(near.where("v IS NOT NULL"), "near"))
+    # Texts in other pairs too, with their classes: only pairs of different classes can add a link.
+    rest = prints.join(near.where("v IS NULL").select(F.col("u").alias("row")), "row", "left_semi")
+    rest = rest.join(roots, F.col("row") == F.col("node"), "left").select("row", "prints", "size", F.coalesce("root", "row").alias("root"))
+    rest = kept(rest, "rest")
+    codes = rest.select("row", "size", "root", F.posexplode("prints").alias("n", "code"))
+    others = _at_nodes(codes, distance, "row", "code", "size", "root", "mask").mapInArrow(lean(lambda it: _unlinked(it, distance, similarity)), "u long, v long")
+    others = kept(others.distinct(), "others").join(near, ["u", "v"], "left_anti")
+    more = linked(others, "more")
+    if not more.isEmpty():
+        roots = components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     member = own.select("id", "row").join(roots, F.col("row") == F.col("node"))
     best = member.groupBy("root").agg(F.min(order).alias("best"))

@@ -85,6 +85,27 @@ def test_one_of_each_group_of_near_copies_stays(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == [4, 6, 7]
 
 
+@pytest.mark.parametrize("hot", [8192, 30])
+def test_all_candidates_for_near_copies_are_compared(spark, hot, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rnd = random.Random(3)
+    word = lambda: f"{rnd.getrandbits(30):x}"
+    base, texts = [word() for _ in range(200)], []
+    for _ in range(80):
+        changed = set(rnd.sample(range(200), rnd.randint(2, 4)))
+        texts.append(" ".join(word() if n in changed else w for n, w in enumerate(base)))
+    sets = [set(simhash.shingles(t.encode(), simhash.NEAR_WIDTH)) for t in texts]
+    prints = np.array([simhash.fingerprints(t.encode(), simhash.NEAR_WIDTH) for t in texts]).view(np.uint64)
+    pairs = [
+        (i, j) for i in range(len(texts)) for j in range(i)
+        if np.bitwise_count(prints[i] ^ prints[j]).min() <= simhash.NEAR_DISTANCE and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in simhash.without_near_copies(df).collect())
+    want = sorted(set(roots(len(texts), pairs)))
+    assert got == want and 1 < len(want) < len(texts) - 10
+
+
 def brute_repeats(rows, width):
     seen, out = set(), []
     for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
