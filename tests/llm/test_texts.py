@@ -182,6 +182,17 @@ def test_passages_whose_parts_stand_elsewhere(spark, partners, monkeypatch):
     assert got == [(9, 8, 40, 105, 1.0)]
 
 
+def test_passages_among_many_texts_with_the_same_seeds(spark):
+    rnd = random.Random(8)
+    words = lambda n: [f"{rnd.getrandbits(30):x}" for _ in range(n)]
+    begin, end, middle = words(18), words(18), words(24)
+    edited = ["edit" if i in (0, 6, 12, 18, 23) else w for i, w in enumerate(middle)]
+    held = {i: words(24) for i in [*range(1, 31), *range(100, 131)]} | {50: middle, 51: edited}
+    df = spark.createDataFrame([(i, " ".join(words(40) + begin + m + end + words(40))) for i, m in held.items()], "doc_id long, text string")
+    got = [(r["doc_id"], r["other_id"], r["begin"], r["end"]) for r in passages.shared_passages(df).collect()]
+    assert got == [(51, 50, 40, 100)]
+
+
 def test_templates(spark):
     asked = "We know that Anna has 12 apples and gives 5 apples to Bob at noon today in the park."
     rows = [
