@@ -12,12 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import kept, rows_of, text_of
+from packetloom.llm.common import kept, lean, rows_of, step_conf, text_of
 
 WINDOW_BITS = 5  # the rolling hash looks at 32 bytes
 CHUNK_BITS = 10  # chunks of about 1024 bytes
 LEAST = 128
 FILTER_BITS = 1 << 25  # of the shared chunks' filter, whatever the input
+SENT = 1 << 16  # chunks that a task remembers to have sent
 GEAR = np.random.default_rng(8).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 _CODERS: dict[str, Coder] = {}
 
@@ -134,8 +135,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, shared: np.ndarray, wi
     types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.binary()]
     names = [x.split()[0] for x in _PIECES.split(", ")]
     code = coder(path)
+    sent: set[bytes] = set()
     for batch in batches:
-        out, sent, size = [], set(), 0
+        out, size = [], 0
+        if len(sent) > SENT:
+            sent.clear()
         for row, doc_id, text in zip(*[batch.column(c) for c in ("row", "doc_id", "text")]):
             row, doc_id, data = row.as_py(), doc_id.as_py(), text.cast(pa.large_binary()).as_py()
             view = np.frombuffer(data, np.uint8)
@@ -205,19 +209,20 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    keys = rows.select("text").mapInArrow(_keys, "key binary").groupBy("key").count().where("count > 1")
-    filters = keys.select("key").coalesce(4).mapInArrow(_bits, "bits binary").collect()
+    keys = rows.select("text").mapInArrow(lean(_keys), "key binary").groupBy("key").count().where("count > 1")
+    with step_conf(spark, texts=True):
+        filters = keys.select("key").coalesce(4).mapInArrow(lean(_bits), "bits binary").collect()
     shared = np.zeros(FILTER_BITS // 8, np.uint8)
     for f in filters:
         shared |= np.frombuffer(f.bits, np.uint8)
     sent = spark.sparkContext.broadcast(shared)
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    pieces = kept(numbered.mapInArrow(lambda it: _pieces(it, tokenizer, sent.value, with_ids), _PIECES), "pieces")
+    pieces = kept(numbered.mapInArrow(lean(lambda it: _pieces(it, tokenizer, sent.value, with_ids)), _PIECES), "pieces", texts=True)
     once = pieces.where("text is not null").select("key", "text").dropDuplicates(["key"])
-    ids = kept(once.mapInArrow(lambda it: _encoded(it, tokenizer), "key binary, part binary"), "chunks")
+    ids = kept(once.mapInArrow(lean(lambda it: _encoded(it, tokenizer)), "key binary, part binary"), "chunks", texts=True)
     used = pieces.where("key is not null").select("row", "doc_id", "seq", "key").join(ids, "key")
     parts = pieces.where("part is not null").select("row", "doc_id", "seq", "part").unionByName(used.select("row", "doc_id", "seq", "part"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_parts = parts.repartition(n, "row").sortWithinPartitions("row", "seq")
-    joined = sorted_parts.mapInArrow(lambda it: _assembled(it, tokenizer, with_ids), f"doc_id long, {_DONE}")
+    joined = sorted_parts.mapInArrow(lean(lambda it: _assembled(it, tokenizer, with_ids)), f"doc_id long, {_DONE}")
     return pieces.where("n_tokens is not null").select(*joined.columns).unionByName(joined)

@@ -404,14 +404,14 @@ def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     first = [F.col(doc_id).isNull().alias("c0"), F.col(doc_id).alias("c1"), *[F.col(c).alias(f"c{n + 2}") for n, c in enumerate(columns)]]
     grouped = docs.groupBy(text_key(text).alias("key")).agg(F.min(F.struct(*first)).alias("r"))
     back = [F.col(f"r.c{n + 2}").alias(c) for n, c in enumerate(columns)]
-    texts = kept(grouped.select(F.monotonically_increasing_id().alias("__row"), F.struct(*back).alias("__doc")), "texts")
+    texts = kept(grouped.select(F.monotonically_increasing_id().alias("__row"), F.struct(*back).alias("__doc")), "texts", texts=True)
     own = texts.select(F.col("__row").alias("row"), F.col("__doc").getField(doc_id).alias("id"), F.col("__doc").getField(text).alias("text"))
-    prints = kept(own.select("row", "text").mapInArrow(lean(lambda it: _many(it, width)), "row long, prints array<long>, size long"), "prints")
+    prints = kept(own.select("row", "text").mapInArrow(lean(lambda it: _many(it, width)), "row long, prints array<long>, size long"), "prints", texts=True)
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         with_a = pairs.join(own.select(F.col("row").alias("u"), F.col("text").alias("a")), "u")
         with_b = with_a.join(own.select(F.col("row").alias("v"), F.col("text").alias("b")), "v")
-        return kept(with_b.select("u", "v", "a", "b").mapInArrow(lean(lambda it: _verified(it, width, similarity)), "u long, v long"), name)
+        return kept(with_b.select("u", "v", "a", "b").mapInArrow(lean(lambda it: _verified(it, width, similarity)), "u long, v long"), name, texts=True)
 
     codes = prints.select("row", F.posexplode("prints").alias("n", "code"))
     near = _at_nodes(codes, distance, "row", "code").mapInArrow(lean(lambda it: _candidates(it, distance)), "u long, v long")

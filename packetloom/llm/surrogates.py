@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import kept
+from packetloom.llm.common import kept, lean
 
 # First names by gender and script, and family names by script.
 FIRST_NAMES = {
@@ -231,7 +231,7 @@ def with_surrogates(docs: DataFrame, key: str, text: str = "text", entities: str
             columns = [pa.array(texts, pa.string()) if n == text else c for n, c in zip(batch.schema.names, batch.columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, _FOUND)], names=[*batch.schema.names, entities])
 
-    return docs.select(*kept_columns).mapInArrow(rewritten, out_schema)
+    return docs.select(*kept_columns).mapInArrow(lean(rewritten), out_schema)
 
 
 def collisions(replaced: DataFrame, entities: str = "entities") -> DataFrame:
@@ -247,7 +247,7 @@ def collisions(replaced: DataFrame, entities: str = "entities") -> DataFrame:
 
 def replace_private(docs: DataFrame, key: str, text: str = "text", entities: str = "entities") -> DataFrame:
     """``with_surrogates``, written once and checked: the job fails if two entities share a surrogate."""
-    replaced = kept(with_surrogates(docs, key, text, entities), "surrogates")
+    replaced = kept(with_surrogates(docs, key, text, entities), "surrogates", texts=True)
     clash = collisions(replaced, entities).first()
     if clash is not None:
         raise RuntimeError(f"{clash.n_entities} entities share a {clash.kind} surrogate; use another key")

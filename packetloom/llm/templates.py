@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import blocks, buffers, kept, text_of
+from packetloom.llm.common import blocks, buffers, kept, lean, text_of
 
 WINDOW = 8
 LITERALS = 4  # words of a window that are no slots, at least
@@ -183,10 +183,10 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     widths = [r.width for r in own.select("width").distinct().orderBy("width").collect()]  # at most WINDOW values
     sent = spark.sparkContext.broadcast(known)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("text")).where("id is not null")
-    found = rows.mapInArrow(lambda it: _doc_windows(it, sent.value, widths), _SCHEMA).distinct()
+    found = rows.mapInArrow(lean(lambda it: _doc_windows(it, sent.value, widths)), _SCHEMA).distinct()
     mine = own.select(F.col("id").alias("item"), F.col("pos").alias("at"), "code", "width", F.col("fill").alias("theirs"))
     met = found.join(mine, ["code", "width"]).withColumn("shift", F.col("pos") - F.col("at"))
-    met = kept(met.select("id", "item", "shift", "at", "width", "fill", "theirs"), "met")
+    met = kept(met.select("id", "item", "shift", "at", "width", "fill", "theirs"), "met", texts=True)
     # In an alignment each slot filler of the item must always stand for one filler, and the other way round.
     pairs = met.select("id", "item", "shift", F.explode(F.arrays_zip("theirs", "fill")).alias("p")).where("p.theirs != ''")
     pairs = pairs.select("id", "item", "shift", F.col("p.theirs").alias("a"), F.col("p.fill").alias("b")).distinct()

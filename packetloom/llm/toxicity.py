@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import kept, text_key, text_of
+from packetloom.llm.common import kept, lean, step_conf, text_key, text_of
 
 WINDOW_WORDS = 8
 LEVEL = 8
@@ -254,8 +254,8 @@ def _featured(batches: Iterator[pa.RecordBatch], model: Model, rows: set[int]) -
 def _spark_dictionaries(sample: DataFrame, rows: set[int]) -> Model:
     """What :func:`_dictionaries` makes of the texts of ``rows``, counted by Spark; the driver gets what was chosen."""
     spark = sample.sparkSession
-    parts = sample.select("row", "label", "text").mapInArrow(lambda it: _parted(it, rows), "label int, is_head boolean, part string, n long")
-    parts = kept(parts.groupBy("label", "is_head", "part").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")), "word-parts")
+    parts = sample.select("row", "label", "text").mapInArrow(lean(lambda it: _parted(it, rows)), "label int, is_head boolean, part string, n long")
+    parts = kept(parts.groupBy("label", "is_head", "part").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")), "word-parts", texts=True)
     words = parts.where("not is_head")
     sums = {r["label"]: r["n"] for r in words.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     size = [1 + sums.get(kind, 0) for kind in (0, 1)]
@@ -287,14 +287,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, doc_id: s
     known = labels.select(F.col(doc_id).alias("__id"), F.col("toxic").alias("__toxic")).where("__id is not null and __toxic in (0, 1)").where(fold != 0).distinct()
     wanted = known.orderBy(F.xxhash64("__id"), "__id", "__toxic").limit(rows)
     found = docs.select(F.col(doc_id), text_of(text).alias("__text")).join(wanted, F.col(doc_id) == F.col("__id"))
-    sample = kept(found.select(F.monotonically_increasing_id().alias("row"), "__id", text_key("__text").alias("key"), F.col("__toxic").cast("int").alias("label"), F.col("__text").alias("text")), "labelled")
-    signed = {r["row"]: bytes(r["signature"]) for r in sample.select("row", "text").mapInArrow(_signed, "row long, signature binary").collect()}
+    sample = kept(found.select(F.monotonically_increasing_id().alias("row"), "__id", text_key("__text").alias("key"), F.col("__toxic").cast("int").alias("label"), F.col("__text").alias("text")), "labelled", texts=True)
+    with step_conf(docs.sparkSession, texts=True):
+        signed = {r["row"]: bytes(r["signature"]) for r in sample.select("row", "text").mapInArrow(lean(_signed), "row long, signature binary").collect()}
     order = sorted(sample.select("row", "__id", "key", "label").collect(), key=lambda r: (hashlib.md5(str(r[1]).encode()).digest(), bytes(r[2]), r[3]))
     ours, rest = _halves([(signed[r["row"]], r["label"]) for r in order])
     model = _spark_dictionaries(sample, {order[i]["row"] for i in ours})
     chosen = {order[i]["row"] for i in rest}
-    made = sample.select("row", "text").mapInArrow(lambda it: _featured(it, model, chosen), "row long, x array<double>")
-    features = {r["row"]: r["x"] for r in made.collect()}
+    made = sample.select("row", "text").mapInArrow(lean(lambda it: _featured(it, model, chosen)), "row long, x array<double>")
+    with step_conf(docs.sparkSession, texts=True):
+        features = {r["row"]: r["x"] for r in made.collect()}
     return _weighted(model, np.array([features[order[i]["row"]] for i in rest]).reshape(-1, FEATURES), [order[i]["label"] for i in rest], [r["label"] for r in order])
 
 
@@ -309,7 +311,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         for texts in batches:
             yield pd.Series(model.scores(texts.tolist()))
 
-    udf = F.pandas_udf(scored, "double", F.PandasUDFType.SCALAR_ITER)
+    udf = F.pandas_udf(lean(scored), "double", F.PandasUDFType.SCALAR_ITER)
     fold = F.pmod(F.crc32(F.encode(F.col(doc_id).cast("string"), "utf-8")), F.lit(5))
     out = docs.withColumn("score", udf(text_of(text)))
     return out.withColumns({"held_out": F.coalesce(fold == 0, F.lit(False)), "predicted": (F.col("score") >= 0.5).cast("int")})

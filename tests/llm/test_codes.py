@@ -11,13 +11,14 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from packetloom.llm import chunk_bpe, kd_search, surrogates, token_counts, toxicity, warc
+from packetloom.llm import chunk_bpe, kd_search, simhash, surrogates, templates, token_counts, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -225,6 +226,40 @@ def test_toxicity_by_language(spark):
     assert sum(found) / len(found) > 0.65 and sum(wrong) / len(wrong) < 0.03
 
 
+@pytest.mark.parametrize(("module", "name"), [(toxicity, "_signed"), (toxicity, "_parted"), (toxicity, "_featured"), (templates, "_doc_windows"), (chunk_bpe, "_pieces"), (simhash, "_many"), (simhash, "_verified")])
+def test_long_texts_come_in_small_batches(spark, monkeypatch, module, name):
+    found = getattr(module, name)
+
+    def watched(batches, *how):
+        def small(batches):
+            for batch in batches:
+                assert batch.num_rows < 2 or batch.nbytes < 2 << 20
+                yield batch
+
+        return found(small(batches), *how)
+
+    monkeypatch.setattr(module, name, watched)
+    rows = [(i, f"{'a longer text about this and that ' * 4_500}{i} one two trees stood near the old house there") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    docs = corpus_pipeline.kept(docs, "long")
+    if module is toxicity:
+        toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, toxic int"))
+    elif module is templates:
+        assert corpus_pipeline.kept(templates.contaminated(docs, spark.createDataFrame([(1, "trees stood near the old house there")], "item_id long, text string")), "met").count() == 24
+    elif module is chunk_bpe:
+        assert chunk_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json")).count() == 24
+    else:
+        assert simhash.without_near_copies(docs).count() == 1
+
+
+def test_chunks_are_sent_once_a_task(monkeypatch):
+    data = " ".join(f"word{i}" for i in range(3_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([data])], names=["row", "doc_id", "text"])
+    every = np.full(chunk_bpe.FILTER_BITS // 8, 255, np.uint8)
+    sent = [r["key"] for b in chunk_bpe._pieces(iter([batch, batch]), public_tokenizers.path("byte_bpe_50k.json"), every, False) for r in b.to_pylist() if r["text"] is not None]
+    assert len(sent) > 3 and len(set(sent)) == len(sent)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, before = docs.columns, docs
