@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +194,51 @@ def test_passages_among_many_texts_with_the_same_seeds(spark):
     assert got == [(51, 50, 40, 100)]
 
 
+def test_longest_common_subsequence():
+    def brute(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old = row[:]
+            for j, y in enumerate(b, 1):
+                row[j] = old[j - 1] + 1 if x == y else max(old[j], row[j - 1])
+        return row[-1]
+
+    rnd = random.Random(9)
+    for _ in range(300):
+        a, b = ([rnd.randrange(6) for _ in range(rnd.randrange(150))] for _ in "ab")
+        assert passages._longest_common(a, b) == brute(a, b)
+
+
+def test_passages_leave_in_small_batches(monkeypatch):
+    monkeypatch.setattr(passages, "OUT_ROWS", 3, raising=False)
+    text = " ".join(f"w{i}" for i in range(80)).encode()
+    chains = pa.array([[{"left": [10, 60], "right": [10, 60]}]] * 10, pa.list_(pa.struct([("left", pa.list_(pa.int32())), ("right", pa.list_(pa.int32()))])))
+    ids = pa.array(range(10), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, ids, ids, pa.array([text] * 10), pa.array([text] * 10), chains], names=["later", "earlier", "doc_id", "other_id", "a", "b", "chains"])
+    out = list(passages._compared(iter([batch]), 50, 0.8))
+    assert sum(b.num_rows for b in out) == 10 and max(b.num_rows for b in out) == 3
+    assert {tuple(r.values())[3:] for b in out for r in b.to_pylist() if r["doc_id"] == 4} == {(0, 80, 4, 0, 80, 80, 1.0)}
+
+
+def test_pairs_of_long_texts_come_in_small_batches(spark, monkeypatch):
+    found = passages._compared
+
+    def watched(batches, *how):
+        def small(batches):
+            for batch in batches:
+                assert batch.num_rows < 2 or batch.nbytes < 3 << 20
+                yield batch
+
+        return found(small(batches), *how)
+
+    monkeypatch.setattr(passages, "_compared", watched)
+    rnd = random.Random(10)
+    words = lambda n: [f"{rnd.getrandbits(30):x}" for _ in range(n)]
+    p = words(80)
+    df = spark.createDataFrame([(i, " ".join(words(20_000) + p)) for i in range(15)], "doc_id long, text string").repartition(1)
+    assert {(r["doc_id"], r["other_id"]) for r in passages.shared_passages(df).collect()} >= {(i, 0) for i in range(1, 15)}
+
+
 def test_templates(spark):
     asked = "We know that Anna has 12 apples and gives 5 apples to Bob at noon today in the park."
     rows = [
