@@ -239,7 +239,8 @@ def test_long_texts_come_in_small_batches(spark, monkeypatch, module, name):
         return found(small(batches), *how)
 
     monkeypatch.setattr(module, name, watched)
-    rows = [(i, f"{'a longer text about this and that ' * 4_500}{i} one two trees stood near the old house there") for i in range(24)]
+    begin = " ".join(f"w{n}" for n in range(20_000))
+    rows = [(i, f"{begin} {i} one two trees stood near the old house there") for i in range(24)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
     docs = corpus_pipeline.kept(docs, "long")
     if module is toxicity:
