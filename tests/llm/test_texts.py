@@ -239,6 +239,42 @@ def test_pairs_of_long_texts_come_in_small_batches(spark, monkeypatch):
     assert {(r["doc_id"], r["other_id"]) for r in passages.shared_passages(df).collect()} >= {(i, 0) for i in range(1, 15)}
 
 
+def test_repeated_seeds_meet_as_runs():
+    rnd = random.Random(11)
+
+    def side():
+        codes = [c for _ in range(30) for c in [rnd.randrange(6)] * rnd.choice([1, 1, 2, 9])]
+        return np.array(codes, np.int64), np.cumsum([rnd.choice([1, 1, 2, 30]) for _ in codes]).astype(np.int32)
+
+    for _ in range(40):
+        (a, x), (b, y) = side(), side()
+        i, j = np.nonzero(a[:, None] == b[None])
+        got, every = passages.Segments(a, x).met(passages.Segments(b, y)), passages.Runs.of(x[i].astype(np.int64), y[j].astype(np.int64))
+        assert all((getattr(got, c) == getattr(every, c)).all() for c in "xyuvn")
+    # One seed 20 000 times in both texts: as many runs as there are distances, not 400 million anchors.
+    text = passages.Segments(np.zeros(20_000, np.int64), np.arange(20_000, dtype=np.int32))
+    assert len(text.met(text).x) == 39_999
+
+
+def test_seeds_of_texts_in_a_row():
+    rnd = random.Random(12)
+    texts = [np.array([rnd.randrange(9) for _ in range(n)], np.uint64) for n in (0, 3, 6, 7, 9, 10, 0, 11, 200, 5, 6)]
+    text, place, name = passages.seeds(np.concatenate(texts), np.array([len(t) for t in texts]))
+    for i, own in enumerate(texts):
+        _, at, names = passages.seeds(own, np.array([len(own)]))
+        assert (place[text == i] == at).all() and (name[text == i] == names).all()
+        n = len(own) - passages.SEED_WORDS + 1
+        mers = {p: passages.seeds(own[p : p + passages.SEED_WORDS], np.array([passages.SEED_WORDS]))[2][0] for p in range(n)}
+        width = min(passages.SPARSE, n)
+        assert at.tolist() == sorted({min(range(p, p + width), key=lambda k: mers[k]) for p in range(n - width + 1)} if n > 0 else [])
+
+
+def test_passages_of_one_word_again_and_again(spark):
+    rows = [(1, " ".join(["the"] * 300)), (2, " ".join(["x"] * 9 + ["the"] * 70)), (3, "the end " * 200)]
+    got = {(r["doc_id"], r["other_id"], r["begin"], r["end"], r["other_begin"]) for r in passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got >= {(2, 1, 9, 79, 0), (2, 1, 9, 79, 230)} and {g[:2] for g in got} == {(2, 1)}
+
+
 def test_templates(spark):
     asked = "We know that Anna has 12 apples and gives 5 apples to Bob at noon today in the park."
     rows = [
