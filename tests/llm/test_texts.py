@@ -275,6 +275,38 @@ def test_passages_of_one_word_again_and_again(spark):
     assert got >= {(2, 1, 9, 79, 0), (2, 1, 9, 79, 230)} and {g[:2] for g in got} == {(2, 1)}
 
 
+def test_passages_of_texts_that_are_only_the_earlier_ones_so_far(spark):
+    rnd = random.Random(13)
+    words = lambda n: [f"{rnd.getrandbits(30):x}" for _ in range(n)]
+    p = words(65)
+    # Texts 1 to 3 have the parts first, so 8 and 9 meet 10, the last, and not each other.
+    parts = {1: p[:25], 2: p[19:45], 3: p[39:], 8: p, 9: p, 10: p}
+    df = spark.createDataFrame([(i, " ".join(words(40) + w + words(40))) for i, w in parts.items()], "doc_id long, text string")
+    got = {(r["doc_id"], r["other_id"], r["begin"], r["end"]) for r in passages.shared_passages(df).collect()}
+    assert got == {(9, 8, 40, 105), (10, 8, 40, 105), (10, 9, 40, 105)}
+
+
+def test_passages_at_two_places_of_an_earlier_text(spark):
+    rnd = random.Random(14)
+    words = lambda n: [f"{rnd.getrandbits(30):x}" for _ in range(n)]
+    p = words(60)
+    texts = {1: words(20) + p + words(200) + p + words(9), 2: words(30) + p + words(30)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["other_id"], r["begin"], r["end"], r["other_begin"]) for r in passages.shared_passages(df).collect())
+    assert got == [(2, 1, 30, 90, 20), (2, 1, 30, 90, 280)]
+
+
+def test_passages_uncovered_in_the_middle_only(spark):
+    rnd = random.Random(15)
+    words = lambda n: [f"{rnd.getrandbits(30):x}" for _ in range(n)]
+    before, p, after = words(45), words(50), words(45)
+    head, tail = before + p[:20], p[30:] + after
+    texts = {1: head, 2: tail, 3: words(30) + p + words(30), 4: before + p + after}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {(r["doc_id"], r["other_id"], r["begin"], r["end"]) for r in passages.shared_passages(df).collect()}
+    assert got == {(4, 1, 0, 65), (4, 2, 75, 140), (4, 3, 45, 95)}
+
+
 def test_templates(spark):
     asked = "We know that Anna has 12 apples and gives 5 apples to Bob at noon today in the park."
     rows = [
